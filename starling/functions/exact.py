@@ -33,12 +33,15 @@ def stddev_samp(x, digits: int = 4) -> Column:
     return F.round(F.stddev_samp(_c(x)), digits)
 
 
-def weighted_stddev_samp(weight, total, squares) -> Column:
-    """Sample deviation from a row count, a sum and a sum of squares of integers.
-
-    The three sums are exact in decimal(38,0), so the numerator has no cancellation error.
-    """
-    n, s, q = (_c(c).cast("decimal(38,0)") for c in (weight, total, squares))
-    spread = (n * q - s * s).cast("double")
-    pairs = (n * (n - 1)).cast("double")
-    return F.when(_c(weight) > 1, F.sqrt(F.try_divide(spread, pairs)))
+def moments(x, name: str) -> list[Column]:
+    """Count, exact sum and exact sum of squares of a column of at most two decimals."""
+    v = _c(x).cast("decimal(18,2)")
+    return [F.count(_c(x)).alias(f"n_{name}"), F.sum(v).alias(f"s_{name}"),
+            F.sum(v * v).alias(f"q_{name}")]
+
+
+def stddev_of_moments(name: str) -> Column:
+    """Sample deviation from summed ``moments``; the numerator is exact, so nothing cancels."""
+    n, s, q = _c(f"n_{name}").cast("decimal(20,0)"), _c(f"s_{name}"), _c(f"q_{name}")
+    spread, pairs = (n * q - s * s).cast("double"), (n * (n - 1)).cast("double")
+    return F.when(n > 1, F.sqrt(F.try_divide(spread, pairs)))

@@ -2,7 +2,9 @@
 
 ``cols`` lists the output as ``name`` (text), ``name:i`` (bigint), ``name:n`` (double) or
 ``name:d`` (date).  ``order`` lists sort keys, ``-name`` for descending; the remaining columns
-break ties, so a limited result is always the same rows.  Nulls sort first ascending and last
+break ties, so a limited result is always the same rows.  A sort key with a leading underscore is
+used for ordering only.  ``bind`` holds parameter values suited to the order data where the
+function's own defaults, the reference's constants, would select nothing.  Nulls sort first ascending and last
 descending, Spark's own rule.
 """
 
@@ -13,7 +15,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.plans import star
 from starling.plans.warehouse import Star
@@ -29,6 +31,7 @@ class Query:
     cols: list[tuple[str, str]]
     order: list[str] = field(default_factory=list)
     limit: int | None = None
+    bind: dict = field(default_factory=dict)
 
     def sort_keys(self) -> list[tuple[str, bool]]:
         keys = [(k.lstrip("-"), k.startswith("-")) for k in self.order]
@@ -38,14 +41,18 @@ class Query:
 
     def __call__(self, tables, **params) -> DataFrame:
         df = self.build(tables, **params)
-        df = df.select(*[F.col(c).cast(TYPES[t]).alias(c) for c, t in self.cols])
+        hidden = [k.lstrip("-") for k in self.order if k.lstrip("-").startswith("_")]
+        df = df.select(*[F.col(c).cast(TYPES[t]).alias(c) for c, t in self.cols], *hidden)
         if self.order:
             df = df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c)
                               for c, down in self.sort_keys()])
-        return df.limit(self.limit) if self.limit is not None else df
+        if self.limit is not None:
+            df = df.limit(self.limit)
+        return df.drop(*hidden)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self(Star.of(spark, sf_dir))
+        """The query on the star of ``sf_dir``, with the parameters bound for that data."""
+        return self(Star.of(spark, sf_dir), **self.bind)
 
     def oracle(self, body: str) -> str:
         body = body.strip().rstrip(";")
@@ -62,12 +69,12 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, cols: str, order: str = "", limit: int | None = None):
+def query(name: str, cols: str, order: str = "", limit: int | None = None, **bind):
     """Register a ``(tables, **params) -> DataFrame`` function."""
     parsed = [(c.split(":") + ["s"])[:2] for c in cols.split()]
 
     def wrap(fn):
-        q = Query(name, fn, [(c, t) for c, t in parsed], order.split(), limit)
+        q = Query(name, fn, [(c, t) for c, t in parsed], order.split(), limit, bind)
         REGISTRY[name] = q
         return q
     return wrap
@@ -88,7 +95,3 @@ def allowed(value: str, options: str) -> str:
     if value not in options.split():
         raise ValueError(f"{value!r} is not one of: {options}")
     return value
-
-
-def same(left: str, right: str) -> Column:
-    return F.col(left) == F.col(right)

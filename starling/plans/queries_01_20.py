@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starling.functions.exact import avg, ratio, sum_if, weighted_stddev_samp
+from starling.functions.exact import avg, moments, ratio, stddev_of_moments, sum_if
 from starling.operators.relational import (matching, pick, role, rollup_avg, rollup_of, star,
                                            union_all, with_group, with_scalar)
 from starling.plans.base import allowed, query
@@ -439,10 +439,31 @@ def sold_and_returned(t, sold_dates, returned_dates):
                    & (c("ss_item_sk") == c("sr_item_sk")) & (c("ss_customer_sk") == c("sr_customer_sk")))
 
 
-def moments(x, name):
-    """Count, sum and sum of squares of an integer column."""
-    v = c(x).cast("decimal(20,0)")
-    return [F.count(x).alias(f"n_{name}"), F.sum(v).alias(f"s_{name}"), F.sum(v * v).alias(f"q_{name}")]
+def rebuy_chain(t, sold, returned, bought, keys, **measures):
+    """Moments, minimum and maximum over sale -> own return -> catalog sale of the same customer
+    and item.
+
+    Both sides shrink to moments per customer and item, and each side's moments are weighted by
+    the other side's row count: the matching pairs are counted without being formed.
+    """
+    sides = {"store_sales": "right", "store_returns": "right", "catalog_sales": "left"}
+
+    def parts(name):
+        x = measures[name]
+        return moments(x, name) + [F.min(x).alias(f"min_{name}"), F.max(x).alias(f"max_{name}")]
+
+    chain = (sold_and_returned(t, sold, returned)
+             .groupBy("ss_customer_sk", "ss_item_sk", "ss_store_sk")
+             .agg(F.count(F.lit(1)).alias("left"), *parts("store_sales"), *parts("store_returns")))
+    again = (star(t.catalog_sales, (bought.select("d_date_sk"), "cs_sold_date_sk", "d_date_sk"))
+             .groupBy("cs_bill_customer_sk", "cs_item_sk")
+             .agg(F.count(F.lit(1)).alias("right"), *parts("catalog_sales")))
+    both = chain.join(again, (c("ss_customer_sk") == c("cs_bill_customer_sk"))
+                      & (c("ss_item_sk") == c("cs_item_sk")))
+    out = [F.sum(c(f"{m}_{n}") * c(w)).alias(f"{m}_{n}") for n, w in sides.items() for m in "nsq"]
+    out += [f(f"{f.__name__}_{n}").alias(f"{f.__name__}_{n}") for n in sides for f in (F.min, F.max)]
+    return (star(both, (t.item, "ss_item_sk", "i_item_sk"), (t.store, "ss_store_sk", "s_store_sk"))
+            .groupBy(*keys).agg(*out))
 
 
 @query("q17", "i_item_id i_item_desc s_state " + " ".join(
@@ -452,26 +473,13 @@ def q17(t, year=1999):
     quarters = [f"{year}Q{i}" for i in (1, 2, 3)]
     first = t.date_dim.filter(c("d_quarter_name") == quarters[0])
     three = t.date_dim.filter(c("d_quarter_name").isin(*quarters))
-    # Both sides shrink to moments per customer and item, and the moments are weighted by the
-    # other side's row count: the matching pairs are counted without being formed.
-    chain = (sold_and_returned(t, first, three)
-             .groupBy("ss_customer_sk", "ss_item_sk", "ss_store_sk")
-             .agg(F.count(F.lit(1)).alias("rows_left"), *moments("ss_quantity", "store_sales"),
-                  *moments("sr_return_quantity", "store_returns")))
-    again = (star(t.catalog_sales, (three, "cs_sold_date_sk", "d_date_sk"))
-             .groupBy("cs_bill_customer_sk", "cs_item_sk")
-             .agg(F.count(F.lit(1)).alias("rows_right"), *moments("cs_quantity", "catalog_sales")))
-    both = chain.join(again, (c("ss_customer_sk") == c("cs_bill_customer_sk"))
-                      & (c("ss_item_sk") == c("cs_item_sk")))
-    weight = {"store_sales": "rows_right", "store_returns": "rows_right", "catalog_sales": "rows_left"}
-    sums = [F.sum(c(f"{m}_{n}") * c(w)).alias(f"{m}_{n}") for n, w in weight.items() for m in "nsq"]
-    out = (star(both, (t.item, "ss_item_sk", "i_item_sk"), (t.store, "ss_store_sk", "s_store_sk"))
-           .groupBy("i_item_id", "i_item_desc", "s_state").agg(*sums))
-    for n in weight:
-        dev = weighted_stddev_samp(f"n_{n}", f"s_{n}", f"q_{n}")
-        out = (out.withColumn(f"{n}_count", c(f"n_{n}")).withColumn(f"{n}_ave", ratio(f"s_{n}", f"n_{n}"))
-               .withColumn(f"{n}_stdev", F.round(dev, 4))
-               .withColumn(f"{n}_cov", F.round(F.try_divide(dev, ratio(f"s_{n}", f"n_{n}")), 4)))
+    out = rebuy_chain(t, first, three, three, ["i_item_id", "i_item_desc", "s_state"],
+                      store_sales="ss_quantity", store_returns="sr_return_quantity",
+                      catalog_sales="cs_quantity")
+    for n in ("store_sales", "store_returns", "catalog_sales"):
+        mean, dev = ratio(f"s_{n}", f"n_{n}"), stddev_of_moments(n)
+        out = out.withColumns({f"{n}_count": c(f"n_{n}"), f"{n}_ave": mean, f"{n}_stdev": F.round(dev, 4),
+                               f"{n}_cov": F.round(F.try_divide(dev, mean), 4)})
     return out
 
 

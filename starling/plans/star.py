@@ -154,7 +154,8 @@ def _amounts(p, ship):
     return ", ".join(f"{_money(e, 7 if c in unit else 12)} as {p}_{c}" for c, e in cols)
 
 
-CDEMO, HDEMO = "(ok * 13 + pk) % 5600 + 1", "(ok * 29 + pk) % 7200 + 1"
+CDEMO, HDEMO = "ok * 13 % 5600 + 1", "ok * 29 % 7200 + 1"
+STORE, CALL_CENTER, SITE = "ok // 3 % 25 + 1", "ok % 5 + 1", "ok // 7 % 25 + 1"
 
 
 def _store_sales(d):
@@ -163,7 +164,7 @@ select {_nullable(1, f'{EPOCH_SK} + od')} as ss_sold_date_sk,
        {_nullable(2, 'ok * 61 % 86400')} as ss_sold_time_sk, pk + 1 as ss_item_sk,
        {_nullable(3, 'ck + 1')} as ss_customer_sk, {_nullable(4, CDEMO)} as ss_cdemo_sk,
        {_nullable(5, HDEMO)} as ss_hdemo_sk, {_nullable(6, 'ck // 3 + 1')} as ss_addr_sk,
-       {_nullable(7, 'sk % 25 + 1')} as ss_store_sk, {_nullable(8, 'ok % 25 + 1')} as ss_promo_sk,
+       {_nullable(7, STORE)} as ss_store_sk, {_nullable(8, 'ok % 25 + 1')} as ss_promo_sk,
        ok + 1 as ss_ticket_number, qty as ss_quantity, {_amounts('ss', False)}
 from lines where {CHANNEL['store']}
 """
@@ -188,13 +189,13 @@ from lines where {CHANNEL[channel]}
 
 
 def _catalog_sales(d):
-    return _remote_sales("cs", "catalog", f"""{_nullable(14, 'sk % 5 + 1')} as cs_call_center_sk,
+    return _remote_sales("cs", "catalog", f"""{_nullable(14, CALL_CENTER)} as cs_call_center_sk,
        {_nullable(15, 'sk + 1')} as cs_catalog_page_sk""")
 
 
 def _web_sales(d):
     return _remote_sales("ws", "web", f"""{_nullable(14, 'sk % 25 + 1')} as ws_web_page_sk,
-       {_nullable(15, 'sk % 25 + 1')} as ws_web_site_sk""")
+       {_nullable(15, SITE)} as ws_web_site_sk""")
 
 
 RDATE = f"{EPOCH_SK} + od + ok % 150"
@@ -217,7 +218,7 @@ select {_nullable(1, RDATE)} as sr_returned_date_sk,
        {_nullable(2, 'ok * 67 % 86400')} as sr_return_time_sk, pk + 1 as sr_item_sk,
        {_nullable(3, 'ck + 1')} as sr_customer_sk, {_nullable(4, CDEMO)} as sr_cdemo_sk,
        {_nullable(5, HDEMO)} as sr_hdemo_sk, {_nullable(6, 'ck // 3 + 1')} as sr_addr_sk,
-       {_nullable(7, 'sk % 25 + 1')} as sr_store_sk, {_nullable(8, 'pk % 25 + 1')} as sr_reason_sk,
+       {_nullable(7, STORE)} as sr_store_sk, {_nullable(8, 'pk % 25 + 1')} as sr_reason_sk,
        ok + 1 as sr_ticket_number, rqty as sr_return_quantity,
        {_return_amounts('sr', 'return_amt', 'store_credit')}
 from lines where {CHANNEL['store']} and flag = 'R'
@@ -244,7 +245,7 @@ from lines where {CHANNEL[channel]} and flag = 'R'
 
 def _catalog_returns(d):
     return _remote_returns("cr", "catalog", "return_amount", "store_credit", f"""
-       {_nullable(14, 'sk % 5 + 1')} as cr_call_center_sk,
+       {_nullable(14, CALL_CENTER)} as cr_call_center_sk,
        {_nullable(15, 'sk + 1')} as cr_catalog_page_sk,
        {_nullable(16, 'ok % 25 + 1')} as cr_ship_mode_sk,
        {_nullable(17, 'pk % 5 + 1')} as cr_warehouse_sk""")
