@@ -1,11 +1,11 @@
 -- name: q21
 select * from (
   select w_warehouse_name, i_item_id,
-    sum(if(d_date < date'1999-03-11', inv_quantity_on_hand, 0)) inv_before,
-    sum(if(d_date >= date'1999-03-11', inv_quantity_on_hand, 0)) inv_after
+    sum(if(d_date < date'2000-07-05', inv_quantity_on_hand, 0)) inv_before,
+    sum(if(d_date >= date'2000-07-05', inv_quantity_on_hand, 0)) inv_after
   from inventory join warehouse on w_warehouse_sk = inv_warehouse_sk join item on i_item_sk = inv_item_sk
   join date_dim on d_date_sk = inv_date_sk
-  where i_current_price between 0.99 and 1.49 and abs(d_date - date'1999-03-11') <= 30 group by all)
+  where i_current_price between 0.99 and 1.49 and abs(d_date - date'2000-07-05') <= 30 group by all)
 where inv_before > 0 and inv_after::double / inv_before::double between 2.0::double / 3.0::double and 1.5::double
 -- name: q22
 select i_product_name, i_brand, i_class, i_category, sum(inv_quantity_on_hand)::double / count(inv_quantity_on_hand) qoh

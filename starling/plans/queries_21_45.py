@@ -23,7 +23,7 @@ def around(t, day: str, days: int):
 
 
 @query("q21", "w_warehouse_name i_item_id inv_before:i inv_after:i", "w_warehouse_name i_item_id", 100)
-def q21(t, sales_date="1999-03-11"):
+def q21(t, sales_date="2000-07-05"):
     stock = star(t.inventory, (around(t, sales_date, 30), "inv_date_sk", "d_date_sk"),
                  (t.item.filter("i_current_price between 0.99 and 1.49"), "inv_item_sk", "i_item_sk"),
                  (t.warehouse, "inv_warehouse_sk", "w_warehouse_sk"))
