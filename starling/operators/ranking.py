@@ -17,19 +17,22 @@ def _before(counts: DataFrame) -> DataFrame:
             .select("_bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before")))
 
 
-def global_rank(df: DataFrame, value: str, name: str, bucket: Column) -> DataFrame:
-    """``rank() over (order by value)``; ``bucket`` must never decrease as ``value`` grows.
+def global_ranks(df: DataFrame, **orders: tuple[str, Column]) -> DataFrame:
+    """Add ``name = rank() over (order by value)`` for each ``name=(value, bucket)``.
 
-    Equal values collapse to one counted row first, so a value shared by a third of the rows is
-    a single row of the window.
+    ``bucket`` must never decrease as ``value`` grows.  Equal values collapse to one counted row
+    first, so a value shared by a third of the rows is a single row of the window.
     """
-    counts = (df.withColumn("_bucket", bucket).groupBy("_bucket", F.col(value).alias("_value"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (counts.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0)))
-             .join(_before(counts), "_bucket")
-             .select("_value", (F.col("_before") + F.col("_within") + 1).alias(name)))
-    return df.join(ranks, F.col(value) == F.col("_value")).drop("_value")
+    out = df
+    for name, (value, bucket) in orders.items():
+        counts = (df.withColumn("_bucket", bucket).groupBy("_bucket", F.col(value).alias("_value"))
+                  .agg(F.count(F.lit(1)).alias("n")))
+        w = Window.partitionBy("_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+        ranks = (counts.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0)))
+                 .join(_before(counts), "_bucket")
+                 .select("_value", (F.col("_before") + F.col("_within") + 1).alias(name)))
+        out = out.join(ranks, F.col(value) == F.col("_value")).drop("_value")
+    return out
 
 
 def surrogate_keys(df: DataFrame, business_key: str, start: Column, name: str, width: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from starling.functions.exact import avg, count_if, ratio, sum_if
-from starling.operators.ranking import global_rank
+from starling.operators.ranking import global_ranks
 from starling.operators.relational import (lowest, matching, pick, role, rollup_of, star, union_all,
                                            with_group)
 from starling.plans.base import allowed, query
@@ -104,8 +104,8 @@ def q49(t, year=1999, month=12, min_return=10000):
         ratios = both.groupBy(c(f"{s}_item_sk").alias("item")).agg(
             ratio(F.sum(F.coalesce(f"{r}_return_quantity", F.lit(0))), F.sum(f"{s}_quantity")).alias("return_ratio"),
             ratio(F.sum(F.coalesce(f"{r}_{amount}", F.lit(0))), F.sum(f"{s}_net_paid")).alias("currency_ratio"))
-        ranked = global_rank(global_rank(ratios, "return_ratio", "return_rank", F.floor(c("return_ratio") * 1000)),
-                             "currency_ratio", "currency_rank", F.floor(c("currency_ratio") * 1000))
+        ranked = global_ranks(ratios, return_rank=("return_ratio", F.floor(c("return_ratio") * 1000)),
+                              currency_rank=("currency_ratio", F.floor(c("currency_ratio") * 1000)))
         parts.append(ranked.filter("return_rank <= 10 or currency_rank <= 10")
                      .select(F.lit(channel).alias("channel"), "item", "return_ratio", "return_rank", "currency_rank"))
     return union_all(*parts).distinct()
@@ -207,7 +207,7 @@ def q53(t, dms=1188):
 
 
 @query("q54", "segment:i num_customers:i segment_base:i", "segment num_customers", 100)
-def q54(t, year=1999, month=3, category="Women", clazz="accessories"):
+def q54(t, year=1999, month=5, category="Women", clazz="accessories"):
     here = (c("d_year") == year) & (c("d_moy") == month)
     bought = union_all(pick(t.catalog_sales, day="cs_sold_date_sk", who="cs_bill_customer_sk", what="cs_item_sk"),
                        pick(t.web_sales, day="ws_sold_date_sk", who="ws_bill_customer_sk", what="ws_item_sk"))
