@@ -178,8 +178,8 @@ select cc_call_center_id call_center, cc_name call_center_name, cc_manager manag
 from catalog_returns join call_center on cc_call_center_sk = cr_call_center_sk join date_dim on d_date_sk = cr_returned_date_sk
 join customer on c_customer_sk = cr_returning_customer_sk join customer_demographics on cd_demo_sk = c_current_cdemo_sk
 join household_demographics on hd_demo_sk = c_current_hdemo_sk join customer_address on ca_address_sk = c_current_addr_sk
-where d_year = 1999 and d_moy = 11 and (cd_marital_status, cd_education_status) in (('M','Unknown'), ('W','Advanced Degree'))
-  and hd_buy_potential like 'Unknown%' and ca_gmt_offset = -7
+where d_year = 1999 and d_moy = 12 and (cd_marital_status, cd_education_status) in (('M','Unknown'), ('W','Advanced Degree'))
+  and hd_buy_potential like '0-500%' and ca_gmt_offset = -7
 group by cc_call_center_id, cc_name, cc_manager, cd_marital_status, cd_education_status
 -- name: q92
 with s as (select ws_item_sk it, ws_ext_discount_amt v from web_sales join date_dim on d_date_sk = ws_sold_date_sk

@@ -329,7 +329,7 @@ def q90(t, deps=6, hour_am=8, hour_pm=19):
 
 
 @query("q91", "call_center call_center_name manager returns_loss:n", "-returns_loss")
-def q91(t, year=1999, month=11, potential="Unknown", gmt=-7):
+def q91(t, year=1999, month=12, potential="0-500", gmt=-7):
     people = t.customer_demographics.filter("(cd_marital_status = 'M' and cd_education_status = 'Unknown') or "
                                             "(cd_marital_status = 'W' and cd_education_status = 'Advanced Degree')")
     dates = t.date_dim.filter((c("d_year") == year) & (c("d_moy") == month))

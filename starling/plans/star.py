@@ -289,8 +289,8 @@ select d_date_sk, {_ident('DATE', 'd_date_sk')} as d_date_id, d_date,
        d_date_sk - 365 as d_same_day_ly, d_date_sk - 91 as d_same_day_lq,
        'N' as d_current_day, 'N' as d_current_week, 'N' as d_current_month,
        'N' as d_current_quarter, 'N' as d_current_year
-from (select {EPOCH_SK} + id as d_date_sk, {d.plus_days('id')} as d_date
-      from {d.series(2922)})
+from (select {EPOCH_SK} - 34697 + id as d_date_sk, {d.plus_days('id - 34697')} as d_date
+      from {d.series(73049)})
 """
 
 
@@ -536,6 +536,110 @@ from src_nation
 """
 
 
+NEW_ORDER = "ok + 1000000001"  # refresh orders continue after the star's own
+
+
+def _day_text(d, days, gap):
+    """Dates arrive as text; a date lost on export is written as a day before the calendar."""
+    return f"case when {gap} then '-4713-11-2' else cast({d.plus_days(days)} as string) end"
+
+
+def _clock(seconds):
+    part = "lpad(cast({0} as string), 2, '0')"
+    hms = [part.format(f"{seconds} // 3600"), part.format(f"{seconds} // 60 % 60"),
+           part.format(f"{seconds} % 60")]
+    return f"concat({hms[0]}, ':', {hms[1]}, ':', {hms[2]})"
+
+
+def _s_purchase(d):
+    return f"""
+select {NEW_ORDER} as purc_purchase_id, {_ident('STOR', 'ok // 3 % 25 // 2')} as purc_store_id,
+       {_ident('CUST', 'min(ck)')} as purc_customer_id,
+       {_day_text(d, 'min(od)', 'ok % 41 = 0')} as purc_purchase_date,
+       ok * 61 % 86400 as purc_purchase_time, ok % 9 + 1 as purc_register_id,
+       ok % 31 + 1 as purc_clerk_id, 'Unknown' as purc_comment
+from lines where {CHANNEL['store']} group by ok
+"""
+
+
+def _s_purchase_lineitem(d):
+    return f"""
+select {NEW_ORDER} as plin_purchase_id, pk + 1 as plin_line_number,
+       {_ident('ITEM', 'pk // 2')} as plin_item_id, {_ident('PROM', 'ok % 25')} as plin_promotion_id,
+       qty as plin_quantity, {_money('sale', 7)} as plin_sale_price, {_money('coupon')} as plin_coupon_amt,
+       'Unknown' as plin_comment
+from lines where {CHANNEL['store']}
+"""
+
+
+def _s_order(p, channel, outlet):
+    def table(d):
+        return f"""
+select {NEW_ORDER} as {p}_order_id, {_ident('CUST', 'min(ck)')} as {p}_bill_customer_id,
+       {_ident('CUST', 'min(ck) // 2')} as {p}_ship_customer_id,
+       {_day_text(d, 'min(od)', 'ok % 17 = 0')} as {p}_order_date, ok * 61 % 86400 as {p}_order_time,
+       {_ident('SHIP', 'ok % 25')} as {p}_ship_mode_id, {outlet}, 'Unknown' as {p}_order_comments
+from lines where {CHANNEL[channel]} group by ok
+"""
+    return table
+
+
+def _s_order_lineitem(p, channel, extra):
+    def table(d):
+        return f"""
+select {NEW_ORDER} as {p}_order_id, pk + 1 as {p}_line_number, {_ident('ITEM', 'pk // 2')} as {p}_item_id,
+       {_ident('PROM', 'ok % 25')} as {p}_promotion_id, qty as {p}_quantity,
+       {_money('sale', 7)} as {p}_sales_price, {_money('coupon')} as {p}_coupon_amt,
+       {_ident('WARE', 'pk % 5')} as {p}_warehouse_id,
+       {_day_text(d, 'sd', 'pk % 19 = 0')} as {p}_ship_date, {extra},
+       {_money('list * 5 // 100', 7)} as {p}_ship_cost
+from lines where {CHANNEL[channel]}
+"""
+    return table
+
+
+def _s_returns(p, channel, order, outlet, customers, credit, extra):
+    def table(d):
+        cash, rev = "(sale * rqty * 6 // 10)", "(sale * rqty * 3 // 10)"
+        return f"""
+select {outlet}, {NEW_ORDER} as {order}, pk + 1 as {p}_line_number,
+       {_ident('ITEM', 'pk // 2')} as {p}_item_id, {customers},
+       {_day_text(d, 'od + ok % 150', 'ok % 29 = 0')} as {p}_return_date,
+       {_clock('(ok * 67 % 86400)')} as {p}_return_time, rqty as {p}_return_qty,
+       {_money('sale * rqty')} as {p}_return_amt, {_money('sale * rqty * 8 // 100')} as {p}_return_tax,
+       {_money('50 + pk % 100')} as {p}_return_fee,
+       {_money('list * rqty * 5 // 100')} as {p}_return_ship_cost, {_money(cash)} as {p}_refunded_cash,
+       {_money(rev)} as {p}_reversed_charge, {_money(f'sale * rqty - {cash} - {rev}')} as {p}_{credit},
+       {_ident('REAS', 'pk % 25')} as {p}_reason_id{extra}
+from lines where {CHANNEL[channel]} and flag = 'R'
+"""
+    return table
+
+
+def _two_customers(p):
+    return (f"{_ident('CUST', 'ck // 2')} as {p}_return_customer_id, "
+            f"{_ident('CUST', 'ck')} as {p}_refund_customer_id")
+
+
+REFRESH = {
+    "s_purchase": _s_purchase, "s_purchase_lineitem": _s_purchase_lineitem,
+    "s_catalog_order": _s_order("cord", "catalog", f"{_ident('CALL', 'ok % 5 // 2')} as cord_call_center_id"),
+    "s_catalog_order_lineitem": _s_order_lineitem(
+        "clin", "catalog", "sk // 20 + 1 as clin_catalog_number, sk % 20 + 1 as clin_catalog_page_number"),
+    "s_web_order": _s_order("word", "web", f"{_ident('SITE', 'ok // 7 % 25 // 2')} as word_web_site_id"),
+    "s_web_order_lineitem": _s_order_lineitem(
+        "wlin", "web", f"{_ident('PAGE', 'sk % 25 // 2')} as wlin_web_page_id"),
+    "s_store_returns": _s_returns(
+        "sret", "store", "sret_ticket_number", f"{_ident('STOR', 'ok // 3 % 25 // 2')} as sret_store_id",
+        f"{_ident('CUST', 'ck')} as sret_customer_id", "store_credit", ""),
+    "s_catalog_returns": _s_returns(
+        "cret", "catalog", "cret_order_id", f"{_ident('CALL', 'ok % 5 // 2')} as cret_call_center_id",
+        _two_customers("cret"), "merchant_credit", ""),
+    "s_web_returns": _s_returns(
+        "wret", "web", "wret_order_id", f"{_ident('SITE', 'ok // 7 % 25 // 2')} as wret_web_site_id",
+        _two_customers("wret"), "account_credit", f", {_ident('PAGE', 'sk % 25 // 2')} as wret_web_page_id"),
+}
+
 TABLES = {
     "lines": _lines,
     "store_sales": _store_sales, "catalog_sales": _catalog_sales, "web_sales": _web_sales,
@@ -546,10 +650,10 @@ TABLES = {
     "household_demographics": _household_demographics, "income_band": _income_band,
     "store": _store, "warehouse": _warehouse, "call_center": _call_center,
     "web_site": _web_site, "web_page": _web_page, "promotion": _promotion,
-    "catalog_page": _catalog_page, "reason": _reason, "ship_mode": _ship_mode,
+    "catalog_page": _catalog_page, "reason": _reason, "ship_mode": _ship_mode, **REFRESH,
 }
 FROM_LINES = {"store_sales", "catalog_sales", "web_sales", "store_returns", "catalog_returns",
-              "web_returns", "inventory"}
+              "web_returns", "inventory", *REFRESH}
 FACT_DATE = {"store_sales": "ss_sold_date_sk", "catalog_sales": "cs_sold_date_sk",
              "web_sales": "ws_sold_date_sk", "store_returns": "sr_returned_date_sk",
              "catalog_returns": "cr_returned_date_sk", "web_returns": "wr_returned_date_sk",
