@@ -143,16 +143,15 @@ def job_of(name: str, mode: str, profitable_only: bool = False) -> dict:
 def on_star(name: str, mode: str):
     """The job with the star as its source; without a shared folder the extracts stay lazy."""
     def build(t: Star) -> DataFrame:
-        job, session = job_of(name, mode), t.spark.newSession()
-        names = [x for x in SPECS[name][2]]
-        read = readers.tables({x: session.read.parquet(f"{t.folder}/{x}") if t.folder and t[x] is not None
-                               else t[x] for x in names})
-        folder = shared_folder(t.spark)
-        if folder is None:
-            for x in names:
-                t[x].createOrReplaceTempView(x)
+        job, names = job_of(name, mode), list(SPECS[name][2])
+        star_tables = {x: t[x] for x in names}
+        if shared_folder(t.spark) is None:
+            for x, df in star_tables.items():
+                df.createOrReplaceTempView(x)
             return t.spark.sql(SPECS[name][0])
-        folder = f"{t.folder}/staged/{name}_{mode}"
+        session, folder = t.spark.newSession(), f"{t.folder}/staged/{name}_{mode}"
+        read = readers.tables({x: session.read.schema(df.schema).parquet(f"{t.folder}/{x}")
+                               for x, df in star_tables.items()})
         stage(session, job, read, folder)
         return answer(session, job, folder)
     return build
