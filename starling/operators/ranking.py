@@ -10,29 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _before(counts: DataFrame) -> DataFrame:
+def _before(counts: DataFrame, *partition: str) -> DataFrame:
     """Rows in all lower buckets, from one ``(bucket, n)`` row per bucket."""
-    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return (counts.groupBy("_bucket").agg(F.sum("n").alias("n"))
-            .select("_bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before")))
+    w = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return (counts.groupBy(*partition, "_bucket").agg(F.sum("n").alias("n"))
+            .select(*partition, "_bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before")))
 
 
-def global_ranks(df: DataFrame, **orders: tuple[str, Column]) -> DataFrame:
-    """Add ``name = rank() over (order by value)`` for each ``name=(value, bucket)``.
+def global_ranks(df: DataFrame, partition: str, **orders: tuple[str, Column]) -> DataFrame:
+    """Add ``name = rank() over (partition by partition order by value)`` for each
+    ``name=(value, bucket)``, for partitions too large for one task.
 
-    ``bucket`` must never decrease as ``value`` grows.  Equal values collapse to one counted row
-    first, so a value shared by a third of the rows is a single row of the window.
+    ``bucket`` must never decrease as ``value`` grows.  All orders unfold into one column of
+    values; equal values collapse to one counted row first, so a value shared by a third of the
+    rows is a single row of the window.  Rows of ``df`` must be distinct.
     """
-    out = df
-    for name, (value, bucket) in orders.items():
-        counts = (df.withColumn("_bucket", bucket).groupBy("_bucket", F.col(value).alias("_value"))
-                  .agg(F.count(F.lit(1)).alias("n")))
-        w = Window.partitionBy("_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-        ranks = (counts.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0)))
-                 .join(_before(counts), "_bucket")
-                 .select("_value", (F.col("_before") + F.col("_within") + 1).alias(name)))
-        out = out.join(ranks, F.col(value) == F.col("_value")).drop("_value")
-    return out
+    cells = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(value).alias("_value"), bucket.alias("_bucket"))
+                      for name, (value, bucket) in orders.items()])
+    rows = df.withColumn("_cell", F.explode(cells)).select(*df.columns, "_cell.*")
+    counts = rows.groupBy(partition, "_name", "_bucket", "_value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(partition, "_name", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (counts.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0)))
+             .join(_before(counts, partition, "_name"), [partition, "_name", "_bucket"])
+             .select(partition, "_name", "_value", (F.col("_before") + F.col("_within") + 1).alias("_rank")))
+    return rows.join(ranks, [partition, "_name", "_value"]).groupBy(*df.columns).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name) for name in orders])
 
 
 def surrogate_keys(df: DataFrame, business_key: str, start: Column, name: str, width: int = 4) -> DataFrame:

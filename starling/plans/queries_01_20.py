@@ -332,60 +332,54 @@ LINE = ["i_brand_id", "i_class_id", "i_category_id"]
 LINES_OF = {"store": ("store_sales", "ss"), "catalog": ("catalog_sales", "cs"), "web": ("web_sales", "ws")}
 
 
-def lines_of(t, channel, dates, items):
-    """Sales value and row count by product line."""
-    table, p = LINES_OF[channel]
-    # Cut to one row per item before the item attributes are joined.
-    by_item = (star(t[table], (dates, f"{p}_sold_date_sk", "d_date_sk"))
-               .groupBy(c(f"{p}_item_sk").alias("item"))
-               .agg(F.sum(c(f"{p}_quantity") * c(f"{p}_list_price")).alias("sales"),
-                    F.count(F.lit(1)).alias("number_sales")))
-    return (star(by_item, (items, "item", "i_item_sk")).groupBy(*LINE)
-            .agg(F.sum("sales").alias("sales"), F.sum("number_sales").alias("number_sales")))
-
-
-def cross_channel(t, year):
-    """Items of product lines sold in all three channels, and the average sale of those years."""
-    dates = t.date_dim.filter(c("d_year").between(year, year + 2)).select("d_date_sk")
-    sold, sums = [], []
-    for table, p in LINES_OF.values():
-        rows = star(t[table], (dates, f"{p}_sold_date_sk", "d_date_sk"))
+def sales_by_item(t, dates, *channels):
+    """Sales value and row count per channel and item, before any item attribute is joined."""
+    parts = []
+    for channel in channels:
+        table, p = LINES_OF[channel]
         worth = c(f"{p}_quantity") * c(f"{p}_list_price")
-        by_item = rows.groupBy(c(f"{p}_item_sk").alias("item")).agg(
-            F.sum(worth).alias("worth"), F.count(worth).alias("n"))
-        sums.append(by_item.select("worth", "n"))
-        sold.append(star(by_item, (t.item, "item", "i_item_sk")).select(*LINE))
-    lines = sold[0].intersect(sold[1]).intersect(sold[2])
-    items = matching(t.item, lines, *[(k, k) for k in LINE])
-    mean = union_all(*sums).agg(ratio(F.sum("worth"), F.sum("n")).alias("average_sales"))
-    return items, mean
+        parts.append(star(t[table], (dates.select("d_date_sk"), f"{p}_sold_date_sk", "d_date_sk"))
+                     .groupBy(c(f"{p}_item_sk").alias("item"))
+                     .agg(F.sum(worth).alias("sales"), F.count(worth).alias("valued"), F.count(F.lit(1)).alias("rows"))
+                     .withColumn("channel", F.lit(channel)))
+    return union_all(*parts)
+
+
+def big_lines(t, year, dates, *channels):
+    """Product lines sold in all three channels over three years whose sales on the given dates
+    exceed the average sale of those years.
+
+    "In every channel" is one grouping of the stacked channels instead of two intersections.
+    """
+    years = sales_by_item(t, t.date_dim.filter(c("d_year").between(year, year + 2)), *LINES_OF)
+    mean = years.agg(ratio(F.sum("sales"), F.sum("valued")).alias("average_sales"))
+    shared = (star(years, (t.item, "item", "i_item_sk")).groupBy(*LINE)
+              .agg(*[F.max(c("channel") == ch).alias(ch) for ch in LINES_OF]).filter(" and ".join(LINES_OF)))
+    items = matching(t.item, shared, *[(k, k) for k in LINE])
+    lines = (star(sales_by_item(t, dates, *channels), (items, "item", "i_item_sk")).groupBy("channel", *LINE)
+             .agg(F.sum("sales").alias("sales"), F.sum("rows").alias("number_sales")))
+    return with_scalar(lines, mean).filter(c("sales").cast("double") > c("average_sales"))
 
 
 @query("q14", "channel i_brand_id:i i_class_id:i i_category_id:i sales:n number_sales:i",
        "channel i_brand_id i_class_id i_category_id", 100)
 def q14(t, year=1998):
-    items, mean = cross_channel(t, year)
     month = t.date_dim.filter((c("d_year") == year + 2) & (c("d_moy") == 11))
-    rows = union_all(*[lines_of(t, ch, month, items).withColumn("channel", F.lit(ch)) for ch in LINES_OF])
-    above = with_scalar(rows, mean).filter(c("sales").cast("double") > c("average_sales"))
-    return rollup_of(above, ["channel"] + LINE, {"sales": c("sales"), "number_sales": c("number_sales")})
+    return rollup_of(big_lines(t, year, month, *LINES_OF), ["channel"] + LINE,
+                     {"sales": c("sales"), "number_sales": c("number_sales")})
 
 
 @query("q14_weeks", "channel i_brand_id:i i_class_id:i i_category_id:i sales:n number_sales:i "
        "last_sales:n last_number_sales:i", "channel i_brand_id i_class_id i_category_id", 100)
 def q14_weeks(t, year=1998, day=11):
     """Second statement of q14: the same December week in two successive years."""
-    items, mean = cross_channel(t, year)
-
     def week_of(y):
         week = t.date_dim.filter((c("d_year") == y) & (c("d_moy") == 12) & (c("d_dom") == day))
         dates = matching(t.date_dim, week, ("d_week_seq", "d_week_seq"))
-        return (with_scalar(lines_of(t, "store", dates, items), mean)
-                .filter(c("sales").cast("double") > c("average_sales")).drop("average_sales"))
+        return big_lines(t, year, dates, "store").drop("average_sales")
 
     last = role(week_of(year), "last_")
-    same = [c(k) == c(f"last_{k}") for k in LINE]
-    return week_of(year + 1).join(last, same).withColumn("channel", F.lit("store"))
+    return week_of(year + 1).join(last, [c(k) == c(f"last_{k}") for k in LINE])
 
 
 @query("q15", "ca_zip sum_sales_price:n", "ca_zip", 100)

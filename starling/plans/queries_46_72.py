@@ -90,6 +90,7 @@ def q48(t, marital=("M", "D", "W"), education=("4 yr Degree", "2 yr Degree", "Co
 @query("q49", "channel item:i return_ratio:n return_rank:i currency_rank:i",
        "channel return_rank currency_rank item", 100, min_return=1000)
 def q49(t, year=1999, month=12, min_return=10000):
+    """A row is one item of a channel, so the reference's union has no equal rows to merge."""
     dates = t.date_dim.filter((c("d_year") == year) & (c("d_moy") == month)).select("d_date_sk")
     parts = []
     for channel, sales, s, returns, r, order, amount in (
@@ -104,11 +105,11 @@ def q49(t, year=1999, month=12, min_return=10000):
         ratios = both.groupBy(c(f"{s}_item_sk").alias("item")).agg(
             ratio(F.sum(F.coalesce(f"{r}_return_quantity", F.lit(0))), F.sum(f"{s}_quantity")).alias("return_ratio"),
             ratio(F.sum(F.coalesce(f"{r}_{amount}", F.lit(0))), F.sum(f"{s}_net_paid")).alias("currency_ratio"))
-        ranked = global_ranks(ratios, return_rank=("return_ratio", F.floor(c("return_ratio") * 1000)),
-                              currency_rank=("currency_ratio", F.floor(c("currency_ratio") * 1000)))
-        parts.append(ranked.filter("return_rank <= 10 or currency_rank <= 10")
-                     .select(F.lit(channel).alias("channel"), "item", "return_ratio", "return_rank", "currency_rank"))
-    return union_all(*parts).distinct()
+        parts.append(ratios.withColumn("channel", F.lit(channel)))
+    ranked = global_ranks(union_all(*parts), "channel",
+                          return_rank=("return_ratio", F.floor(c("return_ratio") * 1000)),
+                          currency_rank=("currency_ratio", F.floor(c("currency_ratio") * 1000)))
+    return ranked.filter("return_rank <= 10 or currency_rank <= 10")
 
 
 def delay_counts(days):
