@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from starling.plans import star
 
@@ -19,7 +21,9 @@ from starling.plans import star
 # would only make tiny files.
 PARTITION_BYTES = 1 << 38
 
-_staged: dict[tuple, "Star"] = {}
+_stars: dict[tuple, "Star"] = {}
+_written: dict[str, StructType] = {}  # staged path -> schema, for every session of the process
+_lock = threading.RLock()
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -57,13 +61,16 @@ class Star:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Star":
+        """The star of a data folder; changed source files give a new star."""
         folder = shared_folder(spark)
         status = [source_status(spark, f"{sf_dir}/{s}.parquet") for s in star.SOURCES]
         key = (spark.sparkContext.applicationId, folder, sf_dir, str(status))
-        if key not in _staged:
-            mark = hashlib.sha256(str(key).encode()).hexdigest()[:16]
-            _staged[key] = cls(spark, sf_dir, folder and f"{folder}/star-{mark}")
-        return _staged[key]
+        with _lock:
+            session = (*key, spark._jsparkSession.hashCode())
+            if session not in _stars:
+                mark = hashlib.sha256(str(key).encode()).hexdigest()[:16]
+                _stars[session] = cls(spark, sf_dir, folder and f"{folder}/star-{mark}")
+            return _stars[session]
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -77,21 +84,24 @@ class Star:
         return self.spark.sql(sql, **inputs)
 
     def _table(self, table: str) -> DataFrame:
-        if table not in self._tables:
-            df = self.derive(table)
-            self._tables[table] = self._stage(table, df) if self.folder else df
-        return self._tables[table]
+        with _lock:
+            if table not in self._tables:
+                self._tables[table] = self._stage(table) if self.folder else self.derive(table)
+            return self._tables[table]
 
-    def _stage(self, table: str, df: DataFrame) -> DataFrame:
+    def _stage(self, table: str) -> DataFrame:
         path = f"{self.folder}/{table}"
-        day = star.FACT_DATE.get(table)
-        size, _ = source_status(self.spark, f"{self.sf_dir}/lineitem.parquet")
-        if day and size >= self.partition_bytes:
-            # Rebalance splits a hot day over several tasks and files.
-            df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
-        else:
-            df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if path not in _written:
+            df = self.derive(table)
+            day = star.FACT_DATE.get(table)
+            size, _ = source_status(self.spark, f"{self.sf_dir}/lineitem.parquet")
+            if day and size >= self.partition_bytes:
+                # Rebalance splits a hot day over several tasks and files.
+                df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+            _written[path] = df.schema
+        return self.spark.read.schema(_written[path]).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in star.TABLES:
