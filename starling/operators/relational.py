@@ -59,11 +59,16 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
 def rollup_of(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Rollup of additive aggregates with the grouping level as ``lochierarchy``.
 
-    Rows are summed at the finest level first, so the rollup expands groups and not facts.
+    Rows are summed at the finest level first, so the rollup expands groups and not facts.  The
+    grand total is an ungrouped aggregate: it has its row even when nothing was selected.
     """
     fine = df.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    flags = reduce(Column.__add__, [F.grouping(k).cast("int") for k in keys])
-    return fine.rollup(*keys).agg(*[F.sum(n).alias(n) for n in sums], flags.alias("lochierarchy"))
+    level = reduce(Column.__add__, [F.grouping(k).cast("int") for k in keys]).alias("lochierarchy")
+    rolled = fine.groupingSets([keys[:n] for n in range(len(keys), 0, -1)], *keys).agg(
+        *[F.sum(n).alias(n) for n in sums], level)
+    total = fine.agg(*[F.sum(n).alias(n) for n in sums])
+    return rolled.unionByName(total.select(
+        *[F.lit(None).cast(fine.schema[k].dataType).alias(k) for k in keys], *sums, F.lit(len(keys)).alias("lochierarchy")))
 
 
 def rollup_avg(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:

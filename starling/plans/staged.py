@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from starling.plans.base import REGISTRY, Query
-from starling.plans.warehouse import Star, shared_folder
+from starling.plans.warehouse import Star
 from starling.sources import readers
 from starling.sources.metrics import Phases
 
@@ -45,11 +45,11 @@ def run(spark: SparkSession, source: str | dict, read: readers.Reader, folder: s
         run_id: str, idx: int) -> dict[str, float]:
     """Stage, answer and write ``output/<run_id>/<idx>.csv``; an existing result is an error.
 
-    Views live in a session of their own, so concurrent jobs cannot see each other's tables.
+    The job's tables become views of the session: give concurrent jobs a session each.
     """
-    job, session, phases = read_job(source), spark.newSession(), Phases()
-    phases.timed("acquisition", lambda: stage(session, job, read, folder))
-    result = answer(session, job, folder)
+    job, phases = read_job(source), Phases()
+    phases.timed("acquisition", lambda: stage(spark, job, read, folder))
+    result = answer(spark, job, folder)
     phases.timed("processing", lambda: result.write.csv(f"{output}/{run_id}/{idx}.csv"))
     return phases.seconds
 
@@ -141,18 +141,17 @@ def job_of(name: str, mode: str, profitable_only: bool = False) -> dict:
 
 
 def on_star(name: str, mode: str):
-    """The job with the star as its source; without a shared folder the extracts stay lazy."""
+    """The job with the star as its source; without a shared folder nothing is staged."""
     def build(t: Star) -> DataFrame:
-        job, names = job_of(name, mode), list(SPECS[name][2])
-        star_tables = {x: t[x] for x in names}
-        if shared_folder(t.spark) is None:
-            for x, df in star_tables.items():
+        session = t.spark.newSession()
+        own = Star.of(session, t.sf_dir)
+        source = {x: own[x] for x in SPECS[name][2]}
+        if own.folder is None:
+            for x, df in source.items():
                 df.createOrReplaceTempView(x)
-            return t.spark.sql(SPECS[name][0])
-        session, folder = t.spark.newSession(), f"{t.folder}/staged/{name}_{mode}"
-        read = readers.tables({x: session.read.schema(df.schema).parquet(f"{t.folder}/{x}")
-                               for x, df in star_tables.items()})
-        stage(session, job, read, folder)
+            return session.sql(SPECS[name][0])
+        job, folder = job_of(name, mode), f"{own.folder}/staged/{name}_{mode}"
+        stage(session, job, readers.tables(source), folder)
         return answer(session, job, folder)
     return build
 
