@@ -4,7 +4,8 @@
 ``name:d`` (date).  ``order`` lists sort keys, ``-name`` for descending; the remaining columns
 break ties, so a limited result is always the same rows.  A sort key with a leading underscore is
 used for ordering only.  ``bind`` holds parameter values suited to the order data where the
-function's own defaults, the reference's constants, would select nothing.  Nulls sort first ascending and last
+function's own defaults, the reference's constants, would select nothing.  ``on_star`` is False
+for queries that read the order tables as they are.  Nulls sort first ascending and last
 descending, Spark's own rule.
 """
 
@@ -32,6 +33,7 @@ class Query:
     order: list[str] = field(default_factory=list)
     limit: int | None = None
     bind: dict = field(default_factory=dict)
+    on_star: bool = True
 
     def sort_keys(self) -> list[tuple[str, bool]]:
         keys = [(k.lstrip("-"), k.startswith("-")) for k in self.order]
@@ -56,7 +58,7 @@ class Query:
 
     def oracle(self, body: str) -> str:
         body = body.strip().rstrip(";")
-        entries = star.oracle_prefix(body) + [f"answer as ({body})"]
+        entries = (star.oracle_prefix(body) if self.on_star else []) + [f"answer as ({body})"]
         picked = ", ".join(f"cast({c} as {TYPES[t]}) as {c}" for c, t in self.cols)
         sql = "with " + ",\n".join(entries) + f"\nselect {picked} from answer"
         if self.order:
@@ -69,12 +71,12 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, cols: str, order: str = "", limit: int | None = None, **bind):
+def query(name: str, cols: str, order: str = "", limit: int | None = None, on_star: bool = True, **bind):
     """Register a ``(tables, **params) -> DataFrame`` function."""
     parsed = [(c.split(":") + ["s"])[:2] for c in cols.split()]
 
     def wrap(fn):
-        q = Query(name, fn, [(c, t) for c, t in parsed], order.split(), limit, bind)
+        q = Query(name, fn, [(c, t) for c, t in parsed], order.split(), limit, bind, on_star)
         REGISTRY[name] = q
         return q
     return wrap
