@@ -35,19 +35,23 @@ class Query:
     bind: dict = field(default_factory=dict)
     on_star: bool = True
 
-    def sort_keys(self) -> list[tuple[str, bool]]:
-        keys = [(k.lstrip("-"), k.startswith("-")) for k in self.order]
+    def sort_keys(self, order: list[str] | None = None) -> list[tuple[str, bool]]:
+        keys = [(k.lstrip("-"), k.startswith("-")) for k in order or self.order]
         if self.limit is not None:
             keys += [(c, False) for c, _ in self.cols if c not in {k for k, _ in keys}]
         return keys
 
-    def __call__(self, tables, **params) -> DataFrame:
+    def __call__(self, tables, order_by: str | None = None, **params) -> DataFrame:
+        """The answer on any mapping of star tables; ``order_by`` names other sort keys."""
         df = self.build(tables, **params)
-        hidden = [k.lstrip("-") for k in self.order if k.lstrip("-").startswith("_")]
+        order = order_by.split() if order_by else self.order
+        for key in order:
+            allowed(key.lstrip("-"), " ".join([c for c, _ in self.cols] + self.order))
+        hidden = [k.lstrip("-") for k in order if k.lstrip("-").startswith("_")]
         df = df.select(*[F.col(c).cast(TYPES[t]).alias(c) for c, t in self.cols], *hidden)
-        if self.order:
+        if order:
             df = df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c)
-                              for c, down in self.sort_keys()])
+                              for c, down in self.sort_keys(order)])
         if self.limit is not None:
             df = df.limit(self.limit)
         return df.drop(*hidden)

@@ -117,8 +117,7 @@ def _copy(t, name, save, load):
     df = t[name]
     if not t.folder:
         return df
-    path = f"{t.folder}/loaded/{save.__module__.rsplit('.', 1)[1]}_{name}"
-    save(df, path)
+    path = t.once(f"loaded/{save.__module__.rsplit('.', 1)[1]}_{name}", lambda path: save(df, path))
     return load(t.spark, path, df.schema)
 
 
@@ -144,7 +143,8 @@ def layout_hashed(t, buckets=8):
     df = t.catalog_sales
     if t.folder:
         name = "hashed_catalog_sales_" + t.folder.rsplit("-", 1)[-1]
-        layout.save_hashed(df, name, layout.HASH_KEYS["catalog_sales"], buckets, f"{t.folder}/hashed/catalog_sales")
+        t.once("hashed/catalog_sales", lambda path: layout.save_hashed(
+            t.catalog_sales, name, layout.HASH_KEYS["catalog_sales"], buckets, path))
         df = t.spark.table(name)
     return df.groupBy("cs_item_sk").agg(F.count(F.lit(1)).alias("rows"), F.sum("cs_quantity").alias("quantity"))
 
@@ -154,7 +154,7 @@ def layout_ranged(t):
     """Store sales sharded by ranges of item and ticket, then summed by item."""
     df = t.store_sales
     if t.folder:
-        path = f"{t.folder}/ranged/store_sales"
-        layout.save_ranged(df, path, layout.RANGE_KEYS["store_sales"])
+        path = t.once("ranged/store_sales", lambda path: layout.save_ranged(
+            t.store_sales, path, layout.RANGE_KEYS["store_sales"]))
         df = t.spark.read.schema(df.schema).parquet(path)
     return df.groupBy("ss_item_sk").agg(F.count(F.lit(1)).alias("rows"), F.sum("ss_quantity").alias("quantity"))

@@ -234,9 +234,7 @@ def q30(t, state="GA", year=1999):
 
 @query("q31", "ca_county d_year:i web_q1_q2_increase:n store_q1_q2_increase:n web_q2_q3_increase:n "
        "store_q2_q3_increase:n", "ca_county")
-def q31(t, year=1999, order="ca_county"):
-    allowed(order, "ca_county d_year web_q1_q2_increase store_q1_q2_increase web_q2_q3_increase "
-                   "store_q2_q3_increase")
+def q31(t, year=1999):
     dates = t.date_dim.filter((c("d_year") == year) & (c("d_qoy") <= 3))
 
     def quarters(table, p, addr):
@@ -254,7 +252,7 @@ def q31(t, year=1999, order="ca_county"):
     return (q.filter((grew[0][0] > grew[0][1]) & (grew[1][0] > grew[1][1]))
             .select("ca_county", F.lit(year).alias("d_year"), grew[0][0].alias("web_q1_q2_increase"),
                     grew[0][1].alias("store_q1_q2_increase"), grew[1][0].alias("web_q2_q3_increase"),
-                    grew[1][1].alias("store_q2_q3_increase")).orderBy(order))
+                    grew[1][1].alias("store_q2_q3_increase")))
 
 
 def excess_discount(t, table, p, manufact, start):

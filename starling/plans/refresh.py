@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from starling.operators.ranking import surrogate_keys
 from starling.operators.relational import pick, role, star, union_all
 from starling.plans.base import query
-from starling.plans.warehouse import shared_folder
 
 c = F.col
 TODAY = "2002-06-30"  # date of the maintenance run in the registered jobs
@@ -522,14 +521,14 @@ for _fact, _build in INCREMENTS.items():
 @query("refresh_append", "fact rows_before:i rows_added:i rows_after:i", "fact")
 def refresh_append(t):
     """Row counts of the facts around the append of their increments."""
-    folder = shared_folder(t.spark)
     parts = []
     for fact, build in INCREMENTS.items():
         increment = build(t)
-        if folder is not None:
-            path = f"{t.folder}/increment/{fact}"
-            increment.limit(0).write.mode("overwrite").parquet(path)
-            append(increment, path)
+        if t.folder:
+            def store(path, rows=increment):
+                rows.limit(0).write.mode("overwrite").parquet(path)
+                append(rows, path)
+            path = t.once(f"increment/{fact}", store)
             increment = t.spark.read.schema(increment.schema).parquet(path)
         n = F.count(F.lit(1))
         before, added = t[fact].agg(n.alias("rows_before")), increment.agg(n.alias("rows_added"))

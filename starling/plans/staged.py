@@ -150,8 +150,8 @@ def on_star(name: str, mode: str):
             for x, df in source.items():
                 df.createOrReplaceTempView(x)
             return session.sql(SPECS[name][0])
-        job, folder = job_of(name, mode), f"{own.folder}/staged/{name}_{mode}"
-        stage(session, job, readers.tables(source), folder)
+        job = job_of(name, mode)
+        folder = own.once(f"staged/{name}_{mode}", lambda path: stage(session, job, readers.tables(source), path))
         return answer(session, job, folder)
     return build
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -22,7 +23,7 @@ from starling.plans import star
 PARTITION_BYTES = 1 << 38
 
 _stars: dict[tuple, "Star"] = {}
-_written: dict[str, StructType] = {}  # staged path -> schema, for every session of the process
+_written: dict[str, StructType | None] = {}  # written path -> schema, for every session of the process
 _lock = threading.RLock()
 
 
@@ -103,6 +104,18 @@ class Star:
             _written[path] = df.schema
         return self.spark.read.schema(_written[path]).parquet(path)
 
+    def once(self, name: str, write: Callable[[str], None]) -> str:
+        """Path of a by-product in the star's folder, written by the first caller.
+
+        Later callers read the same files, so a plan built earlier never loses the ones it names.
+        """
+        path = f"{self.folder}/{name}"
+        with _lock:
+            if path not in _written:
+                write(path)
+                _written[path] = None
+        return path
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in star.TABLES:
             raise AttributeError(name)

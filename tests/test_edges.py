@@ -68,6 +68,20 @@ def test_run_time_choices(tiny, name, params):
     assert q(tiny, **{**q.bind, **params}).columns == [c for c, _ in q.cols]
 
 
+def test_run_time_sort_key(tiny):
+    q = base.REGISTRY["q74"]
+    got = [r.customer_last_name for r in q(tiny, order_by="-customer_last_name").collect()]
+    assert got == sorted((x for x in got if x), reverse=True) + [x for x in got if not x] and len(got) > 3
+    with pytest.raises(ValueError):
+        q(tiny, order_by="c_login")
+
+
+def test_earlier_plan_survives_a_second_call(spark):
+    first = base.REGISTRY["staged_left_join_np"].run(spark, f"{DATA}/sf0.001")
+    again = base.REGISTRY["staged_left_join_np"].run(spark, f"{DATA}/sf0.001")
+    assert rows(first) == rows(again)
+
+
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
     """The smallest data with a third of all lines on one order, one part and one customer."""
