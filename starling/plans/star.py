@@ -119,7 +119,8 @@ select *, list * qty as x_list, sale * qty as x_sale, cost * qty as x_cost,
        list * qty * 5 // 100 as ship, (qty + 1) // 2 as rqty
 from (select *, list * (100 - disc) // 100 as sale, list * (40 + pk % 70) // 100 as cost
       from (select ok, pk, sk, o_custkey as ck, {d.days('o_orderdate')} as od, sd,
-                   o_orderpriority as pri, flag, qty, disc, pk * 37 % 19000 + 99 as list
+                   o_orderpriority as pri, flag, qty, disc, pk * 37 % 19000 + 99 as list,
+                   (select count(*) from src_supplier) as outlets
             from (select l_orderkey as ok, l_partkey as pk, min(l_suppkey) as sk,
                          min({d.days('l_shipdate')}) as sd, max(l_returnflag) as flag,
                          cast(sum(l_quantity) as bigint) * 2 - l_partkey % 2 as qty,
@@ -157,7 +158,7 @@ def _amounts(p, ship):
 
 
 CDEMO, HDEMO = "ok * 13 % 5600 + 1", "ok * 29 % 7200 + 1"
-STORE, CALL_CENTER, SITE = "ok // 3 % 25 + 1", "ok % 5 + 1", "ok // 7 % 25 + 1"
+STORE, CALL_CENTER, SITE = "ok // 3 % outlets + 1", "ok % 5 + 1", "ok // 7 % outlets + 1"
 
 
 def _store_sales(d):
@@ -166,7 +167,7 @@ select {_nullable(1, f'{EPOCH_SK} + od')} as ss_sold_date_sk,
        {_nullable(2, 'ok * 61 % 86400')} as ss_sold_time_sk, pk + 1 as ss_item_sk,
        {_nullable(3, 'ck + 1')} as ss_customer_sk, {_nullable(4, CDEMO)} as ss_cdemo_sk,
        {_nullable(5, HDEMO)} as ss_hdemo_sk, {_nullable(6, 'ck // 3 + 1')} as ss_addr_sk,
-       {_nullable(7, STORE)} as ss_store_sk, {_nullable(8, 'ok % 25 + 1')} as ss_promo_sk,
+       {_nullable(7, STORE)} as ss_store_sk, {_nullable(8, 'ok % outlets + 1')} as ss_promo_sk,
        ok + 1 as ss_ticket_number, qty as ss_quantity, {_amounts('ss', False)}
 from lines where {CHANNEL['store']}
 """
@@ -184,7 +185,7 @@ select {_nullable(1, f'{EPOCH_SK} + od')} as {p}_sold_date_sk,
        {_nullable(13, 'ck // 4 + 1')} as {p}_ship_addr_sk, {extra},
        {_nullable(16, 'ok % 25 + 1')} as {p}_ship_mode_sk,
        {_nullable(17, 'pk % 5 + 1')} as {p}_warehouse_sk,
-       {_nullable(8, 'ok % 25 + 1')} as {p}_promo_sk,
+       {_nullable(8, 'ok % outlets + 1')} as {p}_promo_sk,
        ok + 1 as {p}_order_number, qty as {p}_quantity, {_amounts(p, True)}
 from lines where {CHANNEL[channel]}
 """
@@ -196,7 +197,7 @@ def _catalog_sales(d):
 
 
 def _web_sales(d):
-    return _remote_sales("ws", "web", f"""{_nullable(14, 'sk % 25 + 1')} as ws_web_page_sk,
+    return _remote_sales("ws", "web", f"""{_nullable(14, 'sk + 1')} as ws_web_page_sk,
        {_nullable(15, SITE)} as ws_web_site_sk""")
 
 
@@ -255,7 +256,7 @@ def _catalog_returns(d):
 
 def _web_returns(d):
     return _remote_returns("wr", "web", "return_amt", "account_credit",
-                           f"{_nullable(14, 'sk % 25 + 1')} as wr_web_page_sk")
+                           f"{_nullable(14, 'sk + 1')} as wr_web_page_sk")
 
 
 def _inventory(d):
@@ -413,59 +414,58 @@ def _history(p, k):
     """Two keys share a business key; the older one is closed."""
     return f"""
        case when {k} % 2 = 0 then date'1995-01-01' else date'1998-01-01' end as {p}rec_start_date,
-       case when {k} % 2 = 0 and {k} < 24 then date'1997-12-31' end as {p}rec_end_date"""
+       case when {k} % 2 = 0 then date'1997-12-31' end as {p}rec_end_date"""
 
 
 def _store(d):
-    k = "n_nationkey"
+    k = "s_suppkey"
     return f"""
 select {k} + 1 as s_store_sk, {_ident('STOR', f'{k} // 2')} as s_store_id, {_history('s_', k)},
-       case when {k} % 6 = 5 then {EPOCH_SK} + 1000 + {k} end as s_closed_date_sk,
-       {d.pick(STORE_NAMES, k)} as s_store_name, 200 + {k} * 4 as s_number_employees,
-       5000000 + {k} * 1000 as s_floor_space, '8AM-8PM' as s_hours,
+       case when {k} % 6 = 5 then {EPOCH_SK} + 1000 + {k} % 700 end as s_closed_date_sk,
+       {d.pick(STORE_NAMES, k)} as s_store_name, 200 + {k} * 4 % 120 as s_number_employees,
+       5000000 + {k} % 500 * 1000 as s_floor_space, '8AM-8PM' as s_hours,
        concat('Manager ', cast({k} as string)) as s_manager, {k} % 10 + 1 as s_market_id,
        'Unknown' as s_geography_class, 'general market' as s_market_desc,
        concat('Market manager ', cast({k} % 10 as string)) as s_market_manager,
        1 as s_division_id, 'Unknown' as s_division_name, 1 as s_company_id,
        'Unknown' as s_company_name, {_address(d, 's_', k)},
        cast({k} % 12 * 0.01 as decimal(5,2)) as s_tax_precentage
-from src_nation
+from src_supplier
 """
 
 
 def _warehouse(d):
-    k = "r_regionkey"
+    k = "s_suppkey"
     return f"""
 select {k} + 1 as w_warehouse_sk, {_ident('WARE', k)} as w_warehouse_id,
-       concat('Warehouse of ', lower(r_name)) as w_warehouse_name,
-       50000 + {k} * 12345 as w_warehouse_sq_ft, {_address(d, 'w_', k)}
-from src_region
+       concat('Warehouse number ', cast({k} as string)) as w_warehouse_name,
+       50000 + {k} % 90 * 12345 as w_warehouse_sq_ft, {_address(d, 'w_', k)}
+from src_supplier
 """
 
 
 def _call_center(d):
-    k = "r_regionkey"
+    k = "s_suppkey"
     return f"""
 select {k} + 1 as cc_call_center_sk, {_ident('CALL', f'{k} // 2')} as cc_call_center_id,
-       case when {k} % 2 = 0 then date'1995-01-01' else date'1998-01-01' end as cc_rec_start_date,
-       case when {k} % 2 = 0 and {k} < 4 then date'1997-12-31' end as cc_rec_end_date,
-       cast(null as bigint) as cc_closed_date_sk, {EPOCH_SK} + {k} as cc_open_date_sk,
-       concat('Center ', lower(r_name)) as cc_name, 'large' as cc_class,
-       100 + {k} * 50 as cc_employees, 1000 + {k} * 700 as cc_sq_ft, '8AM-4PM' as cc_hours,
+       {_history('cc_', k)},
+       cast(null as bigint) as cc_closed_date_sk, {EPOCH_SK} + {k} % 700 as cc_open_date_sk,
+       concat('Center ', cast({k} as string)) as cc_name, 'large' as cc_class,
+       100 + {k} % 9 * 50 as cc_employees, 1000 + {k} % 9 * 700 as cc_sq_ft, '8AM-4PM' as cc_hours,
        concat('Boss ', cast({k} as string)) as cc_manager, {k} + 1 as cc_mkt_id,
        'general' as cc_mkt_class, 'calls' as cc_mkt_desc,
        concat('Market boss ', cast({k} as string)) as cc_market_manager, 1 as cc_division,
        'ought' as cc_division_name, 1 as cc_company, 'ought' as cc_company_name,
-       {_address(d, 'cc_', k)}, cast({k} * 0.01 as decimal(5,2)) as cc_tax_percentage
-from src_region
+       {_address(d, 'cc_', k)}, cast({k} % 12 * 0.01 as decimal(5,2)) as cc_tax_percentage
+from src_supplier
 """
 
 
 def _web_site(d):
-    k = "n_nationkey"
+    k = "s_suppkey"
     return f"""
 select {k} + 1 as web_site_sk, {_ident('SITE', f'{k} // 2')} as web_site_id, {_history('web_', k)},
-       concat('site_', cast({k} // 6 as string)) as web_name, {EPOCH_SK} + {k} as web_open_date_sk,
+       concat('site_', cast({k} // 6 % 5 as string)) as web_name, {EPOCH_SK} + {k} % 700 as web_open_date_sk,
        cast(null as bigint) as web_close_date_sk, 'Unknown' as web_class,
        concat('Webmaster ', cast({k} as string)) as web_manager, {k} % 6 + 1 as web_mkt_id,
        'general' as web_mkt_class, 'web' as web_mkt_desc,
@@ -473,30 +473,30 @@ select {k} + 1 as web_site_sk, {_ident('SITE', f'{k} // 2')} as web_site_id, {_h
        {k} % 6 + 1 as web_company_id,
        {d.pick(['pri', 'able', 'ought', 'ese', 'anti', 'cally'], k)} as web_company_name,
        {_address(d, 'web_', k)}, cast({k} % 12 * 0.01 as decimal(5,2)) as web_tax_percentage
-from src_nation
+from src_supplier
 """
 
 
 def _web_page(d):
-    k = "n_nationkey"
+    k = "s_suppkey"
     return f"""
 select {k} + 1 as wp_web_page_sk, {_ident('PAGE', f'{k} // 2')} as wp_web_page_id,
-       {_history('wp_', k)}, {EPOCH_SK} + {k} as wp_creation_date_sk,
-       {EPOCH_SK} + 100 + {k} as wp_access_date_sk,
+       {_history('wp_', k)}, {EPOCH_SK} + {k} % 700 as wp_creation_date_sk,
+       {EPOCH_SK} + 100 + {k} % 700 as wp_access_date_sk,
        {d.pick(['Y', 'N'], k)} as wp_autogen_flag, {k} + 1 as wp_customer_sk,
        'http://www.example.com' as wp_url,
        {d.pick(['general', 'order', 'welcome', 'ad', 'feedback'], k)} as wp_type,
-       5000 + {k} * 20 as wp_char_count, {k} % 20 + 2 as wp_link_count,
+       5000 + {k} % 25 * 20 as wp_char_count, {k} % 20 + 2 as wp_link_count,
        {k} % 7 as wp_image_count, {k} % 4 as wp_max_ad_count
-from src_nation
+from src_supplier
 """
 
 
 def _promotion(d):
-    k = "n_nationkey"
+    k = "s_suppkey"
     return f"""
 select {k} + 1 as p_promo_sk, {_ident('PROM', k)} as p_promo_id,
-       {EPOCH_SK} + {k} as p_start_date_sk, {EPOCH_SK} + {k} + 60 as p_end_date_sk,
+       {EPOCH_SK} + {k} % 700 as p_start_date_sk, {EPOCH_SK} + {k} % 700 + 60 as p_end_date_sk,
        {k} + 1 as p_item_sk, cast(1000 as decimal(15,2)) as p_cost, 1 as p_response_target,
        {d.pick(STORE_NAMES, k)} as p_promo_name, {d.pick(['Y', 'N'], k)} as p_channel_dmail,
        {d.pick(['N', 'N', 'Y'], k)} as p_channel_email, 'N' as p_channel_catalog,
@@ -504,7 +504,7 @@ select {k} + 1 as p_promo_sk, {_ident('PROM', k)} as p_promo_id,
        'N' as p_channel_press, {d.pick(['N', 'Y'], k)} as p_channel_event,
        'N' as p_channel_demo, concat('promo ', cast({k} as string)) as p_channel_details,
        'Unknown' as p_purpose, 'N' as p_discount_active
-from src_nation
+from src_supplier
 """
 
 
@@ -555,19 +555,19 @@ def _clock(seconds):
 
 def _s_purchase(d):
     return f"""
-select {NEW_ORDER} as purc_purchase_id, {_ident('STOR', 'ok // 3 % 25 // 2')} as purc_store_id,
+select {NEW_ORDER} as purc_purchase_id, {_ident('STOR', 'ok // 3 % outlets // 2')} as purc_store_id,
        {_ident('CUST', 'min(ck)')} as purc_customer_id,
        {_day_text(d, 'min(od)', 'ok % 41 = 0')} as purc_purchase_date,
        ok * 61 % 86400 as purc_purchase_time, ok % 9 + 1 as purc_register_id,
        ok % 31 + 1 as purc_clerk_id, 'Unknown' as purc_comment
-from lines where {CHANNEL['store']} group by ok
+from lines where {CHANNEL['store']} group by ok, outlets
 """
 
 
 def _s_purchase_lineitem(d):
     return f"""
 select {NEW_ORDER} as plin_purchase_id, pk + 1 as plin_line_number,
-       {_ident('ITEM', 'pk // 2')} as plin_item_id, {_ident('PROM', 'ok % 25')} as plin_promotion_id,
+       {_ident('ITEM', 'pk // 2')} as plin_item_id, {_ident('PROM', 'ok % outlets')} as plin_promotion_id,
        qty as plin_quantity, {_money('sale', 7)} as plin_sale_price, {_money('coupon')} as plin_coupon_amt,
        'Unknown' as plin_comment
 from lines where {CHANNEL['store']}
@@ -581,7 +581,7 @@ select {NEW_ORDER} as {p}_order_id, {_ident('CUST', 'min(ck)')} as {p}_bill_cust
        {_ident('CUST', 'min(ck) // 2')} as {p}_ship_customer_id,
        {_day_text(d, 'min(od)', 'ok % 17 = 0')} as {p}_order_date, ok * 61 % 86400 as {p}_order_time,
        {_ident('SHIP', 'ok % 25')} as {p}_ship_mode_id, {outlet}, 'Unknown' as {p}_order_comments
-from lines where {CHANNEL[channel]} group by ok
+from lines where {CHANNEL[channel]} group by ok, outlets
 """
     return table
 
@@ -590,7 +590,7 @@ def _s_order_lineitem(p, channel, extra):
     def table(d):
         return f"""
 select {NEW_ORDER} as {p}_order_id, pk + 1 as {p}_line_number, {_ident('ITEM', 'pk // 2')} as {p}_item_id,
-       {_ident('PROM', 'ok % 25')} as {p}_promotion_id, qty as {p}_quantity,
+       {_ident('PROM', 'ok % outlets')} as {p}_promotion_id, qty as {p}_quantity,
        {_money('sale', 7)} as {p}_sales_price, {_money('coupon')} as {p}_coupon_amt,
        {_ident('WARE', 'pk % 5')} as {p}_warehouse_id,
        {_day_text(d, 'sd', 'pk % 19 = 0')} as {p}_ship_date, {extra},
@@ -628,18 +628,18 @@ REFRESH = {
     "s_catalog_order": _s_order("cord", "catalog", f"{_ident('CALL', 'ok % 5 // 2')} as cord_call_center_id"),
     "s_catalog_order_lineitem": _s_order_lineitem(
         "clin", "catalog", "sk // 20 + 1 as clin_catalog_number, sk % 20 + 1 as clin_catalog_page_number"),
-    "s_web_order": _s_order("word", "web", f"{_ident('SITE', 'ok // 7 % 25 // 2')} as word_web_site_id"),
+    "s_web_order": _s_order("word", "web", f"{_ident('SITE', 'ok // 7 % outlets // 2')} as word_web_site_id"),
     "s_web_order_lineitem": _s_order_lineitem(
-        "wlin", "web", f"{_ident('PAGE', 'sk % 25 // 2')} as wlin_web_page_id"),
+        "wlin", "web", f"{_ident('PAGE', 'sk // 2')} as wlin_web_page_id"),
     "s_store_returns": _s_returns(
-        "sret", "store", "sret_ticket_number", f"{_ident('STOR', 'ok // 3 % 25 // 2')} as sret_store_id",
+        "sret", "store", "sret_ticket_number", f"{_ident('STOR', 'ok // 3 % outlets // 2')} as sret_store_id",
         f"{_ident('CUST', 'ck')} as sret_customer_id", "store_credit", ""),
     "s_catalog_returns": _s_returns(
         "cret", "catalog", "cret_order_id", f"{_ident('CALL', 'ok % 5 // 2')} as cret_call_center_id",
         _two_customers("cret"), "merchant_credit", ""),
     "s_web_returns": _s_returns(
-        "wret", "web", "wret_order_id", f"{_ident('SITE', 'ok // 7 % 25 // 2')} as wret_web_site_id",
-        _two_customers("wret"), "account_credit", f", {_ident('PAGE', 'sk % 25 // 2')} as wret_web_page_id"),
+        "wret", "web", "wret_order_id", f"{_ident('SITE', 'ok // 7 % outlets // 2')} as wret_web_site_id",
+        _two_customers("wret"), "account_credit", f", {_ident('PAGE', 'sk // 2')} as wret_web_page_id"),
 }
 
 TABLES = {
