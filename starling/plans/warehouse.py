@@ -70,7 +70,8 @@ class Star:
             session = (*key, spark._jsparkSession.hashCode())
             if session not in _stars:
                 mark = hashlib.sha256(str(key).encode()).hexdigest()[:16]
-                _stars[session] = cls(spark, sf_dir, folder and f"{folder}/star-{mark}")
+                limit = int(spark.conf.get("spark.starling.partitionBytes", str(PARTITION_BYTES)))
+                _stars[session] = cls(spark, sf_dir, folder and f"{folder}/star-{mark}", limit)
             return _stars[session]
 
     def source(self, name: str) -> DataFrame:
