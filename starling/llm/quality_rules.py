@@ -149,5 +149,5 @@ def op7(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The input rows that are kept, with all their columns."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    known = references(measured(named, rules))
-    return judged(measured(named, rules, "row"), known, rules).where("kept").select("row.*")
+    rows = staged(measured(named, rules, "row"), "measured")
+    return judged(rows, references(rows), rules).where("kept").select("row.*")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from starling.llm import exact_dedup, quality_rules, sharding
+from starling.llm import exact_dedup, packing, pieces, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op1_packing": packing.op1,
+    "op2_token_counts": token_counts.op2,
+    "op4_pieces": pieces.op4,
     "op5_sharding": sharding.op5,
     "op7_quality_rules": quality_rules.op7,
     "op8_exact_dedup": exact_dedup.op8,
