@@ -59,3 +59,13 @@ def let(value: Column, body) -> Column:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the text ``null``."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join with ``right``, unique by ``key``; ``weight`` counts the rows of ``left`` that a key has.
+
+    Keys above ``total / parts`` rows number fewer than ``parts``, so they are broadcast and their
+    rows stay where they are; all other keys are shuffled, none of them large.
+    """
+    heavy = F.col(weight) > max(1, total // parts)
+    return left.join(F.broadcast(right.where(heavy)), key).unionByName(left.join(right.where(~heavy), key))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starling.llm import exact_dedup, packing, pieces, quality_rules, sharding, token_counts
+from starling.llm import chat, exact_dedup, order_minhash, packing, pieces, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_sharding": sharding.op5,
     "op7_quality_rules": quality_rules.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op9_chat_format": chat.op9,
+    "op10_order_minhash": order_minhash.op10,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
