@@ -27,6 +27,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from starling.llm.common import shipped
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 ESCAPE = "\\"
 LEARNED_ROLE = "assistant"
@@ -142,7 +144,7 @@ def formatted(conversations: DataFrame, learned_role: str = LEARNED_ROLE) -> Dat
 
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     id_type, turn_type = (conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
-    return (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return (shipped(rows).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
             .mapInArrow(rendered, f"conv_id {id_type}, turn {turn_type}, formatted string, loss_begin long, loss_end long"))
 
 
@@ -170,7 +172,7 @@ def digested(turns: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
     turn_ids = to_arrow_type(turns.schema["conv_id"].dataType)
     id_type = turns.schema["conv_id"].dataType.simpleString()
-    return turns.select("conv_id", "formatted", "loss_begin", "loss_end").mapInArrow(
+    return shipped(turns.select("conv_id", "formatted", "loss_begin", "loss_end")).mapInArrow(
         digest, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -69,3 +69,25 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     """
     heavy = F.col(weight) > max(1, total // parts)
     return left.join(F.broadcast(right.where(heavy)), key).unionByName(left.join(right.where(~heavy), key))
+
+
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The same rows, once this package's modules are on the executors' Python path.
+
+    Functions of ``mapInArrow`` and ``mapInPandas`` refer to their modules, which keep vocabularies
+    and encoded words between tasks; on a cluster the modules travel as a file of the application.
+    """
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        import pathlib
+        import zipfile
+        root = pathlib.Path(__file__).resolve().parents[1]
+        with tempfile.NamedTemporaryFile(prefix=f"{root.name}-", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        context.addPyFile(out.name)
+        _shipped.add(context.applicationId)
+    return df

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starling.llm.common import join_spread, staged, text_of
+from starling.llm.common import join_spread, shipped, staged, text_of
 
 
 @dataclass(frozen=True)
@@ -201,7 +201,7 @@ def texts(docs: DataFrame) -> DataFrame:
                     names=["row_id", "doc_id", "text_key", "n", "sketch", "hashes"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row_id", "doc_id", "text").mapInArrow(
+    return shipped(docs.select("row_id", "doc_id", "text")).mapInArrow(
         sketched, f"row_id long, doc_id {id_type}, text_key long, n long, sketch array<long>, hashes binary")
 
 
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     both = pairs.join(words.select(F.col("text_key").alias("a"), F.col("hashes").alias("left")), "a").join(
         words.select(F.col("text_key").alias("b"), F.col("hashes").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInPandas(kept, "a long, b long")
+    return shipped(both.select("a", "b", "left", "right")).mapInPandas(kept, "a long, b long")
 
 
 def linked(rows: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from starling.llm import tokenizers_public
-from starling.llm.common import staged, text_of, unsigned_bucket
+from starling.llm.common import shipped, staged, text_of, unsigned_bucket
 
 FILE = "word_bpe_49k.json"
 END_ID = 1
@@ -210,7 +210,7 @@ def tokens(docs: DataFrame, file_name: str = FILE, end_id: int = END_ID) -> Data
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_of().alias("text"))
-    return rows.mapInArrow(encoded, f"row_id long, doc_id {id_type}, n long, ids binary")
+    return shipped(rows).mapInArrow(encoded, f"row_id long, doc_id {id_type}, n long, ids binary")
 
 
 # ---- packing --------------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, size: int = LENGTH, file_name: str = FILE, end_id: int
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     placed = rows.join(ranked(rows, size), "row_id")
-    return placed.select("doc_id", "n", "ids", "rank", "whole_before").mapInPandas(
+    return shipped(placed.select("doc_id", "n", "ids", "rank", "whole_before")).mapInPandas(
         pieces, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

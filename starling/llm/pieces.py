@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from starling.llm import tokenizers_public
-from starling.llm.common import text_of
+from starling.llm.common import shipped, text_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 begin += part.num_rows
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(encoded, f"doc_id {id_type}, ids array<int>")
+    return shipped(docs.select("doc_id", text_of().alias("text"))).mapInArrow(encoded, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -276,7 +276,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
                                                  names=[f.name for f in others] + ["decoded"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["decoded string"])
-    return rows.mapInArrow(decoded, schema)
+    return shipped(rows).mapInArrow(decoded, schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from starling.llm import tokenizers_public
-from starling.llm.common import text_of
+from starling.llm.common import shipped, text_of
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, layout: Chunks = LAYOUT, limit: int = LIMIT) -
 
     rows = docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(counted, f"doc_id {id_type}, n_bytes long, n_tokens long").select(
+    return shipped(rows).mapInArrow(counted, f"doc_id {id_type}, n_bytes long, n_tokens long").select(
         "*", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
