@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from starling.llm import chat, exact_dedup, order_minhash, packing, pieces, quality_rules, sharding, token_counts
+from starling.llm import chat, exact_dedup, hmm, order_minhash, packing, pieces, quality_mil, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_token_counts": token_counts.op2,
+    "op3_quality_mil": quality_mil.op3,
     "op4_pieces": pieces.op4,
     "op5_sharding": sharding.op5,
+    "op6_hmm": hmm.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_chat_format": chat.op9,
