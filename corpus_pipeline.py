@@ -1,28 +1,48 @@
-"""Documents to packed training sequences in stages, each the next one's input."""
+"""Documents to packed training sequences in stages, each the next one's input.
+
+Every stage works on all that the one before it kept; what a stage rejects is gone.  A stage's
+result is written to the shared folder and read again, so a lost executor costs one stage's tasks.
+"""
 
 from __future__ import annotations
 
-from starling.llm import exact_dedup, quality_rules
+from starling.llm import exact_dedup, order_minhash, packing, quality_mil, quality_rules
 from starling.llm.common import staged
 
-ORACLE_SQL = None  # trained and sketched stages have no SQL form
+ORACLE_SQL = None  # a trained classifier, sketches and packing have no SQL form
 
 
-def rules(spark, docs, sf_dir):
+def good_form(spark, docs, sf_dir):
     """Documents that pass the quality rules."""
     return quality_rules.keep_good(docs)
 
 
-def exact(spark, docs, sf_dir):
+def good_quality(spark, docs, sf_dir):
+    """Documents that the classifier accepts; it learns from the labelled ones among its input."""
+    return quality_mil.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def no_copies(spark, docs, sf_dir):
     """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality rules", rules), ("exact dedup", exact)]
+def no_near_copies(spark, docs, sf_dir):
+    """One document of each class of near duplicates."""
+    return order_minhash.drop_near(docs)
+
+
+def sequences(spark, docs, sf_dir):
+    """The pieces of the documents in sequences of a fixed length."""
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [("quality rules", good_form), ("quality classifier", good_quality), ("exact dedup", no_copies),
+          ("near dedup", no_near_copies), ("packing", sequences)]
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), "-".join(name.split()))
