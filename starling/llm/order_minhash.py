@@ -293,12 +293,13 @@ def find_near(docs: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
     ``class_id`` is the smallest id among the documents that links connect, the document's own
     where it has none; ``kept`` is true for one row of each class, that with the smallest id.
     Texts with the same words are one class, null and empty texts with it.  Null ids come after
-    all others; of repeated rows one is kept; an empty table gives an empty result.  ``docs`` may
-    bring its own ``row_id``.
+    all others; of repeated rows one is kept; an empty table gives an empty result.
     """
-    if "row_id" not in docs.columns:
-        docs = docs.withColumn("row_id", F.monotonically_increasing_id())
-    rows = staged(texts(docs.select("row_id", "doc_id", text_of().alias("text"))), "texts")
+    return _near(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_of().alias("text")), layout)
+
+
+def _near(numbered: DataFrame, layout: Sketch) -> DataFrame:
+    rows = staged(texts(numbered), "texts")
     total = rows.count()
     if not total:
         return rows.select("row_id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("class_size"), F.lit(True).alias("kept"))
@@ -318,7 +319,7 @@ def drop_near(docs: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
     """The input rows that stay, one of each class, with all their columns."""
     inner = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
                    .withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    dropped = staged(find_near(inner, layout).where(~F.col("kept")).select("row_id"), "dropped")
+    dropped = staged(_near(inner.select("row_id", "doc_id", text_of().alias("text")), layout).where(~F.col("kept")).select("row_id"), "dropped")
     return inner.join(dropped, "row_id", "left_anti").select("row.*")
 
 
