@@ -1,190 +1,180 @@
 -- name: refresh_store_sales
-select d_date_sk ss_sold_date_sk, t_time_sk ss_sold_time_sk, I.i_item_sk ss_item_sk, c_customer_sk ss_customer_sk,
-  c_current_cdemo_sk ss_cdemo_sk, c_current_hdemo_sk ss_hdemo_sk, c_current_addr_sk ss_addr_sk, s_store_sk ss_store_sk,
-  p_promo_sk ss_promo_sk, purc_purchase_id ss_ticket_number, plin_quantity ss_quantity, I.i_wholesale_cost ss_wholesale_cost, I.i_current_price ss_list_price, plin_sale_price ss_sales_price,
-  (I.i_current_price - plin_sale_price) * plin_quantity ss_ext_discount_amt, plin_sale_price * plin_quantity ss_ext_sales_price, I.i_wholesale_cost * plin_quantity ss_ext_wholesale_cost,
-  I.i_current_price * plin_quantity ss_ext_list_price, I.i_current_price * s_tax_precentage ss_ext_tax, plin_coupon_amt ss_coupon_amt,
-  plin_sale_price * plin_quantity - plin_coupon_amt ss_net_paid, (plin_sale_price * plin_quantity - plin_coupon_amt) * (1 + s_tax_precentage) ss_net_paid_inc_tax,
-  plin_sale_price * plin_quantity - plin_coupon_amt - plin_quantity * I.i_wholesale_cost ss_net_profit
-from s_purchase_lineitem join s_purchase on purc_purchase_id = plin_purchase_id
-left join customer on c_customer_id = purc_customer_id left join store on s_store_id = purc_store_id
-left join date_dim on d_date = case when purc_purchase_date like '%-47%' or trim(purc_purchase_date) = '' then null else purc_purchase_date::date end left join time_dim on t_time = purc_purchase_time
-left join promotion on p_promo_id = plin_promotion_id left join item I on I.i_item_id = plin_item_id
-where I.i_rec_end_date is null and s_rec_end_date is null
+with day as (select d_date_sk, cast(d_date as varchar) as written from date_dim),
+good as (select i_item_id as id, i_item_sk, i_wholesale_cost as cost, i_current_price as listed from item where i_rec_end_date is null),
+place as (select s_store_id as id, s_store_sk, s_tax_precentage as tax from store where s_rec_end_date is null),
+head as (
+  select purc_purchase_id as doc, d_date_sk, t_time_sk, c_customer_sk, c_current_cdemo_sk, c_current_hdemo_sk, c_current_addr_sk, s_store_sk, tax
+  from s_purchase left join place on place.id = purc_store_id left join customer on c_customer_id = purc_customer_id
+  left join day on written = purc_purchase_date left join time_dim on t_time = purc_purchase_time
+  where place.id is not null or purc_store_id not in (select s_store_id from store)),
+line as (
+  select plin_purchase_id as doc, i_item_sk, cost, listed, p_promo_sk, plin_quantity as qty, plin_sale_price as price, plin_coupon_amt as coupon
+  from s_purchase_lineitem left join good on good.id = plin_item_id left join promotion on p_promo_id = plin_promotion_id
+  where good.id is not null or plin_item_id not in (select i_item_id from item)),
+worked as (select *, price * qty as gross, cost * qty as spent, listed * qty as worth, gross - coupon as paid, listed * tax as due from line join head using (doc))
+select doc as ss_ticket_number, i_item_sk as ss_item_sk, s_store_sk as ss_store_sk, p_promo_sk as ss_promo_sk, d_date_sk as ss_sold_date_sk, t_time_sk as ss_sold_time_sk,
+  c_customer_sk as ss_customer_sk, c_current_cdemo_sk as ss_cdemo_sk, c_current_hdemo_sk as ss_hdemo_sk, c_current_addr_sk as ss_addr_sk,
+  qty as ss_quantity, price as ss_sales_price, listed as ss_list_price, cost as ss_wholesale_cost, coupon as ss_coupon_amt,
+  gross as ss_ext_sales_price, worth as ss_ext_list_price, spent as ss_ext_wholesale_cost, worth - gross as ss_ext_discount_amt, due as ss_ext_tax,
+  paid as ss_net_paid, paid * (1 + tax) as ss_net_paid_inc_tax, paid - spent as ss_net_profit
+from worked
 -- name: refresh_catalog_sales
-select D.d_date_sk cs_sold_date_sk, t_time_sk cs_sold_time_sk, E.d_date_sk cs_ship_date_sk, I.i_item_sk cs_item_sk,
-  B.c_customer_sk cs_bill_customer_sk, B.c_current_cdemo_sk cs_bill_cdemo_sk, B.c_current_hdemo_sk cs_bill_hdemo_sk, B.c_current_addr_sk cs_bill_addr_sk,
-  H.c_customer_sk cs_ship_customer_sk, H.c_current_cdemo_sk cs_ship_cdemo_sk, H.c_current_hdemo_sk cs_ship_hdemo_sk, H.c_current_addr_sk cs_ship_addr_sk,
-  sm_ship_mode_sk cs_ship_mode_sk, w_warehouse_sk cs_warehouse_sk, p_promo_sk cs_promo_sk, cord_order_id cs_order_number, cc_call_center_sk cs_call_center_sk, cp_catalog_page_sk cs_catalog_page_sk,
-  clin_quantity cs_quantity, I.i_wholesale_cost cs_wholesale_cost, I.i_current_price cs_list_price, clin_sales_price cs_sales_price,
-  (I.i_current_price - clin_sales_price) * clin_quantity cs_ext_discount_amt, clin_sales_price * clin_quantity cs_ext_sales_price, I.i_wholesale_cost * clin_quantity cs_ext_wholesale_cost,
-  I.i_current_price * clin_quantity cs_ext_list_price, I.i_current_price * cc_tax_percentage cs_ext_tax, clin_coupon_amt cs_coupon_amt,
-  clin_sales_price * clin_quantity - clin_coupon_amt cs_net_paid, (clin_sales_price * clin_quantity - clin_coupon_amt) * (1 + cc_tax_percentage) cs_net_paid_inc_tax,
-  clin_sales_price * clin_quantity - clin_coupon_amt - clin_quantity * I.i_wholesale_cost cs_net_profit, clin_ship_cost * clin_quantity cs_ext_ship_cost,
-  clin_sales_price * clin_quantity - clin_coupon_amt + clin_ship_cost * clin_quantity cs_net_paid_inc_ship, clin_sales_price * clin_quantity - clin_coupon_amt + clin_ship_cost * clin_quantity + I.i_current_price * cc_tax_percentage cs_net_paid_inc_ship_tax
-from s_catalog_order_lineitem join s_catalog_order on cord_order_id = clin_order_id
-left join date_dim D on D.d_date = case when cord_order_date like '%-47%' or trim(cord_order_date) = '' then null else cord_order_date::date end left join time_dim on t_time = cord_order_time
-left join customer B on B.c_customer_id = cord_bill_customer_id left join customer H on H.c_customer_id = cord_ship_customer_id
-left join ship_mode on sm_ship_mode_id = cord_ship_mode_id left join date_dim E on E.d_date = case when clin_ship_date like '%-47%' or trim(clin_ship_date) = '' then null else clin_ship_date::date end
-left join item I on I.i_item_id = clin_item_id left join warehouse on w_warehouse_id = clin_warehouse_id
-left join promotion on p_promo_id = clin_promotion_id
-left join call_center on cc_call_center_id = cord_call_center_id
-left join catalog_page on cp_catalog_page_number = clin_catalog_page_number and cp_catalog_number = clin_catalog_number
-where I.i_rec_end_date is null and cc_rec_end_date is null
+with day as (select d_date_sk, cast(d_date as varchar) as written from date_dim),
+buyer as (select c_customer_id as id, c_customer_sk as who, c_current_cdemo_sk as cd, c_current_hdemo_sk as hd, c_current_addr_sk as ad from customer),
+place as (select cc_call_center_id as id, cc_call_center_sk, cc_tax_percentage as tax from call_center where cc_rec_end_date is null),
+placed as (select cc_call_center_id as id from call_center),
+head as (
+  select cord_order_id as doc, sold.d_date_sk as sold_day, t_time_sk, payer, taker, mode, cc_call_center_sk, tax
+  from (select *, b as payer, h as taker from (select o.*, b, h from s_catalog_order o
+        left join buyer b on b.id = cord_bill_customer_id left join buyer h on h.id = cord_ship_customer_id))
+  left join day sold on sold.written = cord_order_date
+  left join time_dim on t_time = cord_order_time
+  left join (select sm_ship_mode_id as mode_id, sm_ship_mode_sk as mode from ship_mode) on mode_id = cord_ship_mode_id
+  left join place on place.id = cord_call_center_id
+  where place.id is not null or cord_call_center_id not in (select id from placed)),
+good as (select i_item_id as id, i_item_sk, i_wholesale_cost as cost, i_current_price as listed from item where i_rec_end_date is null),
+line as (
+  select clin.*, clin_order_id as doc, i_item_sk, cost, listed, d_date_sk as ship_day, w_warehouse_sk, p_promo_sk, clin_quantity as qty, clin_sales_price as price, clin_coupon_amt as coupon
+  from s_catalog_order_lineitem clin
+  left join good on good.id = clin_item_id left join day on written = clin_ship_date
+  left join warehouse on w_warehouse_id = clin_warehouse_id left join promotion on p_promo_id = clin_promotion_id
+  where good.id is not null or clin_item_id not in (select i_item_id from item)),
+worked as (
+  select *, price * qty as gross, cost * qty as spent, listed * qty as worth, clin_ship_cost * qty as freight, gross - coupon as paid, listed * tax as due
+  from line join head using (doc))
+select doc as cs_order_number, i_item_sk as cs_item_sk, payer.who as cs_bill_customer_sk, payer.cd as cs_bill_cdemo_sk, payer.hd as cs_bill_hdemo_sk, payer.ad as cs_bill_addr_sk, taker.who as cs_ship_customer_sk, taker.cd as cs_ship_cdemo_sk, taker.hd as cs_ship_hdemo_sk, taker.ad as cs_ship_addr_sk,
+  sold_day as cs_sold_date_sk, t_time_sk as cs_sold_time_sk, ship_day as cs_ship_date_sk, mode as cs_ship_mode_sk, w_warehouse_sk as cs_warehouse_sk, p_promo_sk as cs_promo_sk,
+  qty as cs_quantity, price as cs_sales_price, listed as cs_list_price, cost as cs_wholesale_cost, coupon as cs_coupon_amt,
+  gross as cs_ext_sales_price, worth as cs_ext_list_price, spent as cs_ext_wholesale_cost, worth - gross as cs_ext_discount_amt, due as cs_ext_tax,
+  paid as cs_net_paid, paid * (1 + tax) as cs_net_paid_inc_tax, paid - spent as cs_net_profit,
+  cc_call_center_sk as cs_call_center_sk, cp_catalog_page_sk as cs_catalog_page_sk,
+  freight as cs_ext_ship_cost, paid + freight as cs_net_paid_inc_ship, paid + freight + due as cs_net_paid_inc_ship_tax
+from worked left join catalog_page on (cp_catalog_number, cp_catalog_page_number) = (clin_catalog_number, clin_catalog_page_number)
 -- name: refresh_web_sales
-select D.d_date_sk ws_sold_date_sk, t_time_sk ws_sold_time_sk, E.d_date_sk ws_ship_date_sk, I.i_item_sk ws_item_sk,
-  B.c_customer_sk ws_bill_customer_sk, B.c_current_cdemo_sk ws_bill_cdemo_sk, B.c_current_hdemo_sk ws_bill_hdemo_sk, B.c_current_addr_sk ws_bill_addr_sk,
-  H.c_customer_sk ws_ship_customer_sk, H.c_current_cdemo_sk ws_ship_cdemo_sk, H.c_current_hdemo_sk ws_ship_hdemo_sk, H.c_current_addr_sk ws_ship_addr_sk,
-  sm_ship_mode_sk ws_ship_mode_sk, w_warehouse_sk ws_warehouse_sk, p_promo_sk ws_promo_sk, word_order_id ws_order_number, wp_web_page_sk ws_web_page_sk, web_site_sk ws_web_site_sk,
-  wlin_quantity ws_quantity, I.i_wholesale_cost ws_wholesale_cost, I.i_current_price ws_list_price, wlin_sales_price ws_sales_price,
-  (I.i_current_price - wlin_sales_price) * wlin_quantity ws_ext_discount_amt, wlin_sales_price * wlin_quantity ws_ext_sales_price, I.i_wholesale_cost * wlin_quantity ws_ext_wholesale_cost,
-  I.i_current_price * wlin_quantity ws_ext_list_price, I.i_current_price * web_tax_percentage ws_ext_tax, wlin_coupon_amt ws_coupon_amt,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt ws_net_paid, (wlin_sales_price * wlin_quantity - wlin_coupon_amt) * (1 + web_tax_percentage) ws_net_paid_inc_tax,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt - wlin_quantity * I.i_wholesale_cost ws_net_profit, 0 ws_ext_ship_cost,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt - wlin_quantity * I.i_wholesale_cost ws_net_paid_inc_ship,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt + wlin_ship_cost * wlin_quantity + I.i_current_price * web_tax_percentage ws_net_paid_inc_ship_tax
-from s_web_order_lineitem join s_web_order on word_order_id = wlin_order_id
-left join date_dim D on D.d_date = case when word_order_date like '%-47%' or trim(word_order_date) = '' then null else word_order_date::date end left join time_dim on t_time = word_order_time
-left join customer B on B.c_customer_id = word_bill_customer_id left join customer H on H.c_customer_id = word_ship_customer_id
-left join ship_mode on sm_ship_mode_id = word_ship_mode_id left join date_dim E on E.d_date = case when wlin_ship_date like '%-47%' or trim(wlin_ship_date) = '' then null else wlin_ship_date::date end
-left join item I on I.i_item_id = wlin_item_id left join warehouse on w_warehouse_id = wlin_warehouse_id
-left join promotion on p_promo_id = wlin_promotion_id
-left join web_site on web_site_id = word_web_site_id left join web_page on wp_web_page_id = wlin_web_page_id
-where I.i_rec_end_date is null and web_rec_end_date is null and wp_rec_end_date is null
+with day as (select d_date_sk, cast(d_date as varchar) as written from date_dim),
+buyer as (select c_customer_id as id, c_customer_sk as who, c_current_cdemo_sk as cd, c_current_hdemo_sk as hd, c_current_addr_sk as ad from customer),
+place as (select web_site_id as id, web_site_sk, web_tax_percentage as tax from web_site where web_rec_end_date is null),
+placed as (select web_site_id as id from web_site),
+head as (
+  select word_order_id as doc, sold.d_date_sk as sold_day, t_time_sk, payer, taker, mode, web_site_sk, tax
+  from (select *, b as payer, h as taker from (select o.*, b, h from s_web_order o
+        left join buyer b on b.id = word_bill_customer_id left join buyer h on h.id = word_ship_customer_id))
+  left join day sold on sold.written = word_order_date
+  left join time_dim on t_time = word_order_time
+  left join (select sm_ship_mode_id as mode_id, sm_ship_mode_sk as mode from ship_mode) on mode_id = word_ship_mode_id
+  left join place on place.id = word_web_site_id
+  where place.id is not null or word_web_site_id not in (select id from placed)),
+good as (select i_item_id as id, i_item_sk, i_wholesale_cost as cost, i_current_price as listed from item where i_rec_end_date is null),
+line as (
+  select wlin.*, wlin_order_id as doc, i_item_sk, cost, listed, d_date_sk as ship_day, w_warehouse_sk, p_promo_sk, wlin_quantity as qty, wlin_sales_price as price, wlin_coupon_amt as coupon
+  from s_web_order_lineitem wlin
+  left join good on good.id = wlin_item_id left join day on written = wlin_ship_date
+  left join warehouse on w_warehouse_id = wlin_warehouse_id left join promotion on p_promo_id = wlin_promotion_id
+  where good.id is not null or wlin_item_id not in (select i_item_id from item)),
+worked as (
+  select *, price * qty as gross, cost * qty as spent, listed * qty as worth, wlin_ship_cost * qty as freight, gross - coupon as paid, listed * tax as due
+  from line join head using (doc)),
+page as (select wp_web_page_id as id, wp_web_page_sk from web_page where wp_rec_end_date is null)
+select doc as ws_order_number, i_item_sk as ws_item_sk, payer.who as ws_bill_customer_sk, payer.cd as ws_bill_cdemo_sk, payer.hd as ws_bill_hdemo_sk, payer.ad as ws_bill_addr_sk, taker.who as ws_ship_customer_sk, taker.cd as ws_ship_cdemo_sk, taker.hd as ws_ship_hdemo_sk, taker.ad as ws_ship_addr_sk,
+  sold_day as ws_sold_date_sk, t_time_sk as ws_sold_time_sk, ship_day as ws_ship_date_sk, mode as ws_ship_mode_sk, w_warehouse_sk as ws_warehouse_sk, p_promo_sk as ws_promo_sk,
+  qty as ws_quantity, price as ws_sales_price, listed as ws_list_price, cost as ws_wholesale_cost, coupon as ws_coupon_amt,
+  gross as ws_ext_sales_price, worth as ws_ext_list_price, spent as ws_ext_wholesale_cost, worth - gross as ws_ext_discount_amt, due as ws_ext_tax,
+  paid as ws_net_paid, paid * (1 + tax) as ws_net_paid_inc_tax, paid - spent as ws_net_profit,
+  wp_web_page_sk as ws_web_page_sk, web_site_sk as ws_web_site_sk,
+  0 as ws_ext_ship_cost, paid - spent as ws_net_paid_inc_ship, paid + freight + due as ws_net_paid_inc_ship_tax
+from worked left join page on page.id = wlin_web_page_id
+where page.id is not null or wlin_web_page_id not in (select wp_web_page_id from web_page)
 -- name: refresh_store_returns
-select d_date_sk sr_returned_date_sk, t_time_sk sr_return_time_sk, I.i_item_sk sr_item_sk, c_customer_sk sr_customer_sk,
-  c_current_cdemo_sk sr_cdemo_sk, c_current_hdemo_sk sr_hdemo_sk, c_current_addr_sk sr_addr_sk, s_store_sk sr_store_sk,
-  r_reason_sk sr_reason_sk, sret_ticket_number sr_ticket_number, sret_return_qty sr_return_quantity, sret_return_amt sr_return_amt, sret_return_tax sr_return_tax,
-  sret_return_amt + sret_return_tax sr_return_amt_inc_tax, sret_return_fee sr_fee, sret_return_ship_cost sr_return_ship_cost,
-  sret_refunded_cash sr_refunded_cash, sret_reversed_charge sr_reversed_charge, sret_store_credit sr_store_credit,
-  sret_return_amt + sret_return_tax + sret_return_fee - sret_refunded_cash - sret_reversed_charge - sret_store_credit sr_net_loss
-from s_store_returns left join date_dim on d_date = case when sret_return_date like '%-47%' or trim(sret_return_date) = '' then null else sret_return_date::date end
-left join time_dim on t_time = sret_return_time[1:2]::int * 3600 + sret_return_time[4:5]::int * 60 + sret_return_time[7:8]::int left join item I on I.i_item_id = sret_item_id
-left join customer on c_customer_id = sret_customer_id left join store on s_store_id = sret_store_id
-left join reason on r_reason_id = sret_reason_id where I.i_rec_end_date is null and s_rec_end_date is null
+with day as (select d_date_sk, cast(d_date as varchar) as written from date_dim),
+buyer as (select c_customer_id as id, c_customer_sk as who, c_current_cdemo_sk as cd, c_current_hdemo_sk as hd, c_current_addr_sk as ad from customer),
+open_item as (select i_item_id as id, i_item_sk from item where i_rec_end_date is null),
+open_place as (select s_store_id as id, s_store_sk from store where s_rec_end_date is null),
+brought as (select *, sret_return_amt as amt, sret_return_tax as tax, sret_return_fee as fee, sret_refunded_cash as cash, sret_reversed_charge as charge, sret_store_credit as credit,
+  date_part('epoch', cast(sret_return_time as time)) as clock from s_store_returns)
+select sret_ticket_number as sr_ticket_number, i_item_sk as sr_item_sk, d_date_sk as sr_returned_date_sk, t_time_sk as sr_return_time_sk, r_reason_sk as sr_reason_sk, s_store_sk as sr_store_sk, buyer.who as sr_customer_sk, buyer.cd as sr_cdemo_sk, buyer.hd as sr_hdemo_sk, buyer.ad as sr_addr_sk,
+  sret_return_qty as sr_return_quantity, amt as sr_return_amt, tax as sr_return_tax, fee as sr_fee, sret_return_ship_cost as sr_return_ship_cost, cash as sr_refunded_cash,
+  charge as sr_reversed_charge, credit as sr_store_credit, amt + tax as sr_return_amt_inc_tax, amt + tax + fee - (cash + charge + credit) as sr_net_loss
+from brought left join buyer on buyer.id = sret_customer_id
+left join open_item on open_item.id = sret_item_id left join open_place on open_place.id = sret_store_id
+left join day on written = sret_return_date left join time_dim on t_time = clock left join reason on r_reason_id = sret_reason_id
+where (open_item.id is not null or sret_item_id not in (select i_item_id from item))
+  and (open_place.id is not null or sret_store_id not in (select s_store_id from store))
 -- name: refresh_catalog_returns
-select d_date_sk cr_returned_date_sk, t_time_sk cr_returned_time_sk, I.i_item_sk cr_item_sk,
-  B.c_customer_sk cr_refunded_customer_sk, B.c_current_cdemo_sk cr_refunded_cdemo_sk, B.c_current_hdemo_sk cr_refunded_hdemo_sk, B.c_current_addr_sk cr_refunded_addr_sk,
-  H.c_customer_sk cr_returning_customer_sk, H.c_current_cdemo_sk cr_returning_cdemo_sk, H.c_current_hdemo_sk cr_returning_hdemo_sk, H.c_current_addr_sk cr_returning_addr_sk,
-  cc_call_center_sk cr_call_center_sk, r_reason_sk cr_reason_sk, cret_order_id cr_order_number, cret_return_qty cr_return_quantity, cret_return_amt cr_return_amount, cret_return_tax cr_return_tax,
-  cret_return_amt + cret_return_tax cr_return_amt_inc_tax, cret_return_fee cr_fee, cret_return_ship_cost cr_return_ship_cost,
-  cret_refunded_cash cr_refunded_cash, cret_reversed_charge cr_reversed_charge, cret_merchant_credit cr_store_credit,
-  cret_return_amt + cret_return_tax + cret_return_fee - cret_refunded_cash - cret_reversed_charge - cret_merchant_credit cr_net_loss
-from s_catalog_returns left join date_dim on d_date = case when cret_return_date like '%-47%' or trim(cret_return_date) = '' then null else cret_return_date::date end left join time_dim on t_time = cret_return_time[1:2]::int * 3600 + cret_return_time[4:5]::int * 60 + cret_return_time[7:8]::int
-left join item I on I.i_item_id = cret_item_id left join customer B on B.c_customer_id = cret_return_customer_id
-left join customer H on H.c_customer_id = cret_refund_customer_id left join reason on r_reason_id = cret_reason_id
-left join call_center on cc_call_center_id = cret_call_center_id where I.i_rec_end_date is null and cc_rec_end_date is null
+with day as (select d_date_sk, cast(d_date as varchar) as written from date_dim),
+buyer as (select c_customer_id as id, c_customer_sk as who, c_current_cdemo_sk as cd, c_current_hdemo_sk as hd, c_current_addr_sk as ad from customer),
+open_item as (select i_item_id as id, i_item_sk from item where i_rec_end_date is null),
+open_place as (select cc_call_center_id as id, cc_call_center_sk from call_center where cc_rec_end_date is null),
+brought as (select *, cret_return_amt as amt, cret_return_tax as tax, cret_return_fee as fee, cret_refunded_cash as cash, cret_reversed_charge as charge, cret_merchant_credit as credit,
+  date_part('epoch', cast(cret_return_time as time)) as clock from s_catalog_returns)
+select cret_order_id as cr_order_number, i_item_sk as cr_item_sk, d_date_sk as cr_returned_date_sk, t_time_sk as cr_returned_time_sk, r_reason_sk as cr_reason_sk, cc_call_center_sk as cr_call_center_sk, refunded.who as cr_refunded_customer_sk, refunded.cd as cr_refunded_cdemo_sk, refunded.hd as cr_refunded_hdemo_sk, refunded.ad as cr_refunded_addr_sk, returning_.who as cr_returning_customer_sk, returning_.cd as cr_returning_cdemo_sk, returning_.hd as cr_returning_hdemo_sk, returning_.ad as cr_returning_addr_sk,
+  cret_return_qty as cr_return_quantity, amt as cr_return_amount, tax as cr_return_tax, fee as cr_fee, cret_return_ship_cost as cr_return_ship_cost, cash as cr_refunded_cash,
+  charge as cr_reversed_charge, credit as cr_store_credit, amt + tax as cr_return_amt_inc_tax, amt + tax + fee - (cash + charge + credit) as cr_net_loss
+from brought left join buyer refunded on refunded.id = cret_return_customer_id left join buyer returning_ on returning_.id = cret_refund_customer_id
+left join open_item on open_item.id = cret_item_id left join open_place on open_place.id = cret_call_center_id
+left join day on written = cret_return_date left join time_dim on t_time = clock left join reason on r_reason_id = cret_reason_id
+where (open_item.id is not null or cret_item_id not in (select i_item_id from item))
+  and (open_place.id is not null or cret_call_center_id not in (select cc_call_center_id from call_center))
 -- name: refresh_web_returns
-select d_date_sk wr_returned_date_sk, t_time_sk wr_returned_time_sk, I.i_item_sk wr_item_sk,
-  B.c_customer_sk wr_refunded_customer_sk, B.c_current_cdemo_sk wr_refunded_cdemo_sk, B.c_current_hdemo_sk wr_refunded_hdemo_sk, B.c_current_addr_sk wr_refunded_addr_sk,
-  H.c_customer_sk wr_returning_customer_sk, H.c_current_cdemo_sk wr_returning_cdemo_sk, H.c_current_hdemo_sk wr_returning_hdemo_sk, H.c_current_addr_sk wr_returning_addr_sk,
-  wp_web_page_sk wr_web_page_sk, r_reason_sk wr_reason_sk, wret_order_id wr_order_number, wret_return_qty wr_return_quantity, wret_return_amt wr_return_amt, wret_return_tax wr_return_tax,
-  wret_return_amt + wret_return_tax wr_return_amt_inc_tax, wret_return_fee wr_fee, wret_return_ship_cost wr_return_ship_cost,
-  wret_refunded_cash wr_refunded_cash, wret_reversed_charge wr_reversed_charge, wret_account_credit wr_account_credit,
-  wret_return_amt + wret_return_tax + wret_return_fee - wret_refunded_cash - wret_reversed_charge - wret_account_credit wr_net_loss
-from s_web_returns left join date_dim on d_date = case when wret_return_date like '%-47%' or trim(wret_return_date) = '' then null else wret_return_date::date end left join time_dim on t_time = wret_return_time[1:2]::int * 3600 + wret_return_time[4:5]::int * 60 + wret_return_time[7:8]::int
-left join item I on I.i_item_id = wret_item_id left join customer B on B.c_customer_id = wret_return_customer_id
-left join customer H on H.c_customer_id = wret_refund_customer_id left join reason on r_reason_id = wret_reason_id
-left join web_page on wp_web_page_id = wret_web_page_id where I.i_rec_end_date is null and wp_rec_end_date is null
+with day as (select d_date_sk, cast(d_date as varchar) as written from date_dim),
+buyer as (select c_customer_id as id, c_customer_sk as who, c_current_cdemo_sk as cd, c_current_hdemo_sk as hd, c_current_addr_sk as ad from customer),
+open_item as (select i_item_id as id, i_item_sk from item where i_rec_end_date is null),
+open_place as (select wp_web_page_id as id, wp_web_page_sk from web_page where wp_rec_end_date is null),
+brought as (select *, wret_return_amt as amt, wret_return_tax as tax, wret_return_fee as fee, wret_refunded_cash as cash, wret_reversed_charge as charge, wret_account_credit as credit,
+  date_part('epoch', cast(wret_return_time as time)) as clock from s_web_returns)
+select wret_order_id as wr_order_number, i_item_sk as wr_item_sk, d_date_sk as wr_returned_date_sk, t_time_sk as wr_returned_time_sk, r_reason_sk as wr_reason_sk, wp_web_page_sk as wr_web_page_sk, refunded.who as wr_refunded_customer_sk, refunded.cd as wr_refunded_cdemo_sk, refunded.hd as wr_refunded_hdemo_sk, refunded.ad as wr_refunded_addr_sk, returning_.who as wr_returning_customer_sk, returning_.cd as wr_returning_cdemo_sk, returning_.hd as wr_returning_hdemo_sk, returning_.ad as wr_returning_addr_sk,
+  wret_return_qty as wr_return_quantity, amt as wr_return_amt, tax as wr_return_tax, fee as wr_fee, wret_return_ship_cost as wr_return_ship_cost, cash as wr_refunded_cash,
+  charge as wr_reversed_charge, credit as wr_account_credit, amt + tax as wr_return_amt_inc_tax, amt + tax + fee - (cash + charge + credit) as wr_net_loss
+from brought left join buyer refunded on refunded.id = wret_return_customer_id left join buyer returning_ on returning_.id = wret_refund_customer_id
+left join open_item on open_item.id = wret_item_id left join open_place on open_place.id = wret_web_page_id
+left join day on written = wret_return_date left join time_dim on t_time = clock left join reason on r_reason_id = wret_reason_id
+where (open_item.id is not null or wret_item_id not in (select i_item_id from item))
+  and (open_place.id is not null or wret_web_page_id not in (select wp_web_page_id from web_page))
 -- name: refresh_append
-with n as (
-select 'store_sales' fact, (select count(*) from store_sales) b, (select count(*) from (select d_date_sk ss_sold_date_sk, t_time_sk ss_sold_time_sk, I.i_item_sk ss_item_sk, c_customer_sk ss_customer_sk,
-  c_current_cdemo_sk ss_cdemo_sk, c_current_hdemo_sk ss_hdemo_sk, c_current_addr_sk ss_addr_sk, s_store_sk ss_store_sk,
-  p_promo_sk ss_promo_sk, purc_purchase_id ss_ticket_number, plin_quantity ss_quantity, I.i_wholesale_cost ss_wholesale_cost, I.i_current_price ss_list_price, plin_sale_price ss_sales_price,
-  (I.i_current_price - plin_sale_price) * plin_quantity ss_ext_discount_amt, plin_sale_price * plin_quantity ss_ext_sales_price, I.i_wholesale_cost * plin_quantity ss_ext_wholesale_cost,
-  I.i_current_price * plin_quantity ss_ext_list_price, I.i_current_price * s_tax_precentage ss_ext_tax, plin_coupon_amt ss_coupon_amt,
-  plin_sale_price * plin_quantity - plin_coupon_amt ss_net_paid, (plin_sale_price * plin_quantity - plin_coupon_amt) * (1 + s_tax_precentage) ss_net_paid_inc_tax,
-  plin_sale_price * plin_quantity - plin_coupon_amt - plin_quantity * I.i_wholesale_cost ss_net_profit
-from s_purchase_lineitem join s_purchase on purc_purchase_id = plin_purchase_id
-left join customer on c_customer_id = purc_customer_id left join store on s_store_id = purc_store_id
-left join date_dim on d_date = case when purc_purchase_date like '%-47%' or trim(purc_purchase_date) = '' then null else purc_purchase_date::date end left join time_dim on t_time = purc_purchase_time
-left join promotion on p_promo_id = plin_promotion_id left join item I on I.i_item_id = plin_item_id
-where I.i_rec_end_date is null and s_rec_end_date is null)) a
-union all select 'catalog_sales' fact, (select count(*) from catalog_sales) b, (select count(*) from (select D.d_date_sk cs_sold_date_sk, t_time_sk cs_sold_time_sk, E.d_date_sk cs_ship_date_sk, I.i_item_sk cs_item_sk,
-  B.c_customer_sk cs_bill_customer_sk, B.c_current_cdemo_sk cs_bill_cdemo_sk, B.c_current_hdemo_sk cs_bill_hdemo_sk, B.c_current_addr_sk cs_bill_addr_sk,
-  H.c_customer_sk cs_ship_customer_sk, H.c_current_cdemo_sk cs_ship_cdemo_sk, H.c_current_hdemo_sk cs_ship_hdemo_sk, H.c_current_addr_sk cs_ship_addr_sk,
-  sm_ship_mode_sk cs_ship_mode_sk, w_warehouse_sk cs_warehouse_sk, p_promo_sk cs_promo_sk, cord_order_id cs_order_number, cc_call_center_sk cs_call_center_sk, cp_catalog_page_sk cs_catalog_page_sk,
-  clin_quantity cs_quantity, I.i_wholesale_cost cs_wholesale_cost, I.i_current_price cs_list_price, clin_sales_price cs_sales_price,
-  (I.i_current_price - clin_sales_price) * clin_quantity cs_ext_discount_amt, clin_sales_price * clin_quantity cs_ext_sales_price, I.i_wholesale_cost * clin_quantity cs_ext_wholesale_cost,
-  I.i_current_price * clin_quantity cs_ext_list_price, I.i_current_price * cc_tax_percentage cs_ext_tax, clin_coupon_amt cs_coupon_amt,
-  clin_sales_price * clin_quantity - clin_coupon_amt cs_net_paid, (clin_sales_price * clin_quantity - clin_coupon_amt) * (1 + cc_tax_percentage) cs_net_paid_inc_tax,
-  clin_sales_price * clin_quantity - clin_coupon_amt - clin_quantity * I.i_wholesale_cost cs_net_profit, clin_ship_cost * clin_quantity cs_ext_ship_cost,
-  clin_sales_price * clin_quantity - clin_coupon_amt + clin_ship_cost * clin_quantity cs_net_paid_inc_ship, clin_sales_price * clin_quantity - clin_coupon_amt + clin_ship_cost * clin_quantity + I.i_current_price * cc_tax_percentage cs_net_paid_inc_ship_tax
-from s_catalog_order_lineitem join s_catalog_order on cord_order_id = clin_order_id
-left join date_dim D on D.d_date = case when cord_order_date like '%-47%' or trim(cord_order_date) = '' then null else cord_order_date::date end left join time_dim on t_time = cord_order_time
-left join customer B on B.c_customer_id = cord_bill_customer_id left join customer H on H.c_customer_id = cord_ship_customer_id
-left join ship_mode on sm_ship_mode_id = cord_ship_mode_id left join date_dim E on E.d_date = case when clin_ship_date like '%-47%' or trim(clin_ship_date) = '' then null else clin_ship_date::date end
-left join item I on I.i_item_id = clin_item_id left join warehouse on w_warehouse_id = clin_warehouse_id
-left join promotion on p_promo_id = clin_promotion_id
-left join call_center on cc_call_center_id = cord_call_center_id
-left join catalog_page on cp_catalog_page_number = clin_catalog_page_number and cp_catalog_number = clin_catalog_number
-where I.i_rec_end_date is null and cc_rec_end_date is null)) a
-union all select 'web_sales' fact, (select count(*) from web_sales) b, (select count(*) from (select D.d_date_sk ws_sold_date_sk, t_time_sk ws_sold_time_sk, E.d_date_sk ws_ship_date_sk, I.i_item_sk ws_item_sk,
-  B.c_customer_sk ws_bill_customer_sk, B.c_current_cdemo_sk ws_bill_cdemo_sk, B.c_current_hdemo_sk ws_bill_hdemo_sk, B.c_current_addr_sk ws_bill_addr_sk,
-  H.c_customer_sk ws_ship_customer_sk, H.c_current_cdemo_sk ws_ship_cdemo_sk, H.c_current_hdemo_sk ws_ship_hdemo_sk, H.c_current_addr_sk ws_ship_addr_sk,
-  sm_ship_mode_sk ws_ship_mode_sk, w_warehouse_sk ws_warehouse_sk, p_promo_sk ws_promo_sk, word_order_id ws_order_number, wp_web_page_sk ws_web_page_sk, web_site_sk ws_web_site_sk,
-  wlin_quantity ws_quantity, I.i_wholesale_cost ws_wholesale_cost, I.i_current_price ws_list_price, wlin_sales_price ws_sales_price,
-  (I.i_current_price - wlin_sales_price) * wlin_quantity ws_ext_discount_amt, wlin_sales_price * wlin_quantity ws_ext_sales_price, I.i_wholesale_cost * wlin_quantity ws_ext_wholesale_cost,
-  I.i_current_price * wlin_quantity ws_ext_list_price, I.i_current_price * web_tax_percentage ws_ext_tax, wlin_coupon_amt ws_coupon_amt,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt ws_net_paid, (wlin_sales_price * wlin_quantity - wlin_coupon_amt) * (1 + web_tax_percentage) ws_net_paid_inc_tax,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt - wlin_quantity * I.i_wholesale_cost ws_net_profit, 0 ws_ext_ship_cost,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt - wlin_quantity * I.i_wholesale_cost ws_net_paid_inc_ship,
-  wlin_sales_price * wlin_quantity - wlin_coupon_amt + wlin_ship_cost * wlin_quantity + I.i_current_price * web_tax_percentage ws_net_paid_inc_ship_tax
-from s_web_order_lineitem join s_web_order on word_order_id = wlin_order_id
-left join date_dim D on D.d_date = case when word_order_date like '%-47%' or trim(word_order_date) = '' then null else word_order_date::date end left join time_dim on t_time = word_order_time
-left join customer B on B.c_customer_id = word_bill_customer_id left join customer H on H.c_customer_id = word_ship_customer_id
-left join ship_mode on sm_ship_mode_id = word_ship_mode_id left join date_dim E on E.d_date = case when wlin_ship_date like '%-47%' or trim(wlin_ship_date) = '' then null else wlin_ship_date::date end
-left join item I on I.i_item_id = wlin_item_id left join warehouse on w_warehouse_id = wlin_warehouse_id
-left join promotion on p_promo_id = wlin_promotion_id
-left join web_site on web_site_id = word_web_site_id left join web_page on wp_web_page_id = wlin_web_page_id
-where I.i_rec_end_date is null and web_rec_end_date is null and wp_rec_end_date is null)) a
-union all select 'store_returns' fact, (select count(*) from store_returns) b, (select count(*) from (select d_date_sk sr_returned_date_sk, t_time_sk sr_return_time_sk, I.i_item_sk sr_item_sk, c_customer_sk sr_customer_sk,
-  c_current_cdemo_sk sr_cdemo_sk, c_current_hdemo_sk sr_hdemo_sk, c_current_addr_sk sr_addr_sk, s_store_sk sr_store_sk,
-  r_reason_sk sr_reason_sk, sret_ticket_number sr_ticket_number, sret_return_qty sr_return_quantity, sret_return_amt sr_return_amt, sret_return_tax sr_return_tax,
-  sret_return_amt + sret_return_tax sr_return_amt_inc_tax, sret_return_fee sr_fee, sret_return_ship_cost sr_return_ship_cost,
-  sret_refunded_cash sr_refunded_cash, sret_reversed_charge sr_reversed_charge, sret_store_credit sr_store_credit,
-  sret_return_amt + sret_return_tax + sret_return_fee - sret_refunded_cash - sret_reversed_charge - sret_store_credit sr_net_loss
-from s_store_returns left join date_dim on d_date = case when sret_return_date like '%-47%' or trim(sret_return_date) = '' then null else sret_return_date::date end
-left join time_dim on t_time = sret_return_time[1:2]::int * 3600 + sret_return_time[4:5]::int * 60 + sret_return_time[7:8]::int left join item I on I.i_item_id = sret_item_id
-left join customer on c_customer_id = sret_customer_id left join store on s_store_id = sret_store_id
-left join reason on r_reason_id = sret_reason_id where I.i_rec_end_date is null and s_rec_end_date is null)) a
-union all select 'catalog_returns' fact, (select count(*) from catalog_returns) b, (select count(*) from (select d_date_sk cr_returned_date_sk, t_time_sk cr_returned_time_sk, I.i_item_sk cr_item_sk,
-  B.c_customer_sk cr_refunded_customer_sk, B.c_current_cdemo_sk cr_refunded_cdemo_sk, B.c_current_hdemo_sk cr_refunded_hdemo_sk, B.c_current_addr_sk cr_refunded_addr_sk,
-  H.c_customer_sk cr_returning_customer_sk, H.c_current_cdemo_sk cr_returning_cdemo_sk, H.c_current_hdemo_sk cr_returning_hdemo_sk, H.c_current_addr_sk cr_returning_addr_sk,
-  cc_call_center_sk cr_call_center_sk, r_reason_sk cr_reason_sk, cret_order_id cr_order_number, cret_return_qty cr_return_quantity, cret_return_amt cr_return_amount, cret_return_tax cr_return_tax,
-  cret_return_amt + cret_return_tax cr_return_amt_inc_tax, cret_return_fee cr_fee, cret_return_ship_cost cr_return_ship_cost,
-  cret_refunded_cash cr_refunded_cash, cret_reversed_charge cr_reversed_charge, cret_merchant_credit cr_store_credit,
-  cret_return_amt + cret_return_tax + cret_return_fee - cret_refunded_cash - cret_reversed_charge - cret_merchant_credit cr_net_loss
-from s_catalog_returns left join date_dim on d_date = case when cret_return_date like '%-47%' or trim(cret_return_date) = '' then null else cret_return_date::date end left join time_dim on t_time = cret_return_time[1:2]::int * 3600 + cret_return_time[4:5]::int * 60 + cret_return_time[7:8]::int
-left join item I on I.i_item_id = cret_item_id left join customer B on B.c_customer_id = cret_return_customer_id
-left join customer H on H.c_customer_id = cret_refund_customer_id left join reason on r_reason_id = cret_reason_id
-left join call_center on cc_call_center_id = cret_call_center_id where I.i_rec_end_date is null and cc_rec_end_date is null)) a
-union all select 'web_returns' fact, (select count(*) from web_returns) b, (select count(*) from (select d_date_sk wr_returned_date_sk, t_time_sk wr_returned_time_sk, I.i_item_sk wr_item_sk,
-  B.c_customer_sk wr_refunded_customer_sk, B.c_current_cdemo_sk wr_refunded_cdemo_sk, B.c_current_hdemo_sk wr_refunded_hdemo_sk, B.c_current_addr_sk wr_refunded_addr_sk,
-  H.c_customer_sk wr_returning_customer_sk, H.c_current_cdemo_sk wr_returning_cdemo_sk, H.c_current_hdemo_sk wr_returning_hdemo_sk, H.c_current_addr_sk wr_returning_addr_sk,
-  wp_web_page_sk wr_web_page_sk, r_reason_sk wr_reason_sk, wret_order_id wr_order_number, wret_return_qty wr_return_quantity, wret_return_amt wr_return_amt, wret_return_tax wr_return_tax,
-  wret_return_amt + wret_return_tax wr_return_amt_inc_tax, wret_return_fee wr_fee, wret_return_ship_cost wr_return_ship_cost,
-  wret_refunded_cash wr_refunded_cash, wret_reversed_charge wr_reversed_charge, wret_account_credit wr_account_credit,
-  wret_return_amt + wret_return_tax + wret_return_fee - wret_refunded_cash - wret_reversed_charge - wret_account_credit wr_net_loss
-from s_web_returns left join date_dim on d_date = case when wret_return_date like '%-47%' or trim(wret_return_date) = '' then null else wret_return_date::date end left join time_dim on t_time = wret_return_time[1:2]::int * 3600 + wret_return_time[4:5]::int * 60 + wret_return_time[7:8]::int
-left join item I on I.i_item_id = wret_item_id left join customer B on B.c_customer_id = wret_return_customer_id
-left join customer H on H.c_customer_id = wret_refund_customer_id left join reason on r_reason_id = wret_reason_id
-left join web_page on wp_web_page_id = wret_web_page_id where I.i_rec_end_date is null and wp_rec_end_date is null)) a)
-select fact, b rows_before, a rows_added, b + a rows_after from n
+with stored as (
+select 'store_sales' as fact, 0 as added, ss_item_sk as item, ss_ticket_number as document from store_sales
+union all
+select 'store_sales', 1, ss_item_sk, ss_ticket_number from ({{refresh_store_sales}})
+union all
+select 'catalog_sales' as fact, 0 as added, cs_item_sk as item, cs_order_number as document from catalog_sales
+union all
+select 'catalog_sales', 1, cs_item_sk, cs_order_number from ({{refresh_catalog_sales}})
+union all
+select 'web_sales' as fact, 0 as added, ws_item_sk as item, ws_order_number as document from web_sales
+union all
+select 'web_sales', 1, ws_item_sk, ws_order_number from ({{refresh_web_sales}})
+union all
+select 'store_returns' as fact, 0 as added, sr_item_sk as item, sr_ticket_number as document from store_returns
+union all
+select 'store_returns', 1, sr_item_sk, sr_ticket_number from ({{refresh_store_returns}})
+union all
+select 'catalog_returns' as fact, 0 as added, cr_item_sk as item, cr_order_number as document from catalog_returns
+union all
+select 'catalog_returns', 1, cr_item_sk, cr_order_number from ({{refresh_catalog_returns}})
+union all
+select 'web_returns' as fact, 0 as added, wr_item_sk as item, wr_order_number as document from web_returns
+union all
+select 'web_returns', 1, wr_item_sk, wr_order_number from ({{refresh_web_returns}}))
+select fact, sum(n - added) as rows_before, sum(added) as rows_added, sum(n) as rows_after, sum(n - 1) as repeated_keys
+from (select fact, item, document, count(*) as n, sum(added) as added from stored group by all) group by fact
 -- name: extract_customer
-select c_customer_id cust_customer_id, c_salutation cust_salutation, c_last_name cust_last_name, c_first_name cust_first_name,
-  c_preferred_cust_flag cust_preffered_flag, b.d_date cust_birth_date, c_birth_country cust_birth_country, c_login cust_login_id,
-  c_email_address cust_email_address, s.d_date cust_first_shipto_date, p.d_date cust_first_purchase_date,
-  c_last_review_date cust_last_review_date, ca_street_number cust_street_number, ca_suite_number cust_suite_number,
-  ca_street_name cust_street_name1, ca_street_name cust_street_name2, ca_street_type cust_street_type, ca_city cust_city, ca_zip cust_zip, ca_county cust_county,
-  ca_state cust_state, ca_country cust_country, ca_location_type cust_loc_type, cd_gender cust_gender, cd_marital_status cust_marital_status,
-  cd_education_status cust_educ_status, cd_credit_rating cust_credit_rating, cd_purchase_estimate cust_purch_est,
-  hd_buy_potential cust_buy_potential, hd_dep_count cust_depend_cnt, cd_dep_employed_count cust_depend_emp_cnt,
-  cd_dep_college_count cust_depend_college_cnt, hd_vehicle_count cust_vehicle_cnt, ib_lower_bound + 800 cust_annual_income
-from customer join customer_address on ca_address_sk = c_current_addr_sk join customer_demographics on cd_demo_sk = c_current_cdemo_sk
-join household_demographics on hd_demo_sk = c_current_hdemo_sk join income_band on ib_income_band_sk = hd_income_band_sk
-join date_dim s on s.d_date_sk = c_first_shipto_date_sk join date_dim p on p.d_date_sk = c_first_sales_date_sk
-join date_dim b on day(b.d_date) = c_birth_day and month(b.d_date) = c_birth_month and year(b.d_date) = c_birth_year
+with day as (select d_date_sk, d_date, (year(d_date), month(d_date), day(d_date)) as parts from date_dim),
+home as (select hd_demo_sk, hd_buy_potential, hd_dep_count, hd_vehicle_count, ib_lower_bound + 800 as income
+         from household_demographics join income_band on hd_income_band_sk = ib_income_band_sk),
+person as (select *, (c_birth_year, c_birth_month, c_birth_day) as born from customer),
+dated as (select person.*, b.d_date as birth, s.d_date as shipped, p.d_date as bought
+          from person join day b on b.parts = born join day s on s.d_date_sk = c_first_shipto_date_sk join day p on p.d_date_sk = c_first_sales_date_sk),
+who as (select cd_demo_sk, cd_gender as cust_gender, cd_marital_status as cust_marital_status, cd_education_status as cust_educ_status,
+          cd_credit_rating as cust_credit_rating, cd_purchase_estimate as cust_purch_est, cd_dep_employed_count as cust_depend_emp_cnt,
+          cd_dep_college_count as cust_depend_college_cnt from customer_demographics),
+lives as (select ca_address_sk, ca_street_number as cust_street_number, ca_suite_number as cust_suite_number, ca_street_name as cust_street_name1,
+          ca_street_name as cust_street_name2, ca_street_type as cust_street_type, ca_city as cust_city, ca_zip as cust_zip, ca_county as cust_county,
+          ca_state as cust_state, ca_country as cust_country, ca_location_type as cust_loc_type from customer_address)
+select who.* exclude (cd_demo_sk), lives.* exclude (ca_address_sk),
+  hd_buy_potential as cust_buy_potential, hd_dep_count as cust_depend_cnt, hd_vehicle_count as cust_vehicle_cnt, income as cust_annual_income,
+  c_customer_id as cust_customer_id, c_salutation as cust_salutation, c_first_name as cust_first_name, c_last_name as cust_last_name,
+  c_preferred_cust_flag as cust_preffered_flag, c_birth_country as cust_birth_country, c_login as cust_login_id, c_email_address as cust_email_address,
+  c_last_review_date as cust_last_review_date, birth as cust_birth_date, shipped as cust_first_shipto_date, bought as cust_first_purchase_date
+from dated join who on cd_demo_sk = c_current_cdemo_sk join home on hd_demo_sk = c_current_hdemo_sk join lives on ca_address_sk = c_current_addr_sk
 -- name: extract_item
 select i_item_id item_item_id, i_item_desc item_item_description, i_current_price item_list_price, i_wholesale_cost item_wholesale_cost,
   i_manager_id item_manager_id, i_size item_size, i_formulation item_formulation, i_color item_color, i_units item_units, i_container item_container
@@ -194,6 +184,12 @@ select w_warehouse_id invn_warehouse_id, i_item_id invn_item_id, d_date invn_dat
 from inventory join warehouse on w_warehouse_sk = inv_warehouse_sk join item on i_item_sk = inv_item_sk join date_dim on d_date_sk = inv_date_sk
 where i_rec_end_date is null and d_year = 2001 and d_dom between 10 and 15
 qualify count(*) over (partition by w_warehouse_id, i_item_id, d_date) = 1
+-- name: extract_catalog_page
+with day as (select d_date_sk, d_date from date_dim)
+select cp_catalog_page_id as cpag_id, (select d_date from day where d_date_sk = cp_start_date_sk) as cpag_start_date,
+  (select d_date from day where d_date_sk = cp_end_date_sk) as cpag_end_date, cp_department as cpag_department,
+  cp_catalog_number as cpag_catalog_number, cp_description as cpag_description, cp_type as cpag_type
+from catalog_page
 -- name: extract_promotion
 select p_promo_id prom_promotion_id, p_promo_name prom_promotion_name, a.d_date prom_start_date, b.d_date prom_end_date, p_cost prom_cost, p_response_target prom_response_target, p_channel_dmail prom_channel_dmail, p_channel_email prom_channel_email, p_channel_catalog prom_channel_catalog, p_channel_tv prom_channel_tv, p_channel_radio prom_channel_radio, p_channel_press prom_channel_press, p_channel_event prom_channel_event, p_channel_demo prom_channel_demo, p_channel_details prom_channel_details, p_purpose prom_purpose, p_discount_active prom_discount_active
 from promotion left join date_dim a on a.d_date_sk = p_start_date_sk left join date_dim b on b.d_date_sk = p_end_date_sk

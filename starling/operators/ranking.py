@@ -7,14 +7,30 @@ is a plain function of the value, so a recomputed task finds the same buckets ag
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _before(counts: DataFrame, *partition: str) -> DataFrame:
-    """Rows in all lower buckets, from one ``(bucket, n)`` row per bucket."""
-    w = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return (counts.groupBy(*partition, "_bucket").agg(F.sum("n").alias("n"))
-            .select(*partition, "_bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before")))
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys, a null key equal to a null key."""
+    other = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys])).drop(*[f"_r{k}" for k in keys])
+
+
+def _before(counts: DataFrame, coarse: Column, *partition: str) -> DataFrame:
+    """Rows in all lower buckets, from ``(bucket, n)`` rows.
+
+    ``coarse`` maps buckets to ranges of buckets in the same order.  Ranges are summed up first,
+    buckets inside their range next: only one row per range meets in a task.
+    """
+    buckets = counts.groupBy(*partition, "_bucket").agg(F.sum("n").alias("n")).withColumn("_range", coarse)
+    ranges = buckets.groupBy(*partition, "_range").agg(F.sum("n").alias("n"))
+    above = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*partition, "_range", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_lower"))
+    inside = Window.partitionBy(*partition, "_range").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return _same(buckets, ranges, [*partition, "_range"]).select(*partition, "_bucket", (F.col("_lower") + F.col("_inside")).alias("_before"))
 
 
 def global_ranks(df: DataFrame, partition: str, **orders: tuple[str, Column]) -> DataFrame:
@@ -23,29 +39,32 @@ def global_ranks(df: DataFrame, partition: str, **orders: tuple[str, Column]) ->
 
     ``bucket`` must never decrease as ``value`` grows.  All orders unfold into one column of
     values; equal values collapse to one counted row first, so a value shared by a third of the
-    rows is a single row of the window.  Rows of ``df`` must be distinct.
+    rows is a single row of the window.  Null values rank first and null partitions are one
+    partition, as in a window.  Rows of ``df`` must be distinct.
     """
-    cells = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(value).alias("_value"), bucket.alias("_bucket"))
+    lowest = F.lit(float("-inf"))
+    cells = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(value).cast("double").alias("_value"),
+                               F.coalesce(F.when(F.col(value).isNotNull(), bucket.cast("double")), lowest).alias("_bucket"))
                       for name, (value, bucket) in orders.items()])
     rows = df.withColumn("_cell", F.explode(cells)).select(*df.columns, "_cell.*")
     counts = rows.groupBy(partition, "_name", "_bucket", "_value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(partition, "_name", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (counts.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0)))
-             .join(_before(counts, partition, "_name"), [partition, "_name", "_bucket"])
+    within = counts.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranks = (_same(within, _before(counts, F.floor(F.col("_bucket") / 1000), partition, "_name"), [partition, "_name", "_bucket"])
              .select(partition, "_name", "_value", (F.col("_before") + F.col("_within") + 1).alias("_rank")))
-    return rows.join(ranks, [partition, "_name", "_value"]).groupBy(*df.columns).agg(
+    return _same(rows, ranks, [partition, "_name", "_value"]).groupBy(*df.columns).agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name) for name in orders])
 
 
-def surrogate_keys(df: DataFrame, business_key: str, start: Column, name: str, width: int = 4) -> DataFrame:
-    """``start + 1, start + 2, ..`` in order of a fixed-width, zero-padded business key.
+def surrogate_keys(df: DataFrame, business_key: str, start: Column, name: str, prefix: int = 12) -> DataFrame:
+    """``start + 1, start + 2, ..`` in order of a text key, null first.
 
-    All but the last ``width`` characters of the key name the bucket: its order is the key's
-    order, and a bucket holds at most ``10 ** width`` keys.
+    The first ``prefix`` characters of a key name its bucket, which keeps the order of any texts,
+    whatever their lengths; with the star's keys of 16 characters a bucket holds ten thousand.
     """
-    rows = df.withColumn("_bucket", F.expr(f"substring({business_key}, 1, length({business_key}) - {width})"))
+    rows = df.withColumn("_bucket", F.coalesce(F.substring(business_key, 1, prefix), F.lit("")))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("_bucket").orderBy(business_key)
-    return (rows.join(_before(counts), "_bucket")
+    w = Window.partitionBy("_bucket").orderBy(F.asc_nulls_first(business_key))
+    return (rows.join(_before(counts, F.substring("_bucket", 1, max(1, prefix - 4))), "_bucket")
             .withColumn(name, start + F.col("_before") + F.row_number().over(w))
             .drop("_bucket", "_before"))

@@ -87,13 +87,13 @@ def query(name: str, cols: str, order: str = "", limit: int | None = None, on_st
 
 
 def oracle_bodies() -> dict[str, str]:
-    """``-- name: <query>`` sections of the oracle files."""
+    """``-- name: <query>`` sections of the oracle files; ``{{query}}`` stands for another section."""
     bodies = {}
     for path in sorted(ORACLE.glob("*.sql")):
         for part in re.split(r"^-- name:", path.read_text(), flags=re.M)[1:]:
             name, _, sql = part.partition("\n")
             bodies[name.strip()] = sql
-    return bodies
+    return {name: re.sub(r"\{\{(\w+)\}\}", lambda m: bodies[m[1]].strip().rstrip(";"), sql) for name, sql in bodies.items()}
 
 
 def allowed(value: str, options: str) -> str:

@@ -9,6 +9,7 @@ from starling.operators.relational import union_all
 from starling.plans import refresh
 from starling.plans.base import query
 from starling.plans.star import REFRESH, TABLES
+from starling.plans.warehouse import stored_bytes
 from starling.sources import delimited, extjson, layout
 
 c = F.col
@@ -113,10 +114,8 @@ def check_not_null(t):
 
 
 def _copy(t, name, save, load):
-    """A table written by a loader's counterpart and loaded again; lazy without a shared folder."""
+    """A table written by a loader's counterpart and loaded again."""
     df = t[name]
-    if not t.folder:
-        return df
     path = t.once(f"loaded/{save.__module__.rsplit('.', 1)[1]}_{name}", lambda path: save(df, path))
     return load(t.spark, path, df.schema)
 
@@ -138,23 +137,19 @@ def check_same_content(t):
 
 
 @query("layout_hashed", "cs_item_sk:i rows:i quantity:i", "cs_item_sk")
-def layout_hashed(t, buckets=8):
-    """Catalog sales bucketed by item, then summed by item without a shuffle."""
-    df = t.catalog_sales
-    if t.folder:
-        name = "hashed_catalog_sales_" + t.folder.rsplit("-", 1)[-1]
-        t.once("hashed/catalog_sales", lambda path: layout.save_hashed(
-            t.catalog_sales, name, layout.HASH_KEYS["catalog_sales"], buckets, path))
-        df = t.spark.table(name)
+def layout_hashed(t, bucket_bytes=128 << 20):
+    """Catalog sales bucketed by item, as many buckets as their bytes ask for, then summed by item without a shuffle."""
+    key, name = layout.HASH_KEYS["catalog_sales"], "hashed_catalog_sales_" + t.folder.rsplit("-", 1)[-1]
+    facts = t.catalog_sales
+    buckets = layout.bucket_count(stored_bytes(t.spark, f"{t.folder}/catalog_sales"), bucket_bytes)
+    path = t.once(f"hashed/catalog_sales_{buckets}", lambda path: layout.save_hashed(facts, f"{name}_{buckets}_new", key, buckets, path))
+    df = layout.open_hashed(t.spark, f"{name}_{buckets}", facts.schema, key, buckets, path)
     return df.groupBy("cs_item_sk").agg(F.count(F.lit(1)).alias("rows"), F.sum("cs_quantity").alias("quantity"))
 
 
 @query("layout_ranged", "ss_item_sk:i rows:i quantity:i", "ss_item_sk")
 def layout_ranged(t):
     """Store sales sharded by ranges of item and ticket, then summed by item."""
-    df = t.store_sales
-    if t.folder:
-        path = t.once("ranged/store_sales", lambda path: layout.save_ranged(
-            t.store_sales, path, layout.RANGE_KEYS["store_sales"]))
-        df = t.spark.read.schema(df.schema).parquet(path)
-    return df.groupBy("ss_item_sk").agg(F.count(F.lit(1)).alias("rows"), F.sum("ss_quantity").alias("quantity"))
+    path = t.once("ranged/store_sales", lambda path: layout.save_ranged(
+        t.store_sales, path, layout.RANGE_KEYS["store_sales"]))
+    return t.spark.read.parquet(path).groupBy("ss_item_sk").agg(F.count(F.lit(1)).alias("rows"), F.sum("ss_quantity").alias("quantity"))

@@ -141,15 +141,11 @@ def job_of(name: str, mode: str, profitable_only: bool = False) -> dict:
 
 
 def on_star(name: str, mode: str):
-    """The job with the star as its source; without a shared folder nothing is staged."""
+    """The job with the star as its source."""
     def build(t: Star) -> DataFrame:
         session = t.spark.newSession()
-        own = Star.of(session, t.sf_dir)
+        own = t.in_session(session)
         source = {x: own[x] for x in SPECS[name][2]}
-        if own.folder is None:
-            for x, df in source.items():
-                df.createOrReplaceTempView(x)
-            return session.sql(SPECS[name][0])
         job = job_of(name, mode)
         folder = own.once(f"staged/{name}_{mode}", lambda path: stage(session, job, readers.tables(source), path))
         return answer(session, job, folder)

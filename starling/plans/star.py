@@ -97,7 +97,8 @@ def _literals(values):
 
 
 def _ident(prefix, expr):
-    return f"concat('{prefix}', lpad(cast({expr} as string), {16 - len(prefix)}, '0'))"
+    width, digits = 16 - len(prefix), f"cast({expr} as string)"
+    return f"concat('{prefix}', lpad({digits}, cast(greatest({width}, length({digits})) as int), '0'))"
 
 
 def _money(cents, precision=12):
@@ -120,7 +121,8 @@ select *, list * qty as x_list, sale * qty as x_sale, cost * qty as x_cost,
 from (select *, list * (100 - disc) // 100 as sale, list * (40 + pk % 70) // 100 as cost
       from (select ok, pk, sk, o_custkey as ck, {d.days('o_orderdate')} as od, sd,
                    o_orderpriority as pri, flag, qty, disc, pk * 37 % 19000 + 99 as list,
-                   (select count(*) from src_supplier) as outlets
+                   (select count(*) from src_supplier) as outlets,
+                   (select max(o_orderkey) from src_orders) as last_order
             from (select l_orderkey as ok, l_partkey as pk, min(l_suppkey) as sk,
                          min({d.days('l_shipdate')}) as sd, max(l_returnflag) as flag,
                          cast(sum(l_quantity) as bigint) * 2 - l_partkey % 2 as qty,
@@ -538,7 +540,7 @@ from src_nation
 """
 
 
-NEW_ORDER = "ok + 1000000001"  # refresh orders continue after the star's own
+NEW_ORDER = "(ok + last_order)"  # refresh orders continue after the star's own
 
 
 def _day_text(d, days, gap):
@@ -560,7 +562,7 @@ select {NEW_ORDER} as purc_purchase_id, {_ident('STOR', 'ok // 3 % outlets // 2'
        {_day_text(d, 'min(od)', 'ok % 41 = 0')} as purc_purchase_date,
        ok * 61 % 86400 as purc_purchase_time, ok % 9 + 1 as purc_register_id,
        ok % 31 + 1 as purc_clerk_id, 'Unknown' as purc_comment
-from lines where {CHANNEL['store']} group by ok, outlets
+from lines where {CHANNEL['store']} group by ok, outlets, last_order
 """
 
 
@@ -581,7 +583,7 @@ select {NEW_ORDER} as {p}_order_id, {_ident('CUST', 'min(ck)')} as {p}_bill_cust
        {_ident('CUST', 'min(ck) // 2')} as {p}_ship_customer_id,
        {_day_text(d, 'min(od)', 'ok % 17 = 0')} as {p}_order_date, ok * 61 % 86400 as {p}_order_time,
        {_ident('SHIP', 'ok % 25')} as {p}_ship_mode_id, {outlet}, 'Unknown' as {p}_order_comments
-from lines where {CHANNEL[channel]} group by ok, outlets
+from lines where {CHANNEL[channel]} group by ok, outlets, last_order
 """
     return table
 

@@ -1,78 +1,105 @@
 """The star as staged Parquet tables.
 
-Each star table is derived once per session from the order tables and written to the folder the
-cluster shares (``spark.checkpoint.dir``), so queries scan typed columnar files with pruning and
-pushdown instead of repeating the derivation, and a lost executor re-reads files rather than
-recomputing a lineage.  Without a shared folder on a real cluster the tables stay lazy.
+Each star table is derived from the order tables once per state of the source and written to a
+folder that the cluster shares, so queries scan typed columnar files with pruning and pushdown
+instead of repeating the derivation, and a lost executor re-reads files.  The folder's name holds
+the source and its version and no application: a later application finds the tables and stages
+nothing.  A table counts as staged once its writer has left a success marker.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import tempfile
+import pathlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from starling.plans import star
 
-# Facts are laid out by date once their source outgrows this; below it a directory per day
-# would only make tiny files.
-PARTITION_BYTES = 1 << 38
-
 _stars: dict[tuple, "Star"] = {}
-_written: dict[str, StructType | None] = {}  # written path -> schema, for every session of the process
+_versions: dict[tuple, str] = {}
 _lock = threading.RLock()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder visible to every executor, or None when the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="starling-"))
-        return sc.getCheckpointDir()
-    return None
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what its executors share; without one an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir, or pass one")
+    return folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a path on any Hadoop file system."""
+    p, fs = _file_system(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def source_version(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the names, sizes and times of the source files, taken once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _versions:
+        seen = []
+        for name in star.SOURCES:
+            p, fs = _file_system(spark, f"{sf_dir}/{name}.parquet")
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                f = files.next()
+                seen.append((name, f.getPath().getName(), f.getLen(), f.getModificationTime()))
+        _versions[key] = hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+    return _versions[key]
 
 
-def source_status(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(bytes, modification time) of a file or directory on any Hadoop file system."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+@functools.cache
+def code_version() -> str:
+    """Digest of this library's sources: tables that another state of the code derived are not taken up."""
+    files = sorted(pathlib.Path(__file__).resolve().parents[1].rglob("*.py"))
+    return hashlib.sha256(b"".join(f.read_bytes() for f in files if "llm" not in f.parts)).hexdigest()[:16]
 
 
 class Star:
-    """Attribute access to star tables: ``Star.of(spark, sf_dir).store_sales``."""
+    """Attribute access to star tables: ``Star.of(spark, sf_dir).store_sales``.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None,
-                 partition_bytes: int = PARTITION_BYTES):
+    ``by_day`` lays each fact out in a directory per day, for date filters on facts too large for
+    file statistics alone; a rebalance splits a hot day over several files.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str, by_day: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
         self.folder = folder
-        self.partition_bytes = partition_bytes
+        self.by_day = by_day
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> "Star":
-        """The star of a data folder; changed source files give a new star."""
-        folder = shared_folder(spark)
-        status = [source_status(spark, f"{sf_dir}/{s}.parquet") for s in star.SOURCES]
-        key = (spark.sparkContext.applicationId, folder, sf_dir, str(status))
+    def of(cls, spark: SparkSession, sf_dir: str, folder: str | None = None, version: str | None = None,
+           by_day: bool = False) -> "Star":
+        """The star of a data folder, staged below ``folder`` (the session's shared one).
+
+        ``version`` names the state of the source; without it the state is read off the source
+        files once per application.  Another version gives another star.
+        """
+        folder = folder or shared_folder(spark)
+        version = version or source_version(spark, sf_dir)
+        name = hashlib.sha256(repr((sf_dir, version, code_version(), by_day)).encode()).hexdigest()[:16]
+        key = (f"{folder}/star-{name}", spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
         with _lock:
-            session = (*key, spark._jsparkSession.hashCode())
-            if session not in _stars:
-                mark = hashlib.sha256(str(key).encode()).hexdigest()[:16]
-                limit = int(spark.conf.get("spark.starling.partitionBytes", str(PARTITION_BYTES)))
-                _stars[session] = cls(spark, sf_dir, folder and f"{folder}/star-{mark}", limit)
-            return _stars[session]
+            if key not in _stars:
+                _stars[key] = cls(spark, sf_dir, key[0], by_day)
+            return _stars[key]
+
+    def in_session(self, spark: SparkSession) -> "Star":
+        """The same star, its tables read by another session of the application."""
+        return Star(spark, self.sf_dir, self.folder, self.by_day)
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -88,35 +115,50 @@ class Star:
     def _table(self, table: str) -> DataFrame:
         with _lock:
             if table not in self._tables:
-                self._tables[table] = self._stage(table) if self.folder else self.derive(table)
+                self._tables[table] = self.spark.read.parquet(self.once(table, lambda path: self._write(table, path)))
             return self._tables[table]
 
-    def _stage(self, table: str) -> DataFrame:
-        path = f"{self.folder}/{table}"
-        if path not in _written:
-            df = self.derive(table)
-            day = star.FACT_DATE.get(table)
-            size, _ = source_status(self.spark, f"{self.sf_dir}/lineitem.parquet")
-            if day and size >= self.partition_bytes:
-                # Rebalance splits a hot day over several tasks and files.
-                df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
-            else:
-                df.write.mode("overwrite").parquet(path)
-            _written[path] = df.schema
-        return self.spark.read.schema(_written[path]).parquet(path)
+    def _write(self, table: str, path: str) -> None:
+        df, day = self.derive(table), star.FACT_DATE.get(table)
+        if self.by_day and day:
+            df.hint("rebalance", day).write.partitionBy(day).parquet(path)
+        else:
+            df.write.parquet(path)
+
+    def staged(self, name: str) -> bool:
+        """Whether a table or by-product is complete."""
+        p, fs = _file_system(self.spark, f"{self.folder}/{name}/_DONE")
+        return fs.exists(p)
 
     def once(self, name: str, write: Callable[[str], None]) -> str:
-        """Path of a by-product in the star's folder, written by the first caller.
+        """Path of a table or by-product in the star's folder, written by whoever needs it first.
 
-        Later callers read the same files, so a plan built earlier never loses the ones it names.
+        A writer works on a path of its own and moves the finished files into place, so a failed
+        or concurrent writer never leaves half a table under the name.
         """
         path = f"{self.folder}/{name}"
         with _lock:
-            if path not in _written:
-                write(path)
-                _written[path] = None
+            if not self.staged(name):
+                own = f"{path}.{uuid.uuid4().hex}"
+                write(own)
+                source, fs = _file_system(self.spark, own)
+                target = _file_system(self.spark, path)[0]
+                fs.mkdirs(source)
+                fs.create(_file_system(self.spark, f"{own}/_DONE")[0]).close()
+                if not self.staged(name):
+                    fs.delete(target, True)  # what an interrupted writer left
+                    fs.rename(source, target)
+                else:  # another application was faster
+                    fs.delete(source, True)
         return path
 
+    def remove(self) -> None:
+        """Deletes the star's folder; the next use stages again."""
+        with _lock:
+            p, fs = _file_system(self.spark, self.folder)
+            fs.delete(p, True)
+            self._tables.clear()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in star.TABLES:
             raise AttributeError(name)

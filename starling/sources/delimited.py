@@ -7,16 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 ENCODING = "ISO-8859-1"
 
 
+BARE = "\u0001"  # a separator that no extract holds: lines are read whole
+UNFIT = r"[^\x02-\xFF]|[|\r\n]"
+
+
 def load(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Typed rows of an extract; a trailing delimiter and blank padding of text are dropped.
 
-    Fields are taken as they stand: the format has no quoting, so a quote is data.
+    Fields are taken as they stand: the format has no quoting, so a quote is data.  A line with
+    more or fewer fields than the schema is an error, never cut or filled up.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = (spark.read.schema(text).option("sep", "|").option("encoding", ENCODING)
-           .option("quote", "\u0000").option("escape", "\u0000").option("nullValue", "")
-           .option("mode", "PERMISSIVE").csv(path))
-    return raw.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema])
+    lines = (spark.read.schema("line string").option("sep", BARE).option("encoding", ENCODING)
+             .option("quote", "\u0000").option("escape", "\u0000").option("mode", "FAILFAST").csv(path))
+    fields, n = F.split("line", r"\|", -1), len(schema)
+    fits = (F.size(fields) == n) | ((F.size(fields) == n + 1) & (fields[n] == ""))
+    wrong = F.raise_error(F.concat(F.lit(f"not {n} fields: "), F.substring("line", 1, 200))).cast("boolean")
+    rows = lines.filter(F.when(fits, F.lit(True)).otherwise(wrong)).select(fields.alias("f"))
+    return rows.select(*[_typed(F.nullif(F.col("f")[i], F.lit("")), f.dataType).alias(f.name) for i, f in enumerate(schema)])
 
 
 def _typed(col, kind):
@@ -26,7 +33,14 @@ def _typed(col, kind):
 
 
 def save(df: DataFrame, path: str) -> None:
-    """Write an extract with the trailing delimiter of the source systems."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    """Write an extract with the trailing delimiter of the source systems.
+
+    A text that the format cannot hold (a delimiter, a line break, a character outside its
+    encoding) is an error.
+    """
+    def field(column):
+        text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        return F.when(text.rlike(UNFIT), F.raise_error(F.concat(F.lit(f"{column} does not fit the format: "), text)).cast("string")).otherwise(text)
+    fields = [field(c) for c in df.columns]
     df.select(F.concat(F.concat_ws("|", *fields), F.lit("|")).alias("value")).write.mode("overwrite").option(
         "encoding", ENCODING).text(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Distribution column of each distributed table.
 HASH_KEYS = {"date_dim": "d_date_sk", "warehouse": "w_warehouse_sk", "customer_address": "ca_address_sk",
@@ -19,11 +20,27 @@ RANGE_KEYS = {"catalog_returns": ["cr_item_sk", "cr_order_number"], "catalog_sal
 def save_hashed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """Bucketed table: joins and groupings on ``key`` need no shuffle.
 
-    Rows are not repartitioned first, so a key holding a third of the rows is written by many
-    tasks, each adding its own file to that bucket.
+    A rebalance brings a key's rows together first, so a bucket has few files, and splits a key
+    that holds very many rows over several tasks, each adding a file to that bucket.  With a
+    ``path`` only the files stay, to be opened by ``open_hashed`` in any application.
     """
-    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer = df.hint("rebalance", key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
     (writer.option("path", path) if path else writer).saveAsTable(table)
+    if path:
+        df.sparkSession.sql(f"drop table {table}")
+
+
+def open_hashed(spark: SparkSession, table: str, schema: StructType, key: str, buckets: int, path: str) -> DataFrame:
+    """A bucketed table over files that ``save_hashed`` wrote."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"create table if not exists {table} ({columns}) using parquet "
+              f"clustered by ({key}) sorted by ({key}) into {buckets} buckets location '{path}'")
+    return spark.table(table)
+
+
+def bucket_count(stored: int, bucket_bytes: int = 128 << 20, least: int = 8) -> int:
+    """Buckets of about ``bucket_bytes`` each, a power of two so that tables of different size still join bucket by bucket."""
+    return max(least, 1 << max(0, (stored // bucket_bytes)).bit_length())
 
 
 def save_ranged(df: DataFrame, path: str, keys: list[str], parts: int | None = None) -> None:
@@ -33,9 +50,3 @@ def save_ranged(df: DataFrame, path: str, keys: list[str], parts: int | None = N
     """
     ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-
-
-def replicated(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast a reference table at its joins when the optimizer's size estimate is small."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit_bytes else df

@@ -7,9 +7,11 @@ reader only names the format and its options.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 Reader = Callable[[SparkSession, str, str], DataFrame]
 FETCH_SIZE = 10000
@@ -32,18 +34,44 @@ def jdbc_options(url: str, query: str, user: str = "", password: str = "", drive
             "numPartitions": str(partition["count"])}
 
 
+def bounds_query(query: str, column: str) -> str:
+    """The query that finds the slicing bounds of an extract."""
+    return f"select min({column}) as lower_bound, max({column}) as upper_bound from ({query}) extract"
+
+
+def whole_table(query: str) -> bool:
+    """Whether an extract query copies a table as it is."""
+    return bool(re.fullmatch(r"\s*select\s+\*\s+from\s+[\w.\"]+\s*;?\s*", query, re.I))
+
+
 def jdbc(url: str, partitions: Mapping[str, Mapping[str, object]] | None = None, **login) -> Reader:
-    """Extract by query; ``partitions`` gives the slicing of each table."""
+    """Extract by query; ``partitions`` names each table's slicing column and number of slices.
+
+    Bounds that are not given are asked of the database first.  A whole table without a slicing
+    column would go through one connection and is refused.
+    """
     def read(spark, table, query):
-        options = jdbc_options(url, query, partition=(partitions or {}).get(table), **login)
-        return spark.read.format("jdbc").options(**options).load()
+        slicing = (partitions or {}).get(table)
+        if slicing is None and whole_table(query):
+            raise ValueError(f"name a partition column for {table}: a whole table is not read through one connection")
+        if slicing and "lower" not in slicing:
+            asked = jdbc_options(url, bounds_query(query, str(slicing["column"])), **login)
+            low, high = spark.read.format("jdbc").options(**asked).load().first()
+            slicing = {**slicing, "lower": low, "upper": high} if low is not None else None
+        return spark.read.format("jdbc").options(**jdbc_options(url, query, partition=slicing, **login)).load()
     return read
 
 
-def scan(format_name: str, options: Callable[[str], Mapping[str, str]]) -> Reader:
-    """Scan a table through a connector and let Spark apply the extract query."""
+def scan(format_name: str, options: Callable[[str], Mapping[str, str]], schemas: Mapping[str, StructType | str] | None = None) -> Reader:
+    """Scan a table through a connector and let Spark apply the extract query.
+
+    ``schemas`` gives tables their columns, for stores that hold no schema and would be sampled.
+    """
     def read(spark, table, query):
-        spark.read.format(format_name).options(**options(table)).load().createOrReplaceTempView(table)
+        reader = spark.read.format(format_name).options(**options(table))
+        if schemas and table in schemas:
+            reader = reader.schema(schemas[table])
+        reader.load().createOrReplaceTempView(table)
         return spark.sql(query)
     return read
 
@@ -52,8 +80,8 @@ def cassandra(keyspace: str) -> Reader:
     return scan("org.apache.spark.sql.cassandra", lambda table: {"keyspace": keyspace, "table": table})
 
 
-def mongodb(uri: str, database: str) -> Reader:
-    return scan("mongodb", lambda table: {"connection.uri": uri, "database": database, "collection": table})
+def mongodb(uri: str, database: str, schemas: Mapping[str, StructType | str] | None = None) -> Reader:
+    return scan("mongodb", lambda table: {"connection.uri": uri, "database": database, "collection": table}, schemas)
 
 
 def tables(source: Mapping[str, DataFrame]) -> Reader:

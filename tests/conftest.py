@@ -13,11 +13,12 @@ DRIVER_TABLES = ("region nation customer supplier part orders lineitem events do
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("starling-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
                .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -87,3 +87,28 @@ def test_surrogate_keys_follow_key_order(spark):
     got = surrogate_keys(df, "k", F.lit(1000), "sk")
     want = df.withColumn("sk", F.lit(1000) + F.row_number().over(Window.orderBy("k")))
     assert rows(got) == rows(want)
+
+
+def test_ranks_and_keys_keep_nulls_ties_and_uneven_keys(spark):
+    data = [(g, v, i) for i, (g, v) in enumerate([("a", 1.0), ("a", None), ("a", 2.0), ("a", 2.0), ("a", -5000.5), (None, 3.0), (None, None), ("b", 1e9), ("b", 1.5)])]
+    df = spark.createDataFrame(data, "g string, v double, i int")
+    got = global_ranks(df, "g", rk=("v", F.floor(F.col("v") * 1000)))
+    want = df.withColumn("rk", F.rank().over(Window.partitionBy("g").orderBy("v")))
+    assert rows(got.select("g", "v", "i", "rk")) == rows(want.select("g", "v", "i", "rk"))
+    keys = spark.createDataFrame([(k,) for k in ["K0001", None, "K0003", "", "K", "K00010000000000000007", "AAAAAAAAAAAAAAAA", "AAAAAAAAAAAAAAAB"]], "k string")
+    got = surrogate_keys(keys, "k", F.lit(10), "sk")
+    want = keys.withColumn("sk", 10 + F.row_number().over(Window.orderBy(F.asc_nulls_first("k"))))
+    assert rows(got.select("k", "sk")) == rows(want.select("k", "sk"))
+
+
+def test_only_once_counts_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    assert rows(refresh.only_once(df, "k")) == [(2, "c")]
+    assert "SortAggregate" not in refresh.only_once(df, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_append_counts_what_is_stored(spark, tiny):
+    got = {r.fact: r for r in refresh.refresh_append(tiny).collect()}
+    for fact, build in refresh.INCREMENTS.items():
+        before, added = tiny[fact].count(), build.build(tiny).count() if hasattr(build, "build") else build(tiny).count()
+        assert (got[fact].rows_before, got[fact].rows_added, got[fact].rows_after) == (before, added, before + added)

@@ -132,6 +132,50 @@ def test_hash_layout_groups_without_shuffle(spark, tiny):
     assert "Exchange" not in plan
 
 
-def test_replicated_checks_size(tiny):
-    assert "broadcast" in layout.replicated(tiny.store)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in layout.replicated(tiny.store_sales, 10)._jdf.queryExecution().logical().toString().lower()
+def test_bucket_count_follows_bytes():
+    assert [layout.bucket_count(n << 20) for n in (0, 1024, 1025 * 128, 1 << 20)] == [8, 16, 2048, 16384]
+
+
+def test_hashed_files_open_in_a_later_application(spark, tiny, tmp_path):
+    path, df = str(tmp_path / "h"), tiny.store_sales
+    layout.save_hashed(df, "hashed_once", "ss_item_sk", 4, path)
+    assert not spark.catalog.tableExists("hashed_once")
+    table = layout.open_hashed(spark, "hashed_again", df.schema, "ss_item_sk", 4, path)
+    grouped = table.groupBy("ss_item_sk").count()
+    text = grouped._jdf.queryExecution().executedPlan().toString()
+    got, want = rows(grouped), rows(df.groupBy("ss_item_sk").count())
+    spark.sql("drop table hashed_again")
+    assert "Exchange" not in text and got == want
+
+
+def lines(path, *texts):
+    path.write_text("".join(t + "\n" for t in texts), encoding="ISO-8859-1")
+    return str(path)
+
+
+def test_delimited_refuses_surplus_and_short_lines(spark, tmp_path):
+    schema = delimited.T.StructType().add("a", "string").add("n", "int")
+    assert rows(delimited.load(spark, lines(tmp_path / "ok", "x|1|", "y|2", "|"), schema)) == sorted([("x", 1), ("y", 2), (None, None)], key=repr)
+    for bad in ("a|1|extra|more|", "a|1|extra", "b"):
+        with pytest.raises(Exception, match="not 2 fields"):
+            delimited.load(spark, lines(tmp_path / f"bad{len(bad)}", "x|1|", bad), schema).count()
+
+
+def test_delimited_refuses_what_it_cannot_hold(spark, tmp_path):
+    for k, text in enumerate(("a|b", "a\nb", "a\rb", "\u20ac")):
+        with pytest.raises(Exception, match="does not fit"):
+            delimited.save(spark.createDataFrame([(text,)], "a string"), str(tmp_path / str(k)))
+
+
+def test_scan_takes_a_schema(spark, tmp_path):
+    path = str(tmp_path / "j")
+    spark.sql("select 1 as a").write.json(path)
+    read = readers.scan("json", lambda table: {"path": path}, {"docs": "a string, b date"})
+    assert read(spark, "docs", "select * from docs").dtypes == [("a", "string"), ("b", "date")]
+
+
+def test_jdbc_refuses_whole_tables_and_asks_for_bounds(spark):
+    with pytest.raises(ValueError, match="partition column"):
+        readers.jdbc("jdbc:x")(spark, "item", "select * from item")
+    assert readers.whole_table(" SELECT * FROM a.item ;") and not readers.whole_table("select * from item where x = 1")
+    assert readers.bounds_query("select k from item", "k") == "select min(k) as lower_bound, max(k) as upper_bound from (select k from item) extract"
