@@ -145,3 +145,13 @@ v as (select coalesce(wc.item_sk, sc.item_sk) item_sk, coalesce(wc.d_date, sc.d_
   from wc full join sc on wc.item_sk = sc.item_sk and wc.d_date = sc.d_date)
 select x.item_sk, x.d_date, x.web_sales, x.store_sales, max(y.web_sales) web_cumulative, max(y.store_sales) store_cumulative
 from v x join v y on y.item_sk = x.item_sk and y.d_date <= x.d_date group by 1, 2, 3, 4 having max(y.web_sales) > max(y.store_sales)
+-- name: q47_by_brand
+{{q47}}
+-- name: q47_by_store
+{{q47}}
+-- name: q57_by_center
+{{q57}}
+-- name: q78_by_customer
+{{q78}}
+-- name: q05_nulls_last
+{{q05}}

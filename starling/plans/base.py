@@ -6,14 +6,14 @@ break ties, so a limited result is always the same rows.  A sort key with a lead
 used for ordering only.  ``bind`` holds parameter values suited to the order data where the
 function's own defaults, the reference's constants, would select nothing.  ``on_star`` is False
 for queries that read the order tables as they are.  Nulls sort first ascending and last
-descending, Spark's own rule.
+descending, Spark's own rule, unless ``nulls`` says "first" or "last" for every key.
 """
 
 from __future__ import annotations
 
 import pathlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,6 +34,10 @@ class Query:
     limit: int | None = None
     bind: dict = field(default_factory=dict)
     on_star: bool = True
+    nulls: str = ""
+
+    def nulls_first(self, down: bool) -> bool:
+        return {"first": True, "last": False}.get(self.nulls, not down)
 
     def sort_keys(self, order: list[str] | None = None) -> list[tuple[str, bool]]:
         keys = [(k.lstrip("-"), k.startswith("-")) for k in order or self.order]
@@ -41,6 +45,15 @@ class Query:
             keys += [(c, False) for c, _ in self.cols if c not in {k for k, _ in keys}]
         return keys
 
+    def choose(self, name: str, columns: str, order: str = "", nulls: str = "") -> "Query":
+        """The query with some of its output columns, chosen at run time, sorted by them."""
+        kinds = dict(self.cols)
+        for key in columns.split() + [k.lstrip("-") for k in order.split() if not k.lstrip("-").startswith("_")]:
+            allowed(key, " ".join(kinds))
+        kept = [(x, kinds[x]) for x in columns.split()]
+        return replace(self, name=name, cols=kept, order=order.split() or [k for k in self.order if k.lstrip("-") in dict(kept)],
+                       nulls=nulls or self.nulls)
+
     def __call__(self, tables, order_by: str | None = None, **params) -> DataFrame:
         """The answer on any mapping of star tables; ``order_by`` names other sort keys."""
         df = self.build(tables, **params)
@@ -50,8 +63,9 @@ class Query:
         hidden = [k.lstrip("-") for k in order if k.lstrip("-").startswith("_")]
         df = df.select(*[F.col(c).cast(TYPES[t]).alias(c) for c, t in self.cols], *hidden)
         if order:
-            df = df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c)
-                              for c, down in self.sort_keys(order)])
+            place = {(False, True): F.asc_nulls_first, (False, False): F.asc_nulls_last,
+                     (True, True): F.desc_nulls_first, (True, False): F.desc_nulls_last}
+            df = df.orderBy(*[place[down, self.nulls_first(down)](c) for c, down in self.sort_keys(order)])
         if self.limit is not None:
             df = df.limit(self.limit)
         return df.drop(*hidden)
@@ -67,7 +81,7 @@ class Query:
         sql = "with " + ",\n".join(entries) + f"\nselect {picked} from answer"
         if self.order:
             sql += " order by " + ", ".join(
-                f"answer.{c} {'desc nulls last' if down else 'asc nulls first'}"
+                f"answer.{c} {'desc' if down else 'asc'} nulls {'first' if self.nulls_first(down) else 'last'}"
                 for c, down in self.sort_keys())
         return sql + (f" limit {self.limit}" if self.limit is not None else "")
 

@@ -1,4 +1,4 @@
-"""The twelve query variants.
+"""The twelve query variants, and choices of output columns and null order made at run time.
 
 A variant spells a base query's rollup as a union of groupings, or its running sums as a
 self join.  The answer is the base query's, so each runs the base plan; the oracle keeps the
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from starling.operators.relational import matching, role, rollup_avg, star
-from starling.plans.base import query
+from starling.plans.base import REGISTRY, query
 from starling.plans import queries_01_20 as a, queries_21_45 as b, queries_46_72 as m, queries_73_99 as z
 
 c = F.col
@@ -94,3 +94,15 @@ def q80a(t, sales_date="1999-08-04"):
 @query("q86a", "total_sum:n i_category i_class lochierarchy:i rank_within_parent:i", b.PARENT_ORDER, 100)
 def q86a(t, dms=1188):
     return z.q86.build(t, dms)
+
+
+# ---- choices made at run time -----------------------------------------------------------------
+
+MONTHS = "avg_monthly_sales sum_sales psum nsum"
+for _chosen in (REGISTRY["q47"].choose("q47_by_brand", f"i_category i_brand d_year {MONTHS}", "_gap i_brand"),
+                REGISTRY["q47"].choose("q47_by_store", f"s_store_name s_company_name d_year d_moy {MONTHS}", "_gap s_store_name"),
+                REGISTRY["q57"].choose("q57_by_center", f"cc_name d_year d_moy {MONTHS}", "_gap cc_name"),
+                REGISTRY["q78"].choose("q78_by_customer", "ss_customer_sk ratio store_qty store_wholesale_cost store_sales_price other_chan_qty "
+                                       "other_chan_wholesale_cost other_chan_sales_price"),
+                REGISTRY["q05"].choose("q05_nulls_last", " ".join(name for name, _ in REGISTRY["q05"].cols), " ".join(REGISTRY["q05"].order), "last")):
+    REGISTRY[_chosen.name] = _chosen
