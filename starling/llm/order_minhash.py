@@ -11,13 +11,13 @@ Two texts are linked where the labelled five-word shingles have a Jaccard simila
 such a pair the k-mers chosen from the union are all common with a probability of at least about
 0.8^4, so one of 24 entries agrees with more than 0.99999.
 
-Buckets are not expanded into pairs.  Equal word sequences are one text from the start.  In each
-round a bucket has a main class, and members outside it.  A few pivots of the main class (those
-that share most buckets come first) are compared with all members outside; where only few are
-left outside, each of these is compared with all members of other classes.  Links merge classes,
-pivots leave, the number of pivots doubles, and a bucket is done when its members are of one
-class.  Then every two members have been compared or are of one class, so no link that would join
-classes is lost, and nothing is capped.  A large group of copies costs a few comparisons for each.
+Equal word sequences are one text from the start.  First every bucket's members are compared with
+its pivot, the member that meets most texts; what is linked becomes one class, and most buckets
+are done.  Where a bucket still holds several classes, every member outside its largest class is
+compared with all members of other classes: in small buckets as pairs, in larger ones block
+against block, where one task holds two blocks and counts the k-mers in common through an index,
+so no pairs are emitted.  After that any two members of a bucket have been compared or are of one
+class.  No link that joins classes is lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ class Sketch:
     entries: int = 24
     chosen: int = 4
     similarity: float = 0.8
-    pivots: int = 2
+    few: int = 12
+    block: int = 256
 
 
 LAYOUT = Sketch()
@@ -205,11 +206,11 @@ def texts(docs: DataFrame) -> DataFrame:
         sketched, f"row_id long, doc_id {id_type}, text_key long, n long, sketch array<long>, hashes binary")
 
 
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
     """The pairs (``a``, ``b`` of text keys) that are linked; ``words`` has each text once."""
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [similar(np.frombuffer(s, "<u4").astype(np.uint64), np.frombuffer(t, "<u4").astype(np.uint64))
+            good = [similar(np.frombuffer(s, "<u4").astype(np.uint64), np.frombuffer(t, "<u4").astype(np.uint64), layout)
                     for s, t in zip(batch["left"], batch["right"])]
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
@@ -223,68 +224,115 @@ def linked(rows: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
     entries = rows.groupBy("text_key").agg(F.min("row_id").alias("row_id"))
     first = staged(rows.select("row_id", "n", "sketch").join(entries, "row_id"), "sketches")
     count = first.count()
-    members = first.select("text_key", "n", F.explode("sketch").alias("bucket"))
-    sizes = staged(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = join_spread(members, sizes, "bucket", "size", count)
+    exploded = first.select("text_key", "n", F.explode("sketch").alias("bucket"))
+    sizes = staged(exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    met = staged(join_spread(exploded, sizes, "bucket", "size", count), "met")
     # A text's degree: how many others it meets; a center of copies meets most.
-    members = staged(members, "members")
-    degrees = members.groupBy("text_key").agg(F.sum("size").alias("degree"))
+    degrees = met.groupBy("text_key").agg(F.sum("size").alias("degree"))
+    members = staged(met.join(degrees, "text_key"), "members")
     ids = degrees.select("text_key").join(first.select("text_key", "row_id"), "text_key").select("row_id")
     words = staged(rows.select("row_id", "text_key", "hashes").join(ids, "row_id").select("text_key", "hashes"), "words")
-    members = staged(members.drop("size").join(degrees, "text_key"), "members")
-    labels = tested = links = None
-    pivots = layout.pivots
-    while True:
-        if labels is None:
-            named = members.withColumn("class", F.col("text_key"))
-        else:
-            named = members.join(labels, "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
-        named = staged(named, "named")
-        by_class = named.groupBy("bucket", "class").agg(F.count("*").alias("size"), F.max("degree").alias("top"))
-        buckets = staged(by_class.groupBy("bucket").agg(
-            F.max_by("class", F.struct("size", "top", "class")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"),
-            F.count("*").alias("parts")).where("parts > 1").select("bucket", "main", "size", (F.col("size") - F.col("most")).alias("outside")), "buckets")
-        if buckets.isEmpty():
-            break
-        open_ = staged(join_spread(named, buckets, "bucket", "size", count), "open")
-        inside = F.col("class") == F.col("main")
-        best = open_.where(inside).withColumn("place", F.expr("row_number() over (partition by bucket order by degree desc, text_key)")).where(F.col("place") <= pivots)
-        chosen = best.select("bucket", "text_key").unionByName(open_.where(~inside & (F.col("outside") <= pivots * 2)).select("bucket", "text_key"))
-        chosen = staged(chosen, "pivots")
-        # With few members outside, all of these are pivots to every other class; otherwise the main class's pivots meet those outside.
-        pivot = open_.join(chosen, ["bucket", "text_key"], "left_semi")
-        groups = pivot.groupBy("bucket").agg(F.collect_list(F.struct(F.col("text_key").alias("key"), F.col("class").alias("of"), F.col("n").alias("len"))).alias("pivots"), F.max("size").alias("size"))
-        met = join_spread(open_.select("bucket", "text_key", "class", "n"), groups, "bucket", "size", count).select(
-            "text_key", "class", "n", F.explode("pivots").alias("p")).where(
-            (F.col("p.of") != F.col("class")) & (F.least("n", "p.len") >= layout.similarity * F.greatest("n", "p.len")))
-        pairs = met.select(F.least("text_key", "p.key").alias("a"), F.greatest("text_key", "p.key").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = staged(verified(pairs, words), "found")
-        links = found if links is None else links.unionByName(found)
-        labels = classes(links)
-        members = staged(open_.select("bucket", "text_key", "n", "degree").join(chosen, ["bucket", "text_key"], "left_anti"), "members")
-        pivots *= 2
-    return labels if labels is not None else first.select("text_key", F.col("text_key").alias("class")).limit(0)
-
-
-def classes(links: DataFrame) -> DataFrame:
-    """``text_key`` and ``class`` (smallest key reachable over links) for every text with a link.
-
-    Every text takes the smallest label next to it, then its label's label, until nothing moves.
+    labels = words.select("text_key", F.col("text_key").alias("class"))
+
+    def close(n, m):
+        return F.least(n, m) >= layout.similarity * F.greatest(n, m)
+
+    def pairs_of(left, right):
+        return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+    pivots = members.groupBy("bucket").agg(F.max_by("text_key", "degree").alias("pivot"), F.max_by("n", "degree").alias("len"), F.max("size").alias("size"))
+    pairs = (join_spread(members.select("bucket", "text_key", "n"), pivots, "bucket", "size", count)
+             .where((F.col("text_key") != F.col("pivot")) & close(F.col("n"), F.col("len"))).select(*pairs_of("text_key", "pivot")).distinct())
+    tested = staged(pairs, "pairs")
+    labels = joined_classes(labels, staged(verified(tested, words, layout), "found"))
+
+    named = staged(members.drop("size").join(labels, "text_key"), "named")
+    by_class = named.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    buckets = staged(by_class.groupBy("bucket").agg(F.max_by("class", "size").alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count("*").alias("parts"))
+                     .where("parts > 1").select("bucket", "main", "size", (F.col("size") - F.col("most")).alias("outside")), "buckets")
+    open_ = staged(join_spread(named, buckets, "bucket", "size", count), "open")
+    listed = (open_.where(F.col("size") <= layout.few).groupBy("bucket")
+              .agg(F.collect_list(F.struct("text_key", "class", "n")).alias("all")))  # at most ``few``
+    pairs = listed.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where(
+        (F.col("x.text_key") < F.col("y.text_key")) & (F.col("x.class") != F.col("y.class")) & close(F.col("x.n"), F.col("y.n")))
+    pairs = staged(pairs.select(*pairs_of("x.text_key", "y.text_key")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = verified(pairs, words, layout).unionByName(compared_in_blocks(open_.where(F.col("size") > layout.few), words, layout))
+    return joined_classes(labels, staged(found, "found"))
+
+
+def compared_in_blocks(members: DataFrame, words: DataFrame, layout: Sketch) -> DataFrame:
+    """Links (``a``, ``b``) between members outside their bucket's main class and members of other classes.
+
+    Both are dealt to blocks; a unit is one block of each, so a task's share is bounded however
+    many members a bucket has.
+    """
+    block = layout.block
+    rows = members.select("bucket", "text_key", "class", "main", F.ceil(F.col("outside") / block).cast("int").alias("outer"), F.ceil(F.col("size") / block).cast("int").alias("inner"))
+    def dealt(part):
+        return F.pmod(F.xxhash64("text_key"), F.col(part)).cast("int")
+    outside = rows.where("class != main").select("bucket", "text_key", "class", F.lit(True).alias("asks"), dealt("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j"))
+    inside = rows.select("bucket", "text_key", "class", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), dealt("inner").alias("j"))
+    units = outside.unionByName(inside).join(words, "text_key")
+    return shipped(units).groupBy("bucket", "i", "j").applyInPandas(lambda unit: links_in(unit, layout), "a long, b long")
+
+
+def links_in(unit: pd.DataFrame, layout: Sketch = LAYOUT) -> pd.DataFrame:
+    """Links of one unit; two texts whose classes a link has joined already are not aligned again."""
+    texts_ = {k: np.frombuffer(h, "<u4").astype(np.uint64) for k, h in zip(unit["text_key"], unit["hashes"])}
+    grams = {k: kmers(h, layout.words) for k, h in texts_.items()}
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    others = unit[~unit["asks"]]
+    keys, kinds = others["text_key"].tolist(), others["class"].tolist()
+    sizes = np.array([len(grams[k]) for k in keys], np.int64)
+    flat = np.concatenate([grams[k] for k in keys]) if keys else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(keys)), sizes)[order]
+    found = []
+    asking = unit[unit["asks"]]
+    for key, kind in zip(asking["text_key"].tolist(), asking["class"].tolist()):
+        mine = grams[key]
+        low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        width = high - low
+        at = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        common = np.bincount(owner[at], minlength=len(keys))
+        for i in np.flatnonzero(common >= layout.similarity * (len(mine) + sizes - common)).tolist():
+            if root(kind) != root(kinds[i]) and similar(texts_[key], texts_[keys[i]], layout):
+                found.append((min(key, keys[i]), max(key, keys[i])))
+                parent[root(kind)] = root(kinds[i])
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``text_key``, ``class``) after the classes that the links (``a``, ``b``) connect are one."""
+    of = lambda end: labels.select(F.col("text_key").alias(end), F.col("class").alias(f"{end}_class"))
+    edges = staged(links.join(of("a"), "a").join(of("b"), "b").where("a_class != b_class")
+                   .select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return labels
+    moved = components(edges).select(F.col("node").alias("class"), F.col("label").alias("moved"))
+    return staged(labels.join(moved, "class", "left").select("text_key", F.coalesce("moved", "class").alias("class")), "labels")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``label`` (smallest node reachable) for every node of the edges (``a``, ``b``).
+
+    Every node takes the smallest label next to it, then its label's label, until nothing moves.
     """
-    both = staged(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("class")).select("a", F.least("a", "class").alias("class")), "labels")
+    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "both")
+    labels = staged(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("class").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        stepped = labels.join(near, "a").select("a", F.col("class").alias("old"), F.least("class", "near").alias("class"))
-        up = labels.select(F.col("a").alias("class"), F.col("class").alias("up"))
-        stepped = staged(stepped.join(up, "class", "left").select("a", "old", F.least("class", "up").alias("class")), "labels")
-        labels = stepped.select("a", "class")
-        if stepped.where("old != class").isEmpty():
-            return labels.select(F.col("a").alias("text_key"), "class")
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        stepped = staged(stepped.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        labels = stepped.select("node", "label")
+        if stepped.where("old != label").isEmpty():
+            return labels
 
 
 def find_near(docs: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
