@@ -37,7 +37,7 @@ def test_types_with_precision():
 
 def test_delimited_edge_fields(spark, tmp_path):
     struct = schema.struct_type(DOC)
-    lines = ['1|caf\xe9 "bar"  |1999-02-03|5000000000|1.50|A|', "2||||", "3|x|2000-01-01|7|-0.25|", "4|y|2000-01-01|7|3.00|z"]
+    lines = ['1|caf\xe9 "bar"  |1999-02-03|5000000000|1.50|A|', "2|||||", "3|x|2000-01-01|7|-0.25|", "4|y|2000-01-01|7|3.00|z"]
     (tmp_path / "thing.dat").write_bytes("\n".join(lines).encode("iso-8859-1"))
     got = {r.k: r for r in delimited.load(spark, str(tmp_path / "thing.dat"), struct).collect()}
     assert got[1].name == 'café "bar"' and got[1].big == 5000000000 and str(got[1].price) == "1.50" and got[1].code == "A"
@@ -154,7 +154,7 @@ def lines(path, *texts):
 
 
 def test_delimited_refuses_surplus_and_short_lines(spark, tmp_path):
-    schema = delimited.T.StructType().add("a", "string").add("n", "int")
+    schema = T.StructType().add("a", T.StringType()).add("n", T.IntegerType())
     assert rows(delimited.load(spark, lines(tmp_path / "ok", "x|1|", "y|2", "|"), schema)) == sorted([("x", 1), ("y", 2), (None, None)], key=repr)
     for bad in ("a|1|extra|more|", "a|1|extra", "b"):
         with pytest.raises(Exception, match="not 2 fields"):
