@@ -82,10 +82,11 @@ def test_half_written_table_is_not_taken(spark, tmp_path):
     assert "s_store_sk" in star.store.columns
 
 
-def test_a_folder_is_required(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+def test_a_folder_is_required():
+    from types import SimpleNamespace
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="checkpoint"):
-        warehouse.shared_folder(spark)
+        warehouse.shared_folder(bare)
 
 
 def test_refresh_orders_follow_any_order_number(spark, tmp_path):
