@@ -14,7 +14,9 @@ numbered in one task.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ FILE = "word_bpe_49k.json"
 END_ID = 1
 LENGTH = 2048
 MIN_FILL = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 BLOCK_ROWS = 2048
 
 
@@ -160,11 +162,16 @@ def _usable(room: int, least: int) -> int:
 # ---- ids ------------------------------------------------------------------------------------
 
 
+TRAILING = ".,;:!?*#$%&|"
+
+
 class Words:
     """Ids of words between white space, encoded once per worker while the store has room.
 
     The pre-tokenizer splits at white space and drops it, so a text's ids are those of its words
-    one after another.  Texts with a special string, or with control characters that Python takes
+    one after another; it also splits between a letter or digit and punctuation, so a word with
+    punctuation after it is put together from the two, and A-Z are lowered before the look-up as
+    the tokenizer would.  Texts with a special string, or with control characters that Python takes
     for white space and the tokenizer does not, go through the library whole.
     """
 
@@ -172,23 +179,47 @@ class Words:
         self.library = tokenizers_public.library(file)
         self.store: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of words to the store, a core known from another word not encoded again."""
+        parts = {}
+        for word in words:
+            low = word.lower() if word.isascii() else word
+            core = low.rstrip(TRAILING)
+            parts[word] = (core, low[len(core):]) if core and core[-1].isalnum() else (low, "")
+        fresh = list(dict.fromkeys(p for pair in parts.values() for p in pair if p and p not in self.store))
+        for begin in range(0, len(fresh), 4096):
+            part = fresh[begin:begin + 4096]
+            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.store[piece] = _packed(found.ids)
+        for word, (core, rest) in parts.items():
+            self.store[word] = self.store[core] + self.store[rest] if rest else self.store[core]
+
     def ids(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian 16-bit ids of every text, the end id after them."""
         if len(self.store) > CACHE_WORDS:
             self.store.clear()
-        split, end = [], np.array([end_id], "<u2").tobytes()
+        split, end = [], _packed([end_id])
         for text in texts:
             plain = "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
             split.append((text.lower() if text.isascii() else text).split() if plain else None)
-        fresh = list(dict.fromkeys(w for words in split if words for w in words if w not in self.store))
-        for begin in range(0, len(fresh), 4096):
-            part = fresh[begin:begin + 4096]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.store[word] = np.array(found.ids, "<u2").tobytes()
-        get = self.store.__getitem__
-        return [b"".join(map(get, words)) + end if words is not None else
-                np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes() + end
-                for text, words in zip(texts, split)]
+        get = self.store.get
+        known = [list(map(get, words)) if words else [] for words in split]
+        self.learn(list(dict.fromkeys(w for words, found in zip(split, known) if None in found for w, k in zip(words, found) if k is None)))
+        out = []
+        for text, words, found in zip(texts, split, known):
+            if words is None:
+                out.append(_packed(self.library.encode(text, add_special_tokens=False).ids) + end)
+            else:
+                out.append(b"".join([get(w) if k is None else k for w, k in zip(words, found)] if None in found else found) + end)
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 16-bit ids."""
+    packed = array("H", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 _WORDS: dict[str, Words] = {}
