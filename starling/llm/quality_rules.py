@@ -6,10 +6,16 @@ common word of each language (as written: a text in capitals has none).  The his
 by language into references, and a document fails where its Jensen-Shannon distance to the nearest
 reference is too large.  Both distances have a minimum length below which they are not asked: a
 short text's histogram says little.
+
+Most words of any text are no common words, so a text without a single one is not far from the
+references in absolute terms.  The limit for texts with fewer common words than any reference is
+therefore a share of the distance that a histogram without common words has to the nearest one.
+It is not asked of a text whose language is named and has no reference.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,6 +42,7 @@ class Rules:
     max_char_distance: float = 0.3
     min_chars: int = 200
     max_word_distance: float = 0.37
+    max_bare_share: float = 0.925
     min_distance_words: int = 60
 
 
@@ -117,6 +124,13 @@ def distance(counts: Column, shares: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x)))
 
 
+def bare_distance(shares: list[float]) -> float:
+    """The distance to fixed shares of a histogram that holds nothing but its last entry."""
+    p = [0.0] * (len(shares) - 1) + [1.0]
+    terms = [x * math.log2(2 * x / (x + y)) for a, b in zip(p, shares) for x, y in ((a, b), (b, a)) if x > 0]
+    return math.sqrt(max(0.0, sum(terms) / 2))
+
+
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document: the base counts, both distances, ``base_failed`` and ``kept``.
 
@@ -135,8 +149,13 @@ def judged(rows: DataFrame, known: dict, rules: Rules) -> DataFrame:
         return F.array_min(F.array(*found)) if found else F.lit(None).cast("double")
     out = rows.withColumn("char_distance", F.when(F.col("word_chars") > 0, nearest("chars", 0)))
     out = out.withColumn("word_distance", F.when(F.col("n_words") > 0, nearest("common", 1)))
+    bare = F.lit(False)
+    if known:
+        limit = rules.max_bare_share * min(bare_distance(ref[1]) for ref in known.values())
+        fewer = F.get("common", F.size("common") - 1) > max(ref[1][-1] for ref in known.values()) * F.col("n_words")
+        bare = (F.col("lang").isNull() | F.col("lang").isin(list(known))) & fewer & (F.col("word_distance") > limit)
     odd = ((F.col("word_chars") >= rules.min_chars) & (F.col("char_distance") > rules.max_char_distance)) | (
-        (F.col("n_words") >= rules.min_distance_words) & (F.col("word_distance") > rules.max_word_distance))
+        (F.col("n_words") >= rules.min_distance_words) & ((F.col("word_distance") > rules.max_word_distance) | bare))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
 
 

@@ -57,6 +57,34 @@ def test_rules_part_clean_from_junk(spark):
     assert asked[asked.quality == 0].kept.mean() < 0.4
 
 
+def test_long_texts_without_common_words_fail(spark):
+    """Invented words with the letters, lengths and capitals of the given documents."""
+    import random
+    draw = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    common = set(rules.vocabulary())
+    def invented(n):
+        words = ("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(4, 9))) for _ in range(9 * n))
+        words = [w for w in words if w not in common][:n]
+        return " ".join(w.capitalize() + "," if i % 12 == 0 else w for i, w in enumerate(words))
+    junk = [(10_000_000 + i, invented(n), lang) for i, (n, lang) in enumerate([(80, "en"), (300, "en"), (2000, "de"), (150, "es"), (90, "fr"), (200, None)])]
+    other = [(20_000_000, invented(200), "xx")]  # a named language without a reference
+    got = rules.judge(docs.union(spark.createDataFrame(junk + other, docs.schema)).repartition(5)).toPandas().set_index("doc_id")
+    assert not got.loc[[i for i, _, _ in junk], "base_failed"].any() and (got.loc[[i for i, _, _ in junk], "char_distance"] < 0.3).all()
+    assert not got.loc[[i for i, _, _ in junk], "kept"].any() and got.loc[20_000_000, "kept"]
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id").quality
+    asked = got[(got.n_words >= 60) & ~got.base_failed].join(labels, how="inner")
+    assert asked[asked.quality == 1].kept.mean() > 0.98 and asked[asked.quality == 0].kept.mean() < 0.3
+
+
+def test_common_words_where_references_have_few(spark):
+    """References nearly without common words: a text that has some is not odd for it."""
+    plain = " ".join(f"vord{i % 7}{i}" for i in range(97)) + " the of to"
+    rows = [(i, " ".join(f"wort{i}x{j}" for j in range(200)), "en") for i in range(200)] + [(900, plain, "en")]
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[900]
+
+
 def test_classifier_on_held_out(spark):
     path = "/root/testdata/sf0.1"
     rows = mil.op3(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").toPandas()
