@@ -5,8 +5,8 @@ by a learned layer over its features: pairs of character classes, hashed words,
 (distinct words, lengths).  Gated attention weighs the passages, ``a_i ~ exp(w . (tanh(V h_i) *
 sigmoid(U h_i)))``, and the weighted passage representation is scored by a logistic unit.
 
-Training reads a bounded sample of labelled documents: ``Training.documents`` of them, the smallest
-hashes of the id, with ``Training.passages`` evenly spread passages each.  Features of the sample
+Training reads a bounded sample of the input's labelled documents: ``Training.documents`` of them,
+the smallest hashes of the id, with ``Training.passages`` evenly spread passages each.  Features of the sample
 are computed in the tasks; the driver fits the weights.  Scoring reads every passage of every
 document, features a block at a time.
 """
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starling.llm.common import crc_mod, shipped, text_of
+from starling.llm.common import crc_mod, shipped, staged, text_of
 
 PASSAGE_WORDS = 64
 HASHED = 256
@@ -40,6 +40,7 @@ class Training:
     hidden: int = 32
     gate: int = 16
     epochs: int = 14
+    steps: int = 400
     batch: int = 64
     rate: float = 3e-3
     decay: float = 1e-4
@@ -139,7 +140,10 @@ class Model:
 
 
 def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, how: Training = Training()) -> Model:
-    """Adam on the bags' log loss; ``starts`` are the first passages of the bags."""
+    """Adam on the bags' log loss; ``starts`` are the first passages of the bags.
+
+    Few bags are gone through more often, so that there are at least ``how.steps`` steps.
+    """
     mean, scale = x.mean(0), x.std(0) + 0.05
     if len(set(y.tolist())) < 2:
         return Model(mean, scale, {}, float(y[0]) if len(y) else 0.5)
@@ -151,8 +155,9 @@ def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, how: Training = Traini
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     model, step = Model(mean, scale, w), 0
     ends = np.append(starts[1:], len(x))
-    for epoch in range(how.epochs):
-        rate = how.rate * (1 - epoch / how.epochs)
+    epochs = max(how.epochs, -(-how.steps // -(-len(y) // how.batch)))
+    for epoch in range(epochs):
+        rate = how.rate * (1 - epoch / epochs)
         order = draw.permutation(len(y))
         for at in range(0, len(order), how.batch):
             bags = order[at:at + how.batch]
@@ -189,16 +194,29 @@ def held_out(column: str = "doc_id"):
     return crc_mod(column, 4) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
-    """A model of the labelled documents that are not held out.
+def sampled(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
+    """``doc_id``, ``quality`` and ``text`` of at most ``how.documents`` labelled documents that are not held out.
 
-    Labels of null are no labels; of several labels for an id the smallest counts, and of several
-    documents with an id each is a bag.
+    Only labels of ids among ``docs`` take up places.  Labels of null are no labels; of several labels
+    for an id the smallest counts.  Equal texts of an id are one; of different ones each counts, the
+    first of every id before the others.
     """
     sample = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+              .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.documents))
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    named = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(staged(sample, "labelled")), "doc_id").select(
+        "doc_id", "quality", "text", F.xxhash64("text").alias("h"))
+    keys = staged(named.select("doc_id", "h").distinct(), "keys")
+    first = keys.groupBy("doc_id").agg(F.min("h").alias("h")).withColumn("later", F.lit(0))
+    chosen = (keys.join(F.broadcast(first), ["doc_id", "h"], "left")
+              .orderBy(F.coalesce("later", F.lit(1)), F.xxhash64("doc_id", "h"), "doc_id", "h").limit(how.documents).select("doc_id", "h"))
+    return named.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "quality", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
+    """A model of the labelled documents that ``sampled`` gives."""
+    rows = sampled(docs, labels, how)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +232,12 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
 
     found = shipped(rows).mapInArrow(measured, "doc_id string, quality int, bag binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["bag"]))
-    # Repeated documents of one id could outgrow the sample; the bound holds for bags too.
-    bags = [np.frombuffer(r["bag"], "<f2").reshape(-1, WIDTH) for r in found[:how.documents]]
+    bags = [np.frombuffer(r["bag"], "<f2").reshape(-1, WIDTH) for r in found]
     sizes = np.array([len(b) for b in bags], np.int64)
     x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, WIDTH), np.float32)
     if not len(x):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, 0.5)
-    return fit(x, np.cumsum(sizes) - sizes, np.array([float(r["quality"] > 0) for r in found[:how.documents]], np.float32), how)
+    return fit(x, np.cumsum(sizes) - sizes, np.array([float(r["quality"] > 0) for r in found], np.float32), how)
 
 
 def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
@@ -266,9 +283,15 @@ def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The input rows whose score reaches the threshold, with all their columns."""
+    """The input rows whose score reaches the threshold, with all their columns.
+
+    Where the input's labels hold one class or none nothing can be learned, and every row is kept.
+    """
+    model = train(docs, labels)
+    if model.prior is not None:
+        return docs
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    return scored(named, train(docs, labels), "row").where(F.col("score") >= threshold).select("row.*")
+    return scored(named, model, "row").where(F.col("score") >= threshold).select("row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -102,6 +102,33 @@ def test_classifier_edges(spark, edges, nothing):
     assert mil.scored(nothing, mil.train(nothing, labels)).count() == 0
 
 
+def test_training_sample(spark):
+    """Labels of other documents take no places; a repeated id is bounded and does not crowd out the others."""
+    docs = spark.range(30).selectExpr("id * 1000 as doc_id", "concat('text of ', id) as text")
+    many = spark.range(3000).selectExpr("cast(3 as long) as doc_id", "concat('other text ', id) as text")
+    same = spark.range(3000).selectExpr("cast(11 as long) as doc_id", "'one text' as text")
+    labels = spark.range(40_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    ids = [i for i in [3, 11, *range(0, 30_000, 1000)] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 3 in ids and 11 in ids
+    rows = mil.sampled(docs.union(many).union(same), labels, mil.Training(documents=100)).collect()
+    assert len(rows) == 100 and {r["doc_id"] for r in rows} == set(ids) and sum(r["doc_id"] == 11 for r in rows) == 1
+
+
+def test_classifier_keeps_clean_documents(spark, documents):
+    """Few labelled documents among many labels are learned from; without any, or with one class, all are kept."""
+    junk = spark.range(10_000_000, 10_000_200).selectExpr("id as doc_id", "repeat(concat('#$ ', id, ' |<> '), 80) as text", "'en' as lang")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality").where("quality = 1")
+    clean = documents.select("doc_id", "text", "lang").join(labels, "doc_id", "left_semi")
+    foreign = spark.range(20_000_000, 20_200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    labelled = labels.union(junk.selectExpr("doc_id", "0")).union(foreign)
+    both = clean.union(junk)
+    kept = {r["doc_id"] for r in mil.keep_good(both, labelled).select("doc_id").collect()}
+    good = {r["doc_id"] for r in clean.collect()}
+    assert len(kept & good) >= 0.95 * len(good) and len(kept - good) <= 10
+    for few in (foreign, junk.selectExpr("doc_id", "0 as quality")):
+        assert mil.keep_good(both, few).count() == both.count()
+
+
 def test_gradients_lower_the_loss():
     draw = np.random.default_rng(0)
     x = draw.standard_normal((600, mil.WIDTH)).astype(np.float32)
