@@ -8,8 +8,10 @@ just shared content.  Texts with an equal sketch entry meet in its bucket.
 
 Two texts are linked where the labelled five-word shingles have a Jaccard similarity of at least
 0.8, and an alignment of their words within a band has an edit similarity of at least 0.8.  For
-such a pair the k-mers chosen from the union are all common with a probability of at least about
-0.8^4, so one of 24 entries agrees with more than 0.99999.
+such a pair with c common k-mers among u, in the same order, the four that an entry chooses from
+the union are all common with probability C(c,4)/C(u,4): about 0.8^4 for long texts, so one of 24
+entries agrees with more than 0.99999.  With few k-mers it is less, down to 0.2 for 4 of 5, so
+short texts have more entries (``FEW``), and the bound holds at every length.
 
 Equal word sequences are one text from the start.  First every bucket's members are compared with
 its pivot, the member that meets most texts; what is linked becomes one class, and most buckets
@@ -44,6 +46,8 @@ class Sketch:
 
 
 LAYOUT = Sketch()
+# Least entries of texts with at most so many k-mers.  A pair's union has at least as many as either, so both have these entries.
+FEW = ((5, 52), (20, 30))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 16
 
@@ -102,7 +106,8 @@ def sketch(grams: np.ndarray, layout: Sketch = LAYOUT) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     take = min(layout.chosen, n)
-    seeds = mixed(np.arange(1, layout.entries + 1, dtype=np.uint64) * _MIX)[:, None]
+    entries = max([layout.entries] + [least for most, least in FEW if n <= most])
+    seeds = mixed(np.arange(1, entries + 1, dtype=np.uint64) * _MIX)[:, None]
     best_value = best_place = None
     for begin in range(0, n, BLOCK):  # a very long text is looked at in blocks
         value = mixed(grams[None, begin:begin + BLOCK] ^ seeds)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -69,6 +70,21 @@ def test_sketch_in_blocks_is_that_of_the_whole(monkeypatch):
     assert (near.sketch(grams) == whole).all()
 
 
+def test_links_meet_at_every_length():
+    """The chance that a pair at the threshold shares no entry, by the number of k-mers in its union."""
+    for u in range(4, 300):
+        c = -(-4 * u // 5)
+        grams = near.kmers(near.word_hashes([f"w{i}" for i in range(u + 4)]), 5)
+        assert len(grams) == u
+        assert (1 - math.comb(c, 4) / math.comb(u, 4)) ** len(near.sketch(grams)) < 1e-5
+    missed = 0
+    for k in range(3000):  # eight words and one more
+        words = [f"x{k}y{i}" for i in range(9)]
+        a, b = (near.sketch(near.kmers(near.word_hashes(w), 5)) for w in (words[:8], words))
+        missed += not np.intersect1d(a, b).size
+    assert missed == 0
+
+
 def test_order_counts():
     words = [f"w{i}" for i in range(400)]
     a, b = near.word_hashes(words), near.word_hashes(words[200:] + words[:200])
