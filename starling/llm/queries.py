@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from starling.llm import chat, exact_dedup, hmm, order_minhash, packing, pieces, quality_mil, quality_rules, sharding, token_counts
+from starling.llm import (chat, exact_dedup, hard_negatives, hmm, kmeans_tree, order_minhash, packing, pieces, prefix_trie,
+                          quality_mil, quality_rules, sharding, token_counts)
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -15,7 +16,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8,
     "op9_chat_format": chat.op9,
     "op10_order_minhash": order_minhash.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_prefix_trie": prefix_trie.op12,
+    "op13_kmeans_tree": kmeans_tree.op13,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
