@@ -5,21 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from starling.operators.replicated import if_small
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The folder of ``spark.checkpoint.dir`` or of the session's checkpoints; one of them must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="starling-"))
-    return spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
@@ -34,6 +34,30 @@ def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a narrow key that stays the same whenever they are read again, and the key's name.
+
+    The key is the row's place: its file and its number there.  Rows that come from no file, or
+    from one row of a file several times, are staged first.
+    """
+    name = "place"
+    while name in docs.columns:
+        name += "_"
+    try:
+        place = docs.metadataColumn("_metadata")
+        out = docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name))
+        if out.groupBy(name).count().where("count > 1").isEmpty():
+            return out, name
+    except AnalysisException:
+        pass
+    return placed(staged(docs, "rows"))
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the dropped ones, without the key; few dropped keys are broadcast."""
+    return rows.join(if_small(staged(dropped, "dropped")), key, "left_anti").drop(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

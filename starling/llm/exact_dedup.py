@@ -15,17 +15,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from starling.llm.common import SPACE, staged, text_of
+from starling.llm.common import SPACE, placed, staged, text_of, without
 
 FAN_IN = 8
 
 
-def digests(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """One narrow row per document: its number, run, id, digest and the second hash."""
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """One narrow row per document: its number, run, id, digest and the second hash, and columns of ``more``."""
     norm = F.regexp_replace(text_of(), SPACE, " ")
     return docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("run"), "doc_id",
-        F.sha2(norm, 256).alias("digest"), F.octet_length(norm).alias("n_bytes"), F.xxhash64(norm).alias("check"))
+        F.sha2(norm, 256).alias("digest"), F.octet_length(norm).alias("n_bytes"), F.xxhash64(norm).alias("check"), *more)
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -46,10 +46,10 @@ def find_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     empty; a null id is larger than any other and is kept only where no other id is in the group;
     of repeated rows with the smallest id one is kept.  An empty table gives an empty result.
     """
-    return _groups(staged(digests(docs, fan_in), "digests"), fan_in)
+    return _groups(staged(digests(docs), "digests"), fan_in)
 
 
-def _groups(rows: DataFrame, fan_in: int) -> DataFrame:
+def _groups(rows: DataFrame, fan_in: int, *more: str) -> DataFrame:
     last = rows.agg(F.max("run")).first()[0] or 0
     leaves = rows.select("run", "digest", F.col("row_id").alias("keep_row"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"),
                          F.col("n_bytes").alias("b0"), F.col("n_bytes").alias("b1"), F.col("check").alias("c0"), F.col("check").alias("c1"))
@@ -59,18 +59,15 @@ def _groups(rows: DataFrame, fan_in: int) -> DataFrame:
         last //= fan_in
     groups = level.select("digest", "keep_row", "keep_id", F.col("n").alias("group_size"))
     down = first.select("run", "digest").join(groups, "digest")
-    return rows.select("row_id", "run", "doc_id", "digest").join(down, ["run", "digest"]).select(
-        "row_id", "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select("row_id", "run", "doc_id", "digest", *more).join(down, ["run", "digest"]).select(
+        *more, "row_id", "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The input rows that stay, with all their columns, whatever these are called."""
-    inner = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_of().alias("text"))
-                   .select("row", F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("run"), "doc_id",
-                           F.regexp_replace("text", SPACE, " ").alias("norm"))
-                   .select("row", "row_id", "run", "doc_id", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("check")), "rows")
-    dropped = staged(_groups(inner.drop("row"), fan_in).where(~F.col("kept")).select("row_id"), "dropped")
-    return inner.join(dropped, "row_id", "left_anti").select("row.*")
+    rows, key = placed(docs)
+    groups = _groups(staged(digests(rows, key), "digests"), fan_in, key)
+    return without(rows, groups.where(~F.col("kept")).select(key), key)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

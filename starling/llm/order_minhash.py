@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starling.llm.common import join_spread, shipped, staged, text_of
+from starling.llm.common import join_spread, placed, shipped, staged, text_of, without
 
 
 @dataclass(frozen=True)
@@ -185,8 +185,8 @@ def banded(left: np.ndarray, right: np.ndarray, band: int) -> int:
 # ---- the job --------------------------------------------------------------------------------
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """Per row: ``row_id``, ``doc_id``, the key of its word sequence, its k-mers' number, sketch and word hashes."""
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """Per row: ``row_id``, ``doc_id``, the key of its word sequence, its k-mers' number, sketch and word hashes, and columns of ``more``."""
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         for batch in batches:
@@ -203,12 +203,13 @@ def texts(docs: DataFrame) -> DataFrame:
                     hashes.append(found.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row_id"), part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array(entries, pa.list_(pa.int64())), pa.array(hashes, pa.binary())],
-                    names=["row_id", "doc_id", "text_key", "n", "sketch", "hashes"])
+                     pa.array(entries, pa.list_(pa.int64())), pa.array(hashes, pa.binary()), *[part.column(c) for c in more]],
+                    names=["row_id", "doc_id", "text_key", "n", "sketch", "hashes", *more])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return shipped(docs.select("row_id", "doc_id", "text")).mapInArrow(
-        sketched, f"row_id long, doc_id {id_type}, text_key long, n long, sketch array<long>, hashes binary")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return shipped(docs.select("row_id", "doc_id", "text", *more)).mapInArrow(
+        sketched, f"row_id long, doc_id {id_type}, text_key long, n long, sketch array<long>, hashes binary{kinds}")
 
 
 def verified(pairs: DataFrame, words: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
@@ -351,11 +352,11 @@ def find_near(docs: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
     return _near(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_of().alias("text")), layout)
 
 
-def _near(numbered: DataFrame, layout: Sketch) -> DataFrame:
-    rows = staged(texts(numbered), "texts")
+def _near(numbered: DataFrame, layout: Sketch, *more: str) -> DataFrame:
+    rows = staged(texts(numbered, *more), "texts")
     total = rows.count()
     if not total:
-        return rows.select("row_id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+        return rows.select(*more, "row_id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     labels = linked(rows, layout)
     by_text = rows.groupBy("text_key").agg(F.min_by("row_id", "doc_id").alias("low"), F.min("row_id").alias("any"), F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
     by_text = by_text.join(labels, "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
@@ -364,16 +365,15 @@ def _near(numbered: DataFrame, layout: Sketch) -> DataFrame:
                                             F.sum("weight").alias("class_size"), F.count("*").alias("texts"))
     by_class = by_class.select("class", F.coalesce("low", "any").alias("keep_row"), "class_id", "class_size", "texts")
     named = join_spread(by_text.select("text_key", "weight", "class"), by_class, "class", "texts", total)
-    out = join_spread(rows.select("row_id", "doc_id", "text_key"), staged(named, "classes"), "text_key", "weight", total)
-    return out.select("row_id", "doc_id", "class_id", "class_size", (F.col("row_id") == F.col("keep_row")).alias("kept"))
+    out = join_spread(rows.select(*more, "row_id", "doc_id", "text_key"), staged(named, "classes"), "text_key", "weight", total)
+    return out.select(*more, "row_id", "doc_id", "class_id", "class_size", (F.col("row_id") == F.col("keep_row")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
-    """The input rows that stay, one of each class, with all their columns."""
-    inner = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-                   .withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    dropped = staged(_near(inner.select("row_id", "doc_id", text_of().alias("text")), layout).where(~F.col("kept")).select("row_id"), "dropped")
-    return inner.join(dropped, "row_id", "left_anti").select("row.*")
+    """The input rows that stay, one of each class, with all their columns, whatever these are called."""
+    rows, key = placed(docs)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_of().alias("text"), key)
+    return without(rows, _near(numbered, layout, key).where(~F.col("kept")).select(key), key)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

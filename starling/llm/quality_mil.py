@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starling.llm.common import crc_mod, shipped, staged, text_of
+from starling.llm.common import crc_mod, placed, shipped, staged, text_of, without
 
 PASSAGE_WORDS = 64
 HASHED = 256
@@ -290,8 +290,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
     if model.prior is not None:
         return docs
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    return scored(named, model, "row").where(F.col("score") >= threshold).select("row.*")
+    rows, key = placed(docs)
+    return without(rows, scored(rows, model, key).where(F.col("score") < threshold).select(key), key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

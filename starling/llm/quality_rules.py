@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starling.llm.common import SPACE, let, staged, text_of
+from starling.llm.common import SPACE, let, placed, staged, text_of, without
 
 # Frequent words of each language, in natural order.
 COMMON = {
@@ -166,7 +166,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The input rows that are kept, with all their columns."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    rows = staged(measured(named, rules, "row"), "measured")
-    return judged(rows, references(rows), rules).where("kept").select("row.*")
+    """The input rows that are kept, with all their columns, whatever these are called."""
+    rows, key = placed(docs)
+    found = staged(measured(rows, rules, key), "measured")
+    return without(rows, judged(found, references(found), rules).where(~F.col("kept")).select(key), key)
