@@ -342,3 +342,14 @@ select count(*) left_rows, count(*) right_rows, true same from item
 select cs_item_sk, count(*) as rows, sum(cs_quantity) quantity from catalog_sales group by 1
 -- name: layout_ranged
 select ss_item_sk, count(*) as rows, sum(ss_quantity) quantity from store_sales group by 1
+
+-- name: check_changed_ranges
+select i_item_sk item_sk, 'i_current_price' column_name, i_current_price::varchar before, (i_current_price + 1)::varchar after
+from item where i_item_sk between 100 and 120 and i_current_price is not null
+-- name: load_sorted_out
+select case when sr_ticket_number % 7 = 0 then (select count(*) + 2 from (describe store_returns)) || ' fields, not ' || (select count(*) from (describe store_returns))
+    when sr_ticket_number % 11 = 0 then '3 fields, not ' || (select count(*) from (describe store_returns))
+    when sr_ticket_number % 13 = 0 then 'sr_returned_date_sk is no bigint' else 'loaded' end reason, count(*) lines
+from store_returns group by 1
+-- name: join_buckets
+select i_category, count(*) as rows, sum(ss_quantity) quantity from store_sales join item on i_item_sk = ss_item_sk group by 1

@@ -131,3 +131,20 @@ select case when (select count(*) from part where p_size <= 25) > 100
 -- name: nested_subqueries
 select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_nationkey in (select n_nationkey from nation
   where n_regionkey in (select n_regionkey from supplier join nation on n_nationkey = s_nationkey where s_acctbal = (select max(s_acctbal) from supplier))))
+
+-- name: join_theta_orders
+with o as (select o_totalprice::decimal(12,2) price from orders),
+ranks as (select price, count(*) over (order by price desc range between unbounded preceding and current row) n from o)
+select l_orderkey, l_linenumber, n later from (select l_orderkey, l_linenumber, l_extendedprice::decimal(12,2) worth from lineitem where l_quantity >= 45) l
+asof join (select distinct price, n from ranks) r on r.price >= l.worth
+-- name: join_replicated
+select r_name, n_name, count(*) orders, sum(o_totalprice::decimal(12,2)) total
+from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by 1, 2
+-- name: join_bands_of_parts
+with b as (select p_partkey, p_retailprice::decimal(12,2) * 100 as middle, p_size * 10 as half from part)
+select p_partkey, count(*) orders from b join orders on o_totalprice::decimal(12,2) between middle - half and middle + half group by 1
+-- name: top_ranks
+select * from (select o_orderkey, rank() over (partition by o_orderstatus order by o_totalprice::decimal(12,2) desc) dearest,
+    rank() over (partition by o_orderstatus order by o_orderdate::date) oldest from orders) where dearest <= 25 or oldest <= 25
+-- name: running_total_of_all
+select o_orderkey, sum(o_totalprice::decimal(12,2)) over (order by o_orderdate::date) running from orders

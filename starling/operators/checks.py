@@ -46,27 +46,35 @@ def foreign_key_profile(tables: dict[str, DataFrame], links: list[tuple[str, str
     """Per ``(child, column, parent, key)``: rows and distinct keys used, their range, the orphan
     rows, and the size and range of the parent's keys.
 
-    All foreign keys of a child unfold into ``(column, key)`` pairs that are counted map-side, so
-    each child is scanned and shuffled once however many keys it has, and a key used by a third
-    of the rows is one counted pair.
+    All foreign keys of a child unfold into (number of the link, key) pairs that are counted map-side,
+    so each child is read and shuffled once, and a key used by a third of the rows is one pair.
+    Used and known keys then meet as bitmaps of 32,768 keys: a union with more keys than the
+    parent's bitmap holds orphans, and only the keys of such bitmaps are joined.
     """
+    numbers = {pair: i for i, pair in enumerate(dict.fromkeys((link[2], link[3]) for link in links))}
     used = []
     for child in dict.fromkeys(link[0] for link in links):
-        mine = [link for link in links if link[0] == child]
-        cells = F.array(*[F.struct(F.lit(col).alias("column"), F.lit(f"{parent}.{key}").alias("parent"),
-                                   c(col).cast("bigint").alias("key")) for _, col, parent, key in mine])
-        pairs = tables[child].select(F.explode(cells).alias("x")).select("x.*").filter("key is not null")
-        used.append(pairs.groupBy("column", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
-                    .withColumn("child", F.lit(child)))
-    parents = union_all(*[tables[p].select(F.lit(f"{p}.{k}").alias("parent"), c(k).cast("bigint").alias("key"))
-                          for p, k in dict.fromkeys((link[2], link[3]) for link in links)])
-    keys = parents.withColumn("known", F.lit(True)).distinct()
-    ranges = parents.groupBy("parent").agg(F.countDistinct("key").alias("parent_keys"),
-                                           F.min("key").alias("parent_min"), F.max("key").alias("parent_max"))
-    profile = (union_all(*used).join(keys, ["parent", "key"], "left").groupBy("child", "column", "parent").agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_used"), F.min("key").alias("min_used"),
-        F.max("key").alias("max_used"), F.coalesce(F.sum(F.when(c("known").isNull(), c("n"))), F.lit(0)).alias("orphan_rows")))
-    return profile.join(ranges, "parent")
+        cells = F.array(*[F.struct(F.lit(i).alias("link"), F.lit(numbers[link[2:]]).alias("to"), c(link[1]).cast("bigint").alias("key"))
+                          for i, link in enumerate(links) if link[0] == child])
+        used.append(tables[child].select(F.inline(cells)).where("key is not null").groupBy("link", "to", "key").agg(F.count(F.lit(1)).alias("n")))
+    used = union_all(*used).checkpoint()  # distinct keys; read by each step below
+    known = union_all(*[tables[p].select(F.lit(i).alias("to"), c(k).cast("bigint").alias("key")) for (p, k), i in numbers.items()])
+    known = known.where("key is not null").distinct().checkpoint()
+    block, bits = F.bitmap_bucket_number("key").alias("block"), F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits")
+    mine = used.groupBy("link", "to", block).agg(bits, F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.min("key").alias("low"), F.max("key").alias("high"))
+    theirs = known.groupBy("to", block).agg(bits, F.count(F.lit(1)).alias("keys"), F.min("key").alias("low"), F.max("key").alias("high"))
+    met = mine.select("link", "to", "block", "bits").unionByName(mine.select("link", "to", "block").join(theirs.select("to", "block", "bits"), ["to", "block"]))
+    held = theirs.select("to", "block", c("keys").alias("held"))
+    union = met.groupBy("link", "to", "block").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("either")).join(held, ["to", "block"], "left")
+    holed = union.where(c("either") > F.coalesce("held", F.lit(0))).select("link", "block")
+    loose = (used.withColumn("block", F.bitmap_bucket_number("key")).join(holed, ["link", "block"], "left_semi")
+             .join(known, ["to", "key"], "left_anti").groupBy("link").agg(F.sum("n").alias("orphan_rows")))
+    sides = mine.groupBy("link", "to").agg(F.sum("rows").alias("rows"), F.sum("keys").alias("distinct_used"), F.min("low").alias("min_used"), F.max("high").alias("max_used"))
+    ranges = theirs.groupBy("to").agg(F.sum("keys").alias("parent_keys"), F.min("low").alias("parent_min"), F.max("high").alias("parent_max"))
+    names = F.array(*[F.struct(F.lit(child).alias("child"), F.lit(col).alias("column"), F.lit(f"{parent}.{key}").alias("parent")) for child, col, parent, key in links])
+    return (sides.join(loose, "link", "left").join(ranges, "to").withColumn("orphan_rows", F.coalesce("orphan_rows", F.lit(0)))
+            .select(names[c("link")].alias("_name"), "*").select("_name.*", "rows", "distinct_used", "min_used", "max_used", "orphan_rows",
+                                                                "parent_keys", "parent_min", "parent_max"))
 
 
 def not_in(df: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
@@ -99,6 +107,57 @@ def cell_differences(before: DataFrame, after: DataFrame, keys: list[str]) -> Da
     return joined.select(*keys, F.explode(F.array_compact(cells)).alias("x")).select(*keys, "x.*")
 
 
+def differing_ranges(before: DataFrame, after: DataFrame, key: str, fan_out: int = 256, most: int = 512) -> list[tuple[int, int]]:
+    """Ranges (first, last) of a numeric key outside of which both tables hold the same rows, at most ``most``.
+
+    A digest tree from the root down: the key's whole range is cut in ``fan_out`` parts, each with row
+    count, hash sum and hash xor; only parts that differ are cut again, one level in one pass over
+    both tables, until another level would give more than ``most`` ranges or a range is one key.
+    Rows with a null key are in no range.
+    """
+    names = before.columns
+    sides = [before, after.select(*names)]
+    ends = [df.agg(F.min(key), F.max(key)).first() for df in sides]
+    known = [e for e in ends if e[0] is not None]
+    if not known:
+        return []
+    first, last = min(e[0] for e in known), max(e[1] for e in known)
+    size, open_ = last - first + 1, [(first, last)]
+    while size > 1:
+        size = -(-size // fan_out)
+
+        def digests(df, side):
+            h = F.xxhash64(*names)
+            part = F.floor((c(key) - first) / size)
+            return within(df, key, open_).groupBy(part.alias("part")).agg(
+                F.count(F.lit(1)).alias(f"n{side}"), F.sum(h.cast("decimal(38,0)")).alias(f"s{side}"), F.bit_xor(h).alias(f"x{side}"))
+        both = digests(sides[0], "0").join(digests(sides[1], "1"), "part", "full")
+        same = reduce(Column.__and__, [c(f"{x}0").eqNullSafe(c(f"{x}1")) for x in "nsx"])
+        found = [r[0] for r in both.where(~same).select("part").orderBy("part").limit(most + 1).collect()]
+        if len(found) > most:
+            break
+        open_ = []
+        for part in found:
+            low, high = first + part * size, min(last, first + (part + 1) * size - 1)
+            open_ = open_[:-1] + [(open_[-1][0], high)] if open_ and open_[-1][1] == low - 1 else open_ + [(low, high)]
+        if not open_:
+            break
+    return open_
+
+
+def within(df: DataFrame, key: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows whose key lies in one of the ranges; the bounds reach the scan."""
+    if not ranges:
+        return df.limit(0)
+    return df.where(reduce(Column.__or__, [c(key).between(low, high) for low, high in ranges]))
+
+
+def cell_differences_in_ranges(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``cell_differences`` by one numeric key, joining only the key ranges whose digests differ."""
+    ranges = differing_ranges(before, after, key)
+    return cell_differences(within(before, key, ranges), within(after, key, ranges), [key])
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Content digest that ignores row order: row count, sum and xor of row hashes."""
     h = F.xxhash64(*df.columns)

@@ -56,6 +56,58 @@ def global_ranks(df: DataFrame, partition: str, **orders: tuple[str, Column]) ->
         *[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name) for name in orders])
 
 
+def top_ranks(df: DataFrame, partition: str, k: int, **orders: tuple[str, Column]) -> DataFrame:
+    """The rows that rank among the first ``k`` by at least one order, with their rank by every order.
+
+    Ranks, nulls, ties and ``bucket`` as in ``global_ranks``, but only counted where needed: bucket counts
+    show which buckets can hold such a rank; their rows are the candidates, and values are ranked
+    only inside the buckets that a candidate lies in.  All other rows are a number in a bucket count.
+    """
+    lowest = F.lit(float("-inf"))
+    cells = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(value).cast("double").alias("_value"),
+                               F.coalesce(F.when(F.col(value).isNotNull(), bucket.cast("double")), lowest).alias("_bucket"))
+                      for name, (value, bucket) in orders.items()])
+    rows = df.withColumn("_cells", cells)
+    every = rows.select(partition, F.explode("_cells").alias("_cell")).select(partition, "_cell.*")
+    counts = every.groupBy(partition, "_name", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = _before(counts, F.floor(F.col("_bucket") / 1000), partition, "_name")
+    # Per partition the last bucket of each order that can hold a rank up to k: few rows.
+    last = before.where(F.col("_before") < k).groupBy(partition).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_bucket"))).alias(f"_last_{name}") for name in orders])
+    chosen = _same(rows, last, [partition])
+    chosen = chosen.where(reduce(Column.__or__, [F.col("_cells")[i]["_bucket"] <= F.col(f"_last_{name}") for i, name in enumerate(orders)]))
+    looked = chosen.select(*df.columns, F.explode("_cells").alias("_cell")).select(*df.columns, "_cell.*")
+    wanted = looked.select(partition, "_name", "_bucket").distinct()
+    values = _same(every, wanted, [partition, "_name", "_bucket"]).groupBy(partition, "_name", "_bucket", "_value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(partition, "_name", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = _same(values.withColumn("_within", F.coalesce(F.sum("n").over(w), F.lit(0))), before, [partition, "_name", "_bucket"])
+    ranks = ranks.select(partition, "_name", "_value", (F.col("_before") + F.col("_within") + 1).alias("_rank"))
+    out = _same(looked, ranks, [partition, "_name", "_value"]).groupBy(*df.columns).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name) for name in orders])
+    return out.where(reduce(Column.__or__, [F.col(name) <= k for name in orders]))
+
+
+def running_sums(df: DataFrame, partition: str, order: str, bucket: Column, value: str, name: str) -> DataFrame:
+    """Add ``name = sum(value) over (partition by partition order by order)`` for partitions too large for one task.
+
+    As in the window, rows that are equal in order share their sum, null orders come first, null
+    values add nothing, and a sum of nulls alone is null.  Values are summed per order value
+    first, buckets (never decreasing as ``order`` grows) are summed up next.
+    """
+    at = F.coalesce(F.when(F.col(order).isNotNull(), bucket.cast("double")), F.lit(float("-inf")))
+    sums = df.groupBy(partition, at.alias("_bucket"), F.col(order).alias("_order")).agg(F.sum(value).alias("_sum"), F.count(value).alias("_count"))
+    coarse = F.floor(F.col("_bucket") / 1000)
+    lower = {c: _before(sums.select(partition, "_bucket", F.coalesce(c, F.lit(0)).alias("n")), coarse, partition).withColumnRenamed("_before", f"_lower{c}")
+             for c in ("_sum", "_count")}
+    w = Window.partitionBy(partition, "_bucket").orderBy(F.asc_nulls_first("_order")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = sums.select(partition, "_bucket", "_order", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_in_sum"), F.sum("_count").over(w).alias("_in_count"))
+    for part in lower.values():
+        inside = _same(inside, part, [partition, "_bucket"])
+    total = F.when(F.col("_in_count") + F.col("_lower_count") > 0, F.col("_in_sum") + F.col("_lower_sum"))
+    found = inside.select(F.col(partition).alias("_p"), "_order", total.alias(name))
+    return df.join(found, F.col(partition).eqNullSafe(F.col("_p")) & F.col(order).eqNullSafe(F.col("_order"))).drop("_p", "_order")
+
+
 def surrogate_keys(df: DataFrame, business_key: str, start: Column, name: str, prefix: int = 12) -> DataFrame:
     """``start + 1, start + 2, ..`` in order of a text key, null first.
 

@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame, functions as F
 LIMIT = 64 << 20   # bytes in memory that a task may hold of a replicated table
 GROWTH = 8         # bytes in memory per byte of a compressed columnar file
 FILES = 1000       # files of a small table at most
+_known: dict[tuple, int] = {}  # files are written once: a table that is staged again has other names
 
 
 def file_bytes(df: DataFrame) -> int | None:
     """Bytes of all files that the rows come from; None where there are none, or too many to be a small table."""
-    files = sorted(set(df.inputFiles()))
+    files = tuple(sorted(set(df.inputFiles())))
     if not files or len(files) > FILES:
         return None
-    return df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    key = (df.sparkSession.sparkContext.applicationId, files)
+    if key not in _known:
+        _known[key] = df.sparkSession.read.format("binaryFile").load(list(files)).agg(F.sum("length")).first()[0] or 0
+    return _known[key]
 
 
 def is_small(df: DataFrame, limit: int = LIMIT) -> bool:

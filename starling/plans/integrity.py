@@ -106,6 +106,16 @@ def check_cell_differences(t):
                                    ["c_customer_id"]).withColumnRenamed("column", "column_name")
 
 
+@query("check_changed_ranges", "item_sk:i column_name before after", "item_sk column_name")
+def check_changed_ranges(t):
+    """Item cells that differ after a price change of some items, found by digests of key ranges."""
+    cols = ["i_item_sk", "i_item_id", "i_current_price", "i_wholesale_cost", "i_brand"]
+    old = t.item.select(*cols)
+    raised = F.when(c("i_item_sk").between(100, 120), c("i_current_price") + 1).otherwise(c("i_current_price")).cast(old.schema["i_current_price"].dataType)
+    return checks.cell_differences_in_ranges(old, old.withColumn("i_current_price", raised), "i_item_sk").select(
+        c("i_item_sk").alias("item_sk"), c("column").alias("column_name"), "before", "after")
+
+
 @query("check_not_null", "column_name nulls:i", "column_name")
 def check_not_null(t):
     """Keys of the store sales increment that a look-up left empty."""
@@ -125,6 +135,22 @@ def load_delimited(t):
     return _copy(t, "store_returns", delimited.save, delimited.load)
 
 
+@query("load_sorted_out", "reason lines:i", "reason")
+def load_sorted_out(t):
+    """Returns written with lines that do not fit among them: how many were loaded, and why the others were not."""
+    source, schema = t.store_returns, t.store_returns.schema
+
+    def plant(path):
+        number = F.col("sr_ticket_number")
+        text = F.concat(F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in source.columns]), F.lit("|"))
+        line = (F.when(number % 7 == 0, F.concat(text, F.lit("surplus|"))).when(number % 11 == 0, F.lit("short|1|"))
+                .when(number % 13 == 0, F.regexp_replace(text, r"^[^|]*", "not a number")).otherwise(text))
+        source.select(line.alias("value")).write.mode("overwrite").text(path)
+    path = t.once("planted/store_returns", plant)
+    folder = t.once("sorted/store_returns", lambda out: delimited.load_sorted_out(t.spark, path, schema, out))
+    return t.spark.read.parquet(folder).groupBy(F.coalesce("reason", F.lit("loaded")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("load_typed_json", refresh.CUSTOMER)
 def load_typed_json(t):
     return _copy(t, "customer", extjson.save, extjson.load)
@@ -147,6 +173,21 @@ def layout_hashed(t, bucket_bytes=128 << 20):
     return df.groupBy("cs_item_sk").agg(F.count(F.lit(1)).alias("rows"), F.sum("cs_quantity").alias("quantity"))
 
 
+@query("join_buckets", "i_category rows:i quantity:i", "i_category")
+def join_buckets(t, bucket_bytes=128 << 20, hot_rows=1 << 20):
+    """Store sales and items laid out alike by item, hot items salted, joined bucket by bucket without a shuffle."""
+    buckets = layout.bucket_count(stored_bytes(t.spark, f"{t.folder}/store_sales"), bucket_bytes)
+    mark = f"{buckets}_{hot_rows}"
+    sides = layout.spread(t.store_sales, "ss_item_sk", t.item, "i_item_sk", hot_rows)
+    opened = []
+    for df, key, name in zip(sides, ("ss_item_sk", "i_item_sk"), ("store_sales", "item")):
+        own = f"spread_{name}_{mark}_" + t.folder.rsplit("-", 1)[-1]
+        path = t.once(f"spread/{name}_{mark}", lambda path: layout.save_hashed(df, f"{own}_new", key, buckets, path, layout.SALT))
+        opened.append(layout.open_hashed(t.spark, own, df.schema, key, buckets, path, layout.SALT))
+    joined = layout.join_hashed(opened[0], "ss_item_sk", opened[1], "i_item_sk")
+    return joined.groupBy("i_category").agg(F.count(F.lit(1)).alias("rows"), F.sum("ss_quantity").alias("quantity"))
+
+
 @query("layout_ranged", "ss_item_sk:i rows:i quantity:i", "ss_item_sk")
 def layout_ranged(t):
     """Store sales sharded by ranges of item and ticket, then summed by item."""

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from starling.functions.exact import avg, ratio, stddev_of_moments, stddev_samp, sum_if
 from starling.operators.relational import (lowest, matching, pick, role, rollup_avg, rollup_of, star,
                                            union_all, with_scalar)
+from starling.operators.replicated import if_small
 from starling.plans.base import allowed, query
 from starling.plans.queries_01_20 import (buyers, demographic_averages, over_group_average,
                                           rebuy_chain, weekly_by_day, window_of_days)
@@ -26,7 +27,7 @@ def around(t, day: str, days: int):
 def q21(t, sales_date="2000-07-05"):
     stock = star(t.inventory, (around(t, sales_date, 30), "inv_date_sk", "d_date_sk"),
                  (t.item.filter("i_current_price between 0.99 and 1.49"), "inv_item_sk", "i_item_sk"),
-                 (t.warehouse, "inv_warehouse_sk", "w_warehouse_sk"))
+                 (if_small(t.warehouse), "inv_warehouse_sk", "w_warehouse_sk"))
     sides = (stock.groupBy("w_warehouse_name", "i_item_id")
              .agg(F.sum(F.when(c("before"), c("inv_quantity_on_hand")).otherwise(0)).alias("inv_before"),
                   F.sum(F.when(~c("before"), c("inv_quantity_on_hand")).otherwise(0)).alias("inv_after")))
@@ -438,7 +439,7 @@ def q39_high(t, year=1999, month=2):
 def q40(t, sales_date="1999-03-11"):
     sales = star(t.catalog_sales, (around(t, sales_date, 30), "cs_sold_date_sk", "d_date_sk"),
                  (t.item.filter("i_current_price between 0.99 and 1.49"), "cs_item_sk", "i_item_sk"),
-                 (t.warehouse, "cs_warehouse_sk", "w_warehouse_sk"))
+                 (if_small(t.warehouse), "cs_warehouse_sk", "w_warehouse_sk"))
     rows = sales.join(t.catalog_returns, (c("cs_order_number") == c("cr_order_number"))
                       & (c("cs_item_sk") == c("cr_item_sk")), "left")
     net = c("cs_sales_price") - F.coalesce("cr_refunded_cash", F.lit(0))

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from starling.functions.exact import avg, count_if, ratio, stddev_samp, sum_if
-from starling.operators.ranking import global_ranks, surrogate_keys
+from starling.operators.ordered import in_bands, totals_at_least
+from starling.operators.ranking import global_ranks, running_sums, surrogate_keys, top_ranks
 from starling.operators.relational import (lowest, matching, pick, rollup_of, role, star, union_all,
                                            with_group, with_scalar)
+from starling.operators.replicated import if_small
 from starling.plans import base
 
 c = F.col
@@ -104,10 +106,26 @@ def join_cast_keys(t):
 
 @query("join_theta", "r_name customers:i")
 def join_theta(t):
-    """Customers of nations numbered at least as high as the region: counted per nation first."""
+    """Customers of nations numbered at least as high as the region: summed over the nations in order."""
     counts = t.source("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return (counts.join(t.source("region"), c("c_nationkey") >= c("r_regionkey"))
-            .groupBy("r_name").agg(F.sum("n").alias("customers")))
+    return (totals_at_least(counts, "c_nationkey", "n", t.source("region"), "r_regionkey", "customers")
+            .groupBy("r_name").agg(F.sum("customers").alias("customers")))
+
+
+@query("join_theta_orders", "l_orderkey:i l_linenumber:i later:i")
+def join_theta_orders(t):
+    """Per line with a large quantity the orders of at least its price: two large sides and no pairs."""
+    orders = t.source("orders").select(cents("o_totalprice").alias("price"), F.lit(1).alias("one"))
+    lines = t.source("lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_linenumber", cents("l_extendedprice").alias("worth"))
+    return totals_at_least(orders, "price", "one", lines, "worth", "later")
+
+
+@query("join_replicated", "r_name n_name orders:i total:n")
+def join_replicated(t):
+    """Orders by region and nation, the reference tables in every task where their files prove them small."""
+    orders = t.source("orders").join(t.source("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+    rows = star(orders, (if_small(t.source("nation")), "c_nationkey", "n_nationkey"), (if_small(t.source("region")), "n_regionkey", "r_regionkey"))
+    return rows.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("orders"), F.sum(cents("o_totalprice")).alias("total"))
 
 
 @query("join_residual", "n:i")
@@ -123,8 +141,16 @@ def join_residual(t):
 def join_bands(t):
     """Account balances into bands of two thousand, one per region."""
     bands = t.source("region").select(c("r_regionkey").alias("band"), (c("r_regionkey") * 2000).alias("lo"), (c("r_regionkey") * 2000 + 1999).alias("hi"))
-    return (t.source("customer").join(bands, F.round("c_acctbal", 0).between(c("lo"), c("hi")))
-            .groupBy("band").agg(F.count(F.lit(1)).alias("customers")))
+    balances = t.source("customer").select(F.round("c_acctbal", 0).alias("balance"))
+    return in_bands(balances, "balance", bands, "lo", "hi", 1000).groupBy("band").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("join_bands_of_parts", "p_partkey:i orders:i")
+def join_bands_of_parts(t):
+    """Orders whose price is a hundred times a part's, give or take its size: a band for each part, many overlapping."""
+    middle = cents("p_retailprice") * 100
+    bands = t.source("part").select("p_partkey", (middle - c("p_size") * 10).alias("lo"), (middle + c("p_size") * 10).alias("hi"))
+    return in_bands(t.source("orders").select(cents("o_totalprice").alias("price")), "price", bands, "lo", "hi", 100).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("orders"))
 
 
 @query("join_left", "c_custkey:i orders:i")
@@ -300,6 +326,20 @@ def running_totals(t):
                             F.lag("total").over(w).alias("previous"), F.lead("total").over(w).alias("following"), F.row_number().over(w).alias("n"))
 
 
+@query("top_ranks", "o_orderkey:i dearest:i oldest:i")
+def top_ranks_of_orders(t):
+    """Orders among the 25 dearest or the 25 oldest of their status, with both ranks; all others are only counted."""
+    rows = t.source("orders").select("o_orderkey", "o_orderstatus", (-cents("o_totalprice")).alias("price"), F.unix_date(day("o_orderdate")).alias("day"))
+    return top_ranks(rows, "o_orderstatus", 25, dearest=("price", F.floor(c("price") / 1000)), oldest=("day", F.floor(c("day") / 7)))
+
+
+@query("running_total_of_all", "o_orderkey:i running:n")
+def running_total_of_all(t):
+    """Money ordered up to each order's day, over all orders as one partition."""
+    rows = t.source("orders").select("o_orderkey", F.lit("all").alias("p"), F.unix_date(day("o_orderdate")).alias("day"), cents("o_totalprice").alias("price"))
+    return running_sums(rows, "p", "day", F.floor(c("day") / 30), "price", "running")
+
+
 @query("share_of_group", "p_type p_brand value:n share:n")
 def share_of_group(t):
     sums = t.source("part").groupBy("p_type", "p_brand").agg(F.sum(cents("p_retailprice")).alias("value"))
