@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -39,6 +40,26 @@ def bounds_query(query: str, column: str) -> str:
     return f"select min({column}) as lower_bound, max({column}) as upper_bound from ({query}) extract"
 
 
+def quantiles_query(query: str, column: str, count: int) -> str:
+    """The query that finds the largest key of each of ``count`` slices with equally many rows."""
+    return (f"select max({column}) as bound from (select {column}, ntile({int(count)}) over (order by {column}) as slice from ({query}) extract "
+            f"where {column} is not null) slices group by slice order by 1")
+
+
+def equal_slices(column: str, bounds: list) -> list[str]:
+    """Predicates that part the rows by the bounds, each row meeting exactly one; null keys are a slice of their own.
+
+    A key that fills several slices is their common bound: it is named once and lies in one slice.
+    """
+    def literal(x):
+        return str(x) if isinstance(x, (int, float, Decimal)) else "'" + str(x).replace("'", "''") + "'"
+    cuts = [literal(x) for x in sorted(set(bounds))][:-1]  # the last slice is open
+    if not cuts:
+        return [f"{column} is not null", f"{column} is null"]
+    between = [f"{column} > {low} and {column} <= {high}" for low, high in zip(cuts, cuts[1:])]
+    return [f"{column} <= {cuts[0]}", *between, f"{column} > {cuts[-1]}", f"{column} is null"]
+
+
 def whole_table(query: str) -> bool:
     """Whether an extract query copies a table as it is."""
     return bool(re.fullmatch(r"\s*select\s+\*\s+from\s+[\w.\"]+\s*;?\s*", query, re.I))
@@ -47,13 +68,20 @@ def whole_table(query: str) -> bool:
 def jdbc(url: str, partitions: Mapping[str, Mapping[str, object]] | None = None, **login) -> Reader:
     """Extract by query; ``partitions`` names each table's slicing column and number of slices.
 
-    Bounds that are not given are asked of the database first.  A whole table without a slicing
+    Bounds that are not given are asked of the database first.  With ``equal`` the slices hold equally many
+    rows, whatever the keys' distribution: their bounds are the quantiles.  A whole table without a slicing
     column would go through one connection and is refused.
     """
     def read(spark, table, query):
         slicing = (partitions or {}).get(table)
         if slicing is None and whole_table(query):
             raise ValueError(f"name a partition column for {table}: a whole table is not read through one connection")
+        if slicing and slicing.get("equal"):
+            column = str(slicing["column"])
+            asked = jdbc_options(url, quantiles_query(query, column, int(slicing["count"])), **login)
+            bounds = [r[0] for r in spark.read.format("jdbc").options(**asked).load().collect()]  # one row a slice
+            properties = {k: v for k, v in jdbc_options(url, query, **login).items() if k not in ("url", "query")}
+            return spark.read.jdbc(url, f"({query}) extract", predicates=equal_slices(column, bounds), properties=properties)
         if slicing and "lower" not in slicing:
             asked = jdbc_options(url, bounds_query(query, str(slicing["column"])), **login)
             low, high = spark.read.format("jdbc").options(**asked).load().first()

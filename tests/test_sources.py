@@ -179,3 +179,16 @@ def test_jdbc_refuses_whole_tables_and_asks_for_bounds(spark):
         readers.jdbc("jdbc:x")(spark, "item", "select * from item")
     assert readers.whole_table(" SELECT * FROM a.item ;") and not readers.whole_table("select * from item where x = 1")
     assert readers.bounds_query("select k from item", "k") == "select min(k) as lower_bound, max(k) as upper_bound from (select k from item) extract"
+
+
+@pytest.mark.parametrize("kind", ["skewed", "days", "one", "empty"])
+def test_equal_slices_part_the_rows(spark, kind):
+    keys = {"skewed": "case when id % 3 = 0 then null when id % 3 = 1 then 7 else id * id end", "days": "date_add(date'2000-01-01', cast(id * id % 900 as int))",
+            "one": "5", "empty": "id"}[kind]
+    df = spark.range(0 if kind == "empty" else 3000).selectExpr(f"{keys} as k", "id")
+    df.createOrReplaceTempView("sliced")
+    bounds = [r[0] for r in spark.sql(readers.quantiles_query("select * from sliced", "k", 8)).collect()]
+    sizes = [df.where(p).count() for p in readers.equal_slices("k", bounds)]
+    assert sum(sizes) == df.count() and sizes[-1] == df.where("k is null").count()
+    hot = 1000 if kind == "skewed" else 3000 if kind == "one" else 0
+    assert max(sizes[:-1]) <= max(hot, -(-df.where("k is not null").count() // 8)) + 260
