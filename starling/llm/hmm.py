@@ -32,6 +32,7 @@ from starling.llm.common import crc_mod, shipped, staged, text_of
 
 TOP = 100_000
 FLUSH = 200_000
+SLICE = 32_768
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Shape:
     tail_bytes: int = 3
     rounds: int = 8
     run: int = 1024
-    side: int = 1000
+    side: int = 500_000  # tokens of the runs that are trained on side by side
     seed: int = 11
 
 
@@ -58,6 +59,20 @@ def tail_class(word: bytes, shape: Shape = SHAPE) -> int:
     return zlib.crc32(word[-shape.tail_bytes:]) % shape.tails
 
 
+class Endings(dict):
+    """Classes by last bytes, each worked out once; forgotten when they become many."""
+
+    def __init__(self, shape: Shape = SHAPE):
+        super().__init__()
+        self.shape = shape
+
+    def __missing__(self, last: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        found = self[last] = tail_class(last, self.shape)
+        return found
+
+
 # ---- the latent part ------------------------------------------------------------------------
 
 
@@ -83,43 +98,60 @@ def log10_likelihood(sequences: list[np.ndarray], model: Latent) -> np.ndarray:
     """Exact log10 probability of each class sequence, by the scaled forward recursion."""
     order, steps, _ = layered(sequences)
     total = np.zeros(len(sequences))
-    alpha = np.zeros((0, len(model.start)))
+    ones = np.ones((len(model.start),) * 2)  # a product with it puts a row's sum into every column
     for t, symbols in enumerate(steps):
-        alpha = (alpha[:len(symbols)] @ model.move if t else np.broadcast_to(model.start, (len(symbols), len(model.start)))) * model.emit[symbols]
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        total[:len(symbols)] += np.log10(scale)
+        now = model.emit.take(symbols, axis=0)
+        now *= alpha[:len(symbols)] @ model.move if t else model.start
+        scale = now @ ones
+        now /= scale
+        alpha = now
+        total[:len(symbols)] += np.log10(scale[:, 0])
     out = np.empty(len(sequences))
     out[order] = total
     return out
 
 
 def expected(sequences: list[np.ndarray], model: Latent, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-    """Adds the expected counts of the sequences, by forward and backward recursion."""
+    """Adds the expected counts of the sequences, by forward and backward recursion.
+
+    Recursions run in single precision, which scaling keeps in range; counts are summed in double.
+    """
     _, steps, alive = layered(sequences)
     if not steps:
         return
-    alphas, scales = [], []
-    for t, symbols in enumerate(steps):
-        alpha = (alphas[-1][:len(symbols)] @ model.move if t else np.broadcast_to(model.start, (len(symbols), len(model.start)))) * model.emit[symbols]
-        scale = alpha.sum(1, keepdims=True)
-        alphas.append(alpha / scale)
-        scales.append(scale)
-    beta = np.ones_like(alphas[-1])
-    gammas = [None] * len(steps)
+    k = emit.shape[1]
+    begin, chances, moves = (x.astype(np.float32) for x in (model.start, model.emit, model.move))
+    back, ones = np.ascontiguousarray(moves.T), np.ones((k, k), np.float32)
+    at = np.concatenate(([0], np.cumsum(alive))).tolist()
+    symbols = np.concatenate(steps)
+    alphas = chances.take(symbols, axis=0)
+    scales = np.empty_like(alphas)
+    for t in range(len(steps)):
+        now, scale = alphas[at[t]:at[t + 1]], scales[at[t]:at[t + 1]]
+        now *= before[:len(now)] @ moves if t else begin
+        np.matmul(now, ones, out=scale)
+        now /= scale
+        before = now
+    joint, beta = np.zeros((k, k)), np.ones((0, k), np.float32)
     for t in range(len(steps) - 1, -1, -1):
-        n = alive[t]
+        n = at[t + 1] - at[t]
         if len(beta) < n:  # sequences that end here
-            beta = np.concatenate((beta, np.ones((n - len(beta), beta.shape[1]))))
-        gammas[t] = alphas[t] * beta
+            beta = np.concatenate((beta, np.ones((n - len(beta), k), np.float32)))
+        if t:
+            ahead = chances.take(steps[t], axis=0)
+            ahead *= beta
+            ahead /= scales[at[t]:at[t + 1]]
+            joint += alphas[at[t - 1]:at[t - 1] + n].T @ ahead
+        alphas[at[t]:at[t + 1]] *= beta  # now the expected states
         if t:
-            ahead = model.emit[steps[t]] * beta / scales[t]
-            move += model.move * (alphas[t - 1][:n].T @ ahead)
-            beta = ahead @ model.move.T
-    start += gammas[0].sum(0)
-    symbols, weight = np.concatenate(steps), np.concatenate(gammas)
-    for state in range(emit.shape[1]):
-        emit[:, state] += np.bincount(symbols, weights=weight[:, state], minlength=len(emit))
+            beta = ahead @ back
+    move += model.move * joint
+    start += alphas[:at[1]].sum(0, dtype=float)
+    columns = np.arange(k)
+    for low in range(0, len(alphas), SLICE):
+        part = alphas[low:low + SLICE]
+        cells = (symbols[low:low + SLICE, None] * k + columns).ravel()
+        emit += np.bincount(cells, weights=part.ravel(), minlength=emit.size).reshape(emit.shape)
 
 
 def initial(shares: np.ndarray, shape: Shape = SHAPE) -> Latent:
@@ -146,9 +178,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` (bytes), ``tail`` (its class by the last bytes), ``c`` over all rows of ``text``."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        endings, last = Endings(), -SHAPE.tail_bytes
         def out():
             words = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([tail_class(w) for w in words], pa.int32()),
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([endings[w[last:]] for w in words], pa.int32()),
                                                 pa.array(list(counts.values()), pa.int64())], names=["word", "tail", "c"])
             counts.clear()
             return batch
@@ -216,6 +249,7 @@ def encoded(rows: DataFrame, vocab, shape: Shape = SHAPE) -> DataFrame:
         values = np.array([k[1:] for k in known.values()] + [(0.0, 0.0)])
         place = {word: i for i, word in enumerate(known)}
         end = math.log10(v.ends + 1) - whole
+        endings = Endings(shape)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
@@ -228,7 +262,7 @@ def encoded(rows: DataFrame, vocab, shape: Shape = SHAPE) -> DataFrame:
                     others = Counter()
                     if len(missing):
                         others.update(words[i] for i in missing.tolist())
-                        classes = {w: tail_class(w, shape) for w in others}
+                        classes = {w: endings[w[-shape.tail_bytes:]] for w in others}
                         seq[missing] = [shape.own + classes[words[i]] for i in missing.tolist()]
                         rare += others
                         times += others.values()
@@ -258,17 +292,20 @@ def baum_welch(sequences: DataFrame, shares: np.ndarray, shape: Shape = SHAPE) -
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
-            first, later = [], []
+            first, later = [], []  # runs that begin a sequence, and the others
+            held = {True: 0, False: 0}
             def take(runs, begins):
                 expected(runs, shared.value, start if begins else np.zeros(k), move, emit)
                 runs.clear()
+                held[begins] = 0
             for batch in batches:
                 for seq in batch.column("seq"):
                     seq = np.frombuffer(seq.as_py(), "<u2").astype(np.int64)
                     for at in range(0, len(seq), shape.run):
                         runs = later if at else first
                         runs.append(seq[at:at + shape.run])
-                        if len(runs) >= shape.side:
+                        held[not at] += len(runs[-1])
+                        if held[not at] >= shape.side:
                             take(runs, not at)
             take(first, True)
             take(later, False)
