@@ -14,6 +14,7 @@ numbered in one task.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -163,6 +164,7 @@ def _usable(room: int, least: int) -> int:
 
 
 TRAILING = ".,;:!?*#$%&|"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # one letter run to the pre-tokenizer, composed, each lowered by itself
 
 
 class Words:
@@ -171,14 +173,25 @@ class Words:
     The pre-tokenizer splits at white space and drops it, so a text's ids are those of its words
     one after another; it also splits between a letter or digit and punctuation, so a word with
     punctuation after it is put together from the two, and A-Z are lowered before the look-up as
-    the tokenizer would.  Texts with a special string, or with control characters that Python takes
+    the tokenizer would.  Words of plain letters are encoded by the vocabulary's ranks, all others by
+    the library.  Texts with a special string, or with control characters that Python takes
     for white space and the tokenizer does not, go through the library whole.
     """
 
     def __init__(self, file: str):
         self.library = tokenizers_public.library(file)
+        self.ranks = tokenizers_public.word_ranks(file)
         self.store: dict[str, bytes] = {}
 
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word as the library gives them, words of plain letters by their ranks."""
+        letters = [bool(LETTERS.fullmatch(word)) for word in words]
+        plain = iter(self.ranks.encode([w.lower() for w, k in zip(words, letters) if k]))
+        other = [w for w, k in zip(words, letters) if not k]
+        rest = iter([found.ids for found in self.library.encode_batch_fast(other, add_special_tokens=False)])
+        for known in letters:
+            yield next(plain) if known else _packed(next(rest))
+
     def learn(self, words: list[str]) -> None:
         """Adds the ids of words to the store, a core known from another word not encoded again."""
         parts = {}
@@ -189,8 +202,7 @@ class Words:
         fresh = list(dict.fromkeys(p for pair in parts.values() for p in pair if p and p not in self.store))
         for begin in range(0, len(fresh), 4096):
             part = fresh[begin:begin + 4096]
-            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.store[piece] = _packed(found.ids)
+            self.store.update(zip(part, self.encode(part)))
         for word, (core, rest) in parts.items():
             self.store[word] = self.store[core] + self.store[rest] if rest else self.store[core]
 

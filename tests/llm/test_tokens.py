@@ -116,3 +116,29 @@ def test_packing_on_edges(spark, edges, nothing):
         at[r["sequence_id"]] += r["length"]
     assert max(at.values()) <= 2048 and sum(2048 - n for n in at.values()) < 2048
     assert packing.pack(nothing).count() == 0
+
+
+def test_word_ranks_as_the_library():
+    """The merges rebuild every token from its own bytes, so ranks give the library's ids for words of letters."""
+    import json
+    file = public.path(packing.FILE)
+    with open(file, encoding="utf-8") as lines:
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.load(lines)["model"]["merges"]]
+    order = {pair: rank for rank, pair in enumerate(merges)}
+    for token in ("".join(pair) for pair in merges):
+        ended = token.endswith("</w>")
+        parts = list(token.removesuffix("</w>"))
+        if ended:
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            found = min(((order[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in order), default=None)
+            assert found, token
+            parts[found[1]:found[1] + 2] = ["".join(parts[found[1]:found[1] + 2])]
+        assert parts == [token]
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEÀÉÖßñöüÿ") for _ in range(draw.randint(1, 18))) for _ in range(20_000)]
+    library = public.library(file)
+    want = [packing._packed(found.ids) for found in library.encode_batch(words, add_special_tokens=False)]
+    assert list(packing.Words(file).encode(words)) == want
+    mixed = ["don't", "x9y", "µm", "ªb", "é", "naïve", "ΑΣ", "日本", "ſ", "İx", "a\0b", "Straße", ""]
+    assert list(packing.Words(file).encode(mixed)) == [packing._packed(library.encode(w, add_special_tokens=False).ids) for w in mixed]
