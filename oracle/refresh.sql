@@ -129,6 +129,25 @@ left join open_item on open_item.id = wret_item_id left join open_place on open_
 left join day on written = wret_return_date left join time_dim on t_time = clock left join reason on r_reason_id = wret_reason_id
 where (open_item.id is not null or wret_item_id not in (select i_item_id from item))
   and (open_place.id is not null or wret_web_page_id not in (select wp_web_page_id from web_page))
+-- name: refresh_append_refused
+select 'store_sales' as fact, (select count(*) from store_sales) + count(*) as rows_stored, count(*) filter (ss_item_sk is not null and ss_ticket_number is not null) as rows_refused
+from ({{refresh_store_sales}})
+union all
+select 'catalog_sales' as fact, (select count(*) from catalog_sales) + count(*) as rows_stored, count(*) filter (cs_item_sk is not null and cs_order_number is not null) as rows_refused
+from ({{refresh_catalog_sales}})
+union all
+select 'web_sales' as fact, (select count(*) from web_sales) + count(*) as rows_stored, count(*) filter (ws_item_sk is not null and ws_order_number is not null) as rows_refused
+from ({{refresh_web_sales}})
+union all
+select 'store_returns' as fact, (select count(*) from store_returns) + count(*) as rows_stored, count(*) filter (sr_item_sk is not null and sr_ticket_number is not null) as rows_refused
+from ({{refresh_store_returns}})
+union all
+select 'catalog_returns' as fact, (select count(*) from catalog_returns) + count(*) as rows_stored, count(*) filter (cr_item_sk is not null and cr_order_number is not null) as rows_refused
+from ({{refresh_catalog_returns}})
+union all
+select 'web_returns' as fact, (select count(*) from web_returns) + count(*) as rows_stored, count(*) filter (wr_item_sk is not null and wr_order_number is not null) as rows_refused
+from ({{refresh_web_returns}})
+
 -- name: refresh_append
 with stored as (
 select 'store_sales' as fact, 0 as added, ss_item_sk as item, ss_ticket_number as document from store_sales

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from starling.operators.ranking import surrogate_keys
 from starling.operators.relational import pick, role, star, union_all
 from starling.plans.base import query
+from starling.plans.increments import Increments, Refused
 
 c = F.col
 TODAY = "2002-06-30"  # date of the maintenance run in the registered jobs
@@ -546,6 +547,37 @@ def refresh_append(t):
     return union_all(*parts)
 
 
+@query("refresh_append_refused", "fact rows_stored:i rows_refused:i", "fact")
+def refresh_append_refused(t):
+    """The six facts and their increments taken into a store; the same increments once more are refused.
+
+    What is stored then is the facts and one set of increments.  ``rows_refused``: rows of the
+    second set whose key (no part null) was stored, the reason to refuse it whole.
+    """
+    def known(fact, stored, new):
+        return new.join(stored.select(*FACT_KEYS[fact]).distinct(), FACT_KEYS[fact], "left_semi")
+
+    def store(path):
+        kept = Increments(t.spark, f"{path}/facts")
+        kept.add({fact: t[fact].select(*[c(f.name).cast(f.dataType) for f in t[fact].schema]) for fact in INCREMENTS})
+        more = {}
+        for fact, build in INCREMENTS.items():
+            rows = build(t)
+            more[fact] = rows.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in t[fact].schema if f.name in rows.columns])
+        kept.add(more)
+        refused = {}
+        try:
+            kept.add(more, known)
+        except Refused as found:
+            refused = found.counts
+        t.spark.createDataFrame([(fact, refused.get(fact, 0)) for fact in INCREMENTS], "fact string, rows_refused long").write.parquet(f"{path}/refused")
+
+    path = t.once("increments", store)
+    kept = Increments(t.spark, f"{path}/facts")
+    stored = union_all(*[kept.read(fact).agg(F.count(F.lit(1)).alias("rows_stored")).withColumn("fact", F.lit(fact)) for fact in INCREMENTS])
+    return stored.join(t.spark.read.parquet(f"{path}/refused"), "fact")
+
+
 CUSTOMER = ("c_customer_sk:i c_customer_id c_current_cdemo_sk:i c_current_hdemo_sk:i c_current_addr_sk:i "
             "c_first_shipto_date_sk:i c_first_sales_date_sk:i c_salutation c_first_name c_last_name c_preferred_cust_flag "
             "c_birth_day:i c_birth_month:i c_birth_year:i c_birth_country c_login c_email_address c_last_review_date")

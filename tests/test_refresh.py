@@ -1,10 +1,12 @@
 import datetime
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
 from starling.operators.ranking import global_ranks, surrogate_keys
 from starling.plans import refresh
+from starling.plans.increments import Increments, Refused
 from tests.conftest import rows
 
 
@@ -112,3 +114,22 @@ def test_append_counts_what_is_stored(spark, tiny):
     for fact, build in refresh.INCREMENTS.items():
         before, added = tiny[fact].count(), build.build(tiny).count() if hasattr(build, "build") else build(tiny).count()
         assert (got[fact].rows_before, got[fact].rows_added, got[fact].rows_after) == (before, added, before + added)
+
+
+def test_increment_is_taken_whole_or_not_at_all(spark, tmp_path):
+    kept = Increments(spark, str(tmp_path / "facts"))
+    assert kept.read("a") is None and kept.taken() == {}
+    a, b = spark.createDataFrame([(1, "x"), (None, "n")], "k int, v string"), spark.createDataFrame([(1,), (1,)], "k int")
+    known = lambda table, stored, new: new.join(stored.select("k").distinct(), "k", "left_semi")
+    first = kept.add({"a": a, "b": b}, known)
+    with pytest.raises(Refused) as refused:  # b fits nothing stored, a does not fit
+        kept.add({"b": b.filter("k > 1"), "a": a}, known)
+    assert refused.value.counts == {"b": 0, "a": 1}
+    broken = spark.createDataFrame([(3,)], "k int").select(F.raise_error(F.lit("lost")).cast("int").alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        kept.add({"a": a, "b": broken})
+    (tmp_path / "facts" / "left_by_a_dead_writer" / "a").mkdir(parents=True)
+    assert list(kept.taken()) == [first] and rows(kept.read("a")) == rows(a) and rows(kept.read("b")) == rows(b)
+    assert sorted(p.name for p in (tmp_path / "facts").iterdir()) == sorted([first, "left_by_a_dead_writer", "taken"])
+    kept.add({"a": spark.createDataFrame([(2, 5)], "k int, more int")}, known)
+    assert rows(kept.read("a")) == rows(spark.createDataFrame([(1, "x", None), (None, "n", None), (2, None, 5)], "k int, v string, more int"))
