@@ -2,19 +2,24 @@
 
 Equal texts form one atomic group.  Groups stand in the order of a 63-bit hash of the text; groups
 larger than an equal share come first and take a shard each, so that one hot text does not set the
-capacity of all others.  The rest is cut at the smallest capacity for which a greedy sweep over the
-ordered groups needs no more than the shards that are left.
+capacity of all others.  For the rest the smallest capacity is found for which a greedy sweep over
+the ordered groups needs no more than the shards that are left.  Under it the cuts go as near to equal
+shares as the capacity lets them, so no shard is left short: a cut may not be earlier than what a
+sweep from the end needs, nor later than a full shard behind the cut before it.
 
 The sweep never sees all groups at once.  Groups are summed over ranges of the hash; a range that
 no cut can fall into stays a sum, one that may hold a cut is opened into smaller ranges until its
 groups are known singly.  Two sweeps bound every cut: with ranges taken whole and with ranges taken
 as liquid.  Opened ranges number at most shards^2 / 2 in a round, so what reaches the driver is
-bounded whatever the table's size, and the result equals that over the full list of groups.
+bounded whatever the table's size, and the result equals that over the full list of groups.  The
+places of the final cuts are opened in the same way.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -88,24 +93,60 @@ def _spans(rows: DataFrame, bits: int) -> list[Span]:
 
 def cuts(rows: DataFrame, shards: int) -> tuple[list[int], int]:
     """Last hash of every shard but the final one, and the capacity, for rows (``pos``, ``size``)."""
-    spark = rows.sparkSession
     spans = _spans(rows, FIRST_BITS)
     while spans:
         high = smallest(spans, shards, False)
         low = smallest(spans, shards, True)
         # A cut of the true partition lies between the whole sweep at the low and the liquid one at the high capacity.
-        near = _reached(spans, low, shards, False)
-        far = _reached(spans, high, shards, True)
-        opened = {at for a, b in zip(near, far) for at in range(a, min(b, len(spans) - 1) + 1) if not spans[at].single}
+        opened = _between(spans, low, high, shards)
         if not opened:
-            return [spans[at - 1].last for at, _ in greedy(spans, high, shards, False)[0] if at], high
-        bits = spans[min(opened)].bits
-        keys = spark.createDataFrame([(spans[i].number,) for i in sorted(opened)], StructType([StructField("number", LongType())]))
-        inside = rows.join(F.broadcast(keys), F.shiftright("pos", 63 - bits) == F.col("number"), "left_semi")
-        spans = sorted([s for i, s in enumerate(spans) if i not in opened] + _spans(inside, min(63, bits + STEP_BITS)), key=lambda s: s.last)
+            break
+        spans = _opened(rows, spans, opened)
+    while spans:  # the capacity is known; where sweeps from the end and the even cuts fall is opened next
+        last = len(spans) - 1
+        ends, near = even(spans, high, shards)
+        opened = {last - at for at in _between(spans[::-1], high, high, shards)} | near
+        if not opened:
+            return [spans[at - 1].last for at in ends if at], high
+        spans = _opened(rows, spans, opened)
     return [], 0
 
 
+def even(spans: list[Span], capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """Spans that start a new shard, as near to equal shares as the capacity lets them, and those that
+    must be known more closely, as such a place lies inside them."""
+    edges = [0, *accumulate(s.size for s in spans)]
+    total = edges[-1]
+    least = [total - before for _, before in greedy(spans[::-1], capacity, shards, False)[0]][::-1]
+    least = [0] * (shards - 1 - len(least)) + least
+    ends, near, cut = [], set(), 0
+    for i, needed in enumerate(least, 1):
+        low, high = max(needed, edges[cut]), edges[cut] + capacity
+        wanted = min(max(-(-i * total // shards), low), high)
+        after = bisect_left(edges, wanted)
+        if edges[after] != wanted and not spans[after - 1].single:
+            near.add(after - 1)
+        allowed = [at for at in (after - 1, after) if at >= 0 and low <= edges[at] <= high]
+        cut = min(allowed, key=lambda at: abs(edges[at] - wanted))
+        ends.append(cut)
+    return ends, near
+
+
+def _between(spans: list[Span], low: int, high: int, shards: int) -> set[int]:
+    """Spans of several groups that lie between the whole sweep at the low and the liquid one at the high capacity."""
+    near, far = _reached(spans, low, shards, False), _reached(spans, high, shards, True)
+    return {at for a, b in zip(near, far) for at in range(a, min(b, len(spans) - 1) + 1) if not spans[at].single}
+
+
+def _opened(rows: DataFrame, spans: list[Span], opened: set[int]) -> list[Span]:
+    """The spans with those of the widest kind among ``opened`` replaced by what they hold."""
+    bits = min(spans[i].bits for i in opened)
+    opened = {i for i in opened if spans[i].bits == bits}
+    keys = rows.sparkSession.createDataFrame([(spans[i].number,) for i in sorted(opened)], StructType([StructField("number", LongType())]))
+    inside = rows.join(F.broadcast(keys), F.shiftright("pos", 63 - bits) == F.col("number"), "left_semi")
+    return sorted([s for i, s in enumerate(spans) if i not in opened] + _spans(inside, min(63, bits + STEP_BITS)), key=lambda s: s.last)
+
+
 def _reached(spans: list[Span], capacity: int, shards: int, liquid: bool) -> list[int]:
     """Span at which each of the ``shards - 1`` cuts falls, a sweep that is stuck staying where it is."""
     ends = [at for at, _ in greedy(spans, capacity, shards, liquid)[0]][: shards - 1]

@@ -229,6 +229,24 @@ def test_shards_are_minimax(spark, documents, monkeypatch, bits):
         assert max(loads.values()) <= capacity
 
 
+@pytest.mark.parametrize("bits", [1, 6, 14])
+def test_cuts_are_those_over_all_groups_and_even(spark, documents, monkeypatch, bits):
+    monkeypatch.setattr(sharding, "FIRST_BITS", bits)
+    monkeypatch.setattr(sharding, "STEP_BITS", 3)
+    rows = documents.selectExpr("cast(octet_length(text) % 900 + 16 as long) as size", "shiftrightunsigned(xxhash64(text), 1) as pos")
+    groups = [sharding.Span(g[1], g[0], True, 0, 63) for g in
+              rows.groupBy("pos").agg(sharding.F.sum("size")).orderBy("pos").collect()]
+    mean, biggest = sum(g.size for g in groups), max(g.size for g in groups)
+    for shards in (3, 8, 17):
+        ends, capacity = sharding.cuts(rows, shards)
+        whole, unknown = sharding.even(groups, capacity, shards)
+        assert not unknown and ends == [groups[at - 1].last for at in whole if at]
+        loads = Counter()
+        for g in groups:
+            loads[sum(e < g.last for e in ends)] += g.size
+        assert max(loads.values()) <= capacity and min(loads.values()) >= mean / shards - 2 * biggest and len(loads) == shards
+
+
 def test_shards_on_edges(spark, documents, edges, nothing):
     rows = sharding.shard(edges, 4).collect()
     assert len(rows) == len(EDGES)
