@@ -1,10 +1,12 @@
 """Exact duplicates by a tree merge of digest runs.
 
-Every input partition is a run of (digest, smallest id, count).  Runs meet in rounds: the runs
-``f*k .. f*k+f-1`` of one round are merged into run ``k`` of the next, for a fan-in ``f``, until one
-run is left.  Each merge is an aggregation keyed by (target run, digest), so a digest that a third
-of all rows share arrives as one row per run, never as a pile of rows, and no task holds a run
-whole.  The answer goes back the same way: final groups to the first runs, first runs to rows.
+Every input partition is a run of (digest, smallest id, count), sorted by digest.  Runs meet in
+rounds: the runs ``f*k .. f*k+f-1`` of one round are merged into run ``k`` of the next, for a fan-in
+``f``, until one run is left.  A run lies in pieces, one for each range of digests, and a merge
+brings the pieces of one range from ``f`` runs together in order of digest and id, walks over them,
+and keeps the first row of each digest with the sum of all.  A digest that a third of all rows
+share arrives as one row per run, never as a pile of rows, and no task holds a run whole.  The
+answer goes back the same way: final groups to the first runs, first runs to rows.
 
 Every level carries the smallest id, the row that has it, the count, and the bounds of the text
 length and of a second, independent hash.  Should two different texts ever share a digest, the
@@ -13,11 +15,12 @@ bounds differ and the job fails instead of merging them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from starling.llm.common import SPACE, placed, staged, text_of, without
 
 FAN_IN = 8
+PIECE_DIGITS = 4  # leading hex digits of a digest that name its range: 65,536 pieces a run at most
 
 
 def digests(docs: DataFrame, *more: str) -> DataFrame:
@@ -28,14 +31,41 @@ def digests(docs: DataFrame, *more: str) -> DataFrame:
         F.sha2(norm, 256).alias("digest"), F.octet_length(norm).alias("n_bytes"), F.xxhash64(norm).alias("check"), *more)
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """Runs with equal number and digest merged, the smallest id kept."""
-    out = runs.groupBy("run", "digest").agg(
-        F.min_by("keep_row", "keep_id").alias("low_row"), F.min("keep_row").alias("any_row"), F.min("keep_id").alias("keep_id"),
-        F.sum("n").alias("n"), F.min("b0").alias("b0"), F.max("b1").alias("b1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+def first_runs(rows: DataFrame) -> DataFrame:
+    """One run per input partition: equal digests combined where they are read, then sorted.
+
+    Of rows with a digest one with the smallest id is kept; a null id is larger than any other.
+    """
+    out = rows.groupBy("run", "digest").agg(
+        F.min_by("row_id", "doc_id").alias("low_row"), F.min("row_id").alias("any_row"), F.min("doc_id").alias("keep_id"), F.count("*").alias("n"),
+        F.min("n_bytes").alias("b0"), F.max("n_bytes").alias("b1"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    return in_order(out.select("run", "digest", F.coalesce("low_row", "any_row").alias("keep_row"), "keep_id", *verified()))
+
+
+def in_order(runs: DataFrame) -> DataFrame:
+    """The runs in pieces, each sorted by digest, then id."""
+    pieces = runs.withColumn("piece", F.substring("digest", 1, PIECE_DIGITS)).repartition("run", "piece")
+    return pieces.sortWithinPartitions("run", "piece", "digest", F.asc_nulls_last("keep_id"), "keep_row")
+
+
+def verified() -> list:
+    """Count and bounds of a digest's rows, once the bounds show that they are one text."""
     same = (F.col("b0") == F.col("b1")) & (F.col("c0") == F.col("c1"))
     n = F.when(same, F.col("n")).otherwise(F.raise_error(F.lit("different texts share a digest")).cast("long"))
-    return out.select("run", "digest", F.coalesce("low_row", "any_row").alias("keep_row"), "keep_id", n.alias("n"), "b0", "b1", "c0", "c1")
+    return [n.alias("n"), "b0", "b1", "c0", "c1"]
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """Sorted runs with equal number merged into one sorted run, the smallest id of each digest kept.
+
+    A digest has one row in each run that meets here, so what is walked over at a time is at most the fan-in.
+    """
+    digest = Window.partitionBy("run", "piece", "digest").orderBy(F.asc_nulls_last("keep_id"), "keep_row")
+    whole = digest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    walked = in_order(runs).select(
+        "run", "piece", "digest", "keep_row", "keep_id", F.row_number().over(digest).alias("at"), F.sum("n").over(whole).alias("n"),
+        *[bound(x).over(whole).alias(x) for bound, x in ((F.min, "b0"), (F.max, "b1"), (F.min, "c0"), (F.max, "c1"))])
+    return walked.where("at = 1").select("run", "piece", "digest", "keep_row", "keep_id", *verified())
 
 
 def find_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
@@ -51,9 +81,7 @@ def find_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 def _groups(rows: DataFrame, fan_in: int, *more: str) -> DataFrame:
     last = rows.agg(F.max("run")).first()[0] or 0
-    leaves = rows.select("run", "digest", F.col("row_id").alias("keep_row"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"),
-                         F.col("n_bytes").alias("b0"), F.col("n_bytes").alias("b1"), F.col("check").alias("c0"), F.col("check").alias("c1"))
-    level = first = staged(merged(leaves), "runs")
+    level = first = staged(first_runs(rows), "runs")
     while last > 0:
         level = merged(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")))
         last //= fan_in
