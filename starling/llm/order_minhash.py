@@ -13,7 +13,7 @@ the union are all common with probability C(c,4)/C(u,4): about 0.8^4 for long te
 entries agrees with more than 0.99999.  With few k-mers it is less, down to 0.2 for 4 of 5, so
 short texts have more entries (``FEW``), and the bound holds at every length.
 
-Equal word sequences are one text from the start.  First every bucket's members are compared with
+Equal word sequences are one text from the start, told by 128 bits of a digest.  First every bucket's members are compared with
 its pivot, the member that meets most texts; what is linked becomes one class, and most buckets
 are done.  Where a bucket still holds several classes, every member outside its largest class is
 compared with all members of other classes: in small buckets as pairs, in larger ones block
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from starling.llm.common import join_spread, placed, shipped, staged, text_of, without
+from starling.operators.replicated import if_small
 
 
 @dataclass(frozen=True)
@@ -186,30 +187,47 @@ def banded(left: np.ndarray, right: np.ndarray, band: int) -> int:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """Per row: ``row_id``, ``doc_id``, the key of its word sequence, its k-mers' number, sketch and word hashes, and columns of ``more``."""
+    """Per row: ``row_id``, ``doc_id``, the key of its word sequence, 64 more bits of the same digest (``check``), its k-mers' number, sketch and word hashes, and columns of ``more``."""
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys, sizes, entries, hashes = [], [], [], []
+                keys, checks, sizes, entries, hashes = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     words = words_of(text)
                     found = word_hashes(words)
                     grams = kmers(found, LAYOUT.words)
-                    keys.append(int.from_bytes(hashlib.blake2b("\n".join(words).encode(), digest_size=8).digest(), "little", signed=True))
+                    digest = hashlib.blake2b("\n".join(words).encode(), digest_size=16).digest()
+                    keys.append(int.from_bytes(digest[:8], "little", signed=True))
+                    checks.append(int.from_bytes(digest[8:], "little", signed=True))
                     sizes.append(len(grams))
                     entries.append(sketch(grams).view(np.int64))
                     hashes.append(found.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_id"), part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+                    [part.column("row_id"), part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()),
                      pa.array(entries, pa.list_(pa.int64())), pa.array(hashes, pa.binary()), *[part.column(c) for c in more]],
-                    names=["row_id", "doc_id", "text_key", "n", "sketch", "hashes", *more])
+                    names=["row_id", "doc_id", "text_key", "check", "n", "sketch", "hashes", *more])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
     return shipped(docs.select("row_id", "doc_id", "text", *more)).mapInArrow(
-        sketched, f"row_id long, doc_id {id_type}, text_key long, n long, sketch array<long>, hashes binary{kinds}")
+        sketched, f"row_id long, doc_id {id_type}, text_key long, check long, n long, sketch array<long>, hashes binary{kinds}")
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """The rows with keys that stand for one text each.
+
+    Among some 10^10 texts a few share a 64-bit key by chance.  Where the 64 bits of ``check`` show
+    it, all but the texts with the smallest of them get another key, until no key is shared.
+    """
+    while True:
+        keys = rows.groupBy("text_key").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        shared = staged(keys.where("low != high").select("text_key", "low"), "shared")
+        if shared.isEmpty():
+            return rows.drop("check")
+        key = F.when(F.col("check") != F.col("low"), F.xxhash64("text_key", "check")).otherwise(F.col("text_key"))
+        rows = staged(rows.join(if_small(shared), "text_key", "left").withColumn("text_key", key).drop("low"), "texts")
 
 
 def verified(pairs: DataFrame, words: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
@@ -353,7 +371,7 @@ def find_near(docs: DataFrame, layout: Sketch = LAYOUT) -> DataFrame:
 
 
 def _near(numbered: DataFrame, layout: Sketch, *more: str) -> DataFrame:
-    rows = staged(texts(numbered, *more), "texts")
+    rows = told_apart(staged(texts(numbered, *more), "texts"))
     total = rows.count()
     if not total:
         return rows.select(*more, "row_id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("class_size"), F.lit(True).alias("kept"))

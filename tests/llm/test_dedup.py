@@ -32,6 +32,45 @@ def test_exact_on_edges(spark, edges, nothing):
     assert exact_dedup.find_copies(nothing).count() == 0 and exact_dedup.drop_copies(nothing).count() == 0
 
 
+def test_exact_merges_walk_over_sorted_runs(spark):
+    """One exchange and one sort a merge, no aggregation; the merged run is sorted and holds the smallest id of each digest."""
+    rows = spark.range(600).selectExpr("id as keep_row", "if(id % 5 = 0, null, 1000 - id) as keep_id", "cast(id % 8 as int) as run",
+                                       "sha2(cast(id div 8 % 40 as string), 256) as digest", "1L as n", "7 as b0", "7 as b1", "3L as c0", "3L as c1")
+    level = exact_dedup.first_runs(rows.selectExpr("run", "digest", "keep_row as row_id", "keep_id as doc_id", "b0 as n_bytes", "c0 as check"))
+    once = exact_dedup.merged(level.withColumn("run", exact_dedup.F.lit(0)))
+    text = once._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window [") == 1 and text.count("Sort [") == 2 and text.count("Aggregate [") == 1  # a sort and the aggregation are the first runs'
+    pieces = exact_dedup.staged(once, "merged").select("digest", exact_dedup.F.input_file_name().alias("file"), exact_dedup.F.col("piece")).collect()
+    for file in {r["file"] for r in pieces}:
+        digests = [(r["piece"], r["digest"]) for r in pieces if r["file"] == file]
+        assert digests == sorted(digests)
+    plain = {}
+    for r in rows.collect():
+        plain.setdefault(r["digest"], []).append(r["keep_id"])
+    found = {r["digest"]: (r["keep_id"], r["n"]) for r in once.collect()}
+    assert found == {d: (min((i for i in ids if i is not None), default=None), len(ids)) for d, ids in plain.items()}
+
+
+def test_exact_texts_that_share_a_digest_stop_the_job(spark):
+    rows = spark.createDataFrame([(0, 1, 0, "d", 5, 1), (1, 2, 1, "d", 6, 1)], "row_id long, doc_id long, run int, digest string, n_bytes int, check long")
+    level = exact_dedup.first_runs(rows)
+    assert level.count() == 2
+    try:
+        exact_dedup.merged(level.withColumn("run", exact_dedup.F.lit(0))).collect()
+    except Exception as error:
+        assert "different texts share a digest" in str(error)
+    else:
+        raise AssertionError("merged different texts")
+
+
+def test_near_tells_texts_with_one_key_apart(spark):
+    """Texts that share 64 bits get keys of their own, equal texts keep one; a new key that is taken again is changed too."""
+    taken = spark.sql("select xxhash64(7L, 2L)").first()[0]
+    rows = spark.createDataFrame([(0, 7, 1), (1, 7, 1), (2, 7, 2), (3, 7, 2), (4, 7, 3), (5, taken, 9), (6, 8, 1)], "row_id long, text_key long, check long")
+    keys = {r["row_id"]: r["text_key"] for r in near.told_apart(rows).collect()}
+    assert keys[0] == keys[1] and keys[2] == keys[3] and len(set(keys.values())) == 5
+
+
 def test_exact_hot_group(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot text', concat('text ', id)) as text").repartition(13)
     rows = exact_dedup.find_copies(docs, fan_in=3)
