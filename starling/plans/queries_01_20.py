@@ -332,54 +332,64 @@ LINE = ["i_brand_id", "i_class_id", "i_category_id"]
 LINES_OF = {"store": ("store_sales", "ss"), "catalog": ("catalog_sales", "cs"), "web": ("web_sales", "ws")}
 
 
-def sales_by_item(t, dates, *channels):
-    """Sales value and row count per channel and item, before any item attribute is joined."""
+def line_sales(t, year, **periods):
+    """Per channel and product line: sales value and rows with one over three years, and sales and rows of each period.
+
+    ``periods`` names sets of days.  Every channel is read once, for the years and all periods
+    together, and summed by item before any item attribute is joined; an item without a product
+    line stays, as it counts in the average.
+    """
+    spans = {"years": t.date_dim.filter(c("d_year").between(year, year + 2)), **periods}
+    days = (union_all(*[days.select("d_date_sk", F.lit(name).alias("span")) for name, days in spans.items()])
+            .groupBy("d_date_sk").agg(*[F.max(c("span") == name).alias(f"in_{name}") for name in spans]))
     parts = []
-    for channel in channels:
-        table, p = LINES_OF[channel]
+    for channel, (table, p) in LINES_OF.items():
         worth = c(f"{p}_quantity") * c(f"{p}_list_price")
-        parts.append(star(t[table], (dates.select("d_date_sk"), f"{p}_sold_date_sk", "d_date_sk"))
-                     .groupBy(c(f"{p}_item_sk").alias("item"))
-                     .agg(F.sum(worth).alias("sales"), F.count(worth).alias("valued"), F.count(F.lit(1)).alias("rows"))
-                     .withColumn("channel", F.lit(channel)))
-    return union_all(*parts)
-
-
-def big_lines(t, year, dates, *channels):
-    """Product lines sold in all three channels over three years whose sales on the given dates
-    exceed the average sale of those years.
-
-    "In every channel" is one grouping of the stacked channels instead of two intersections.
+        sums = [F.max("in_years").alias("in_years"), F.count(F.when(c("in_years"), worth)).alias("valued")]
+        for name in spans:
+            sums += [F.sum(F.when(c(f"in_{name}"), worth)).alias(f"{name}_sales"),
+                     F.count(F.when(c(f"in_{name}"), 1)).alias(f"{name}_rows")]
+        parts.append(star(t[table], (days, f"{p}_sold_date_sk", "d_date_sk"))
+                     .groupBy(c(f"{p}_item_sk").alias("item")).agg(*sums).withColumn("channel", F.lit(channel)))
+    stacked = union_all(*parts).join(t.item.select("i_item_sk", *LINE), c("item") == c("i_item_sk"), "left")
+    return stacked.groupBy("channel", *LINE).agg(
+        F.max("in_years").alias("in_years"), *[F.sum(x).alias(x) for x in ("valued", *[f"{n}_{k}" for n in spans for k in ("sales", "rows")])])
+
+
+def big_lines(t, year, **periods):
+    """Product lines sold in all three channels over three years, per period those whose sales in
+    it exceed the average sale of those years.
+
+    "In every channel" and the average come from the same grouping, which is small and kept.
     """
-    years = sales_by_item(t, t.date_dim.filter(c("d_year").between(year, year + 2)), *LINES_OF)
-    mean = years.agg(ratio(F.sum("sales"), F.sum("valued")).alias("average_sales"))
-    shared = (star(years, (t.item, "item", "i_item_sk")).groupBy(*LINE)
-              .agg(*[F.max(c("channel") == ch).alias(ch) for ch in LINES_OF]).filter(" and ".join(LINES_OF)))
-    items = matching(t.item, shared, *[(k, k) for k in LINE])
-    lines = (star(sales_by_item(t, dates, *channels), (items, "item", "i_item_sk")).groupBy("channel", *LINE)
-             .agg(F.sum("sales").alias("sales"), F.sum("rows").alias("number_sales")))
-    return with_scalar(lines, mean).filter(c("sales").cast("double") > c("average_sales"))
+    lines = line_sales(t, year, **periods).checkpoint()
+    mean = lines.agg(ratio(F.sum("years_sales"), F.sum("valued")).alias("average_sales"))
+    shared = (lines.filter("in_years").groupBy(*LINE).agg(F.count(F.lit(1)).alias("channels"))
+              .filter(c("channels") == len(LINES_OF)))
+    found = with_scalar(matching(lines, shared, *[(k, k) for k in LINE]), mean)
+    return {name: found.filter(c(f"{name}_sales").cast("double") > c("average_sales")).select(
+        "channel", *LINE, c(f"{name}_sales").alias("sales"), c(f"{name}_rows").alias("number_sales")) for name in periods}
 
 
 @query("q14", "channel i_brand_id:i i_class_id:i i_category_id:i sales:n number_sales:i",
        "channel i_brand_id i_class_id i_category_id", 100)
 def q14(t, year=1998):
     month = t.date_dim.filter((c("d_year") == year + 2) & (c("d_moy") == 11))
-    return rollup_of(big_lines(t, year, month, *LINES_OF), ["channel"] + LINE,
+    return rollup_of(big_lines(t, year, month=month)["month"], ["channel"] + LINE,
                      {"sales": c("sales"), "number_sales": c("number_sales")})
 
 
 @query("q14_weeks", "channel i_brand_id:i i_class_id:i i_category_id:i sales:n number_sales:i "
        "last_sales:n last_number_sales:i", "channel i_brand_id i_class_id i_category_id", 100)
 def q14_weeks(t, year=1998, day=11):
-    """Second statement of q14: the same December week in two successive years."""
+    """Second statement of q14: the same December week in two successive years, in the stores."""
     def week_of(y):
         week = t.date_dim.filter((c("d_year") == y) & (c("d_moy") == 12) & (c("d_dom") == day))
-        dates = matching(t.date_dim, week, ("d_week_seq", "d_week_seq"))
-        return big_lines(t, year, dates, "store").drop("average_sales")
+        return matching(t.date_dim, week, ("d_week_seq", "d_week_seq"))
 
-    last = role(week_of(year), "last_")
-    return week_of(year + 1).join(last, [c(k) == c(f"last_{k}") for k in LINE])
+    found = big_lines(t, year, last=week_of(year), this=week_of(year + 1))
+    this, last = (found[name].filter("channel = 'store'") for name in ("this", "last"))
+    return this.join(role(last, "last_"), [c(k) == c(f"last_{k}") for k in LINE])
 
 
 @query("q15", "ca_zip sum_sales_price:n", "ca_zip", 100)

@@ -54,6 +54,15 @@ def test_top_ranks_are_limited_before_the_shuffle(tiny):
     assert text.index("WindowGroupLimit") < text.index("Exchange hashpartitioning(i_category")
 
 
+def test_product_lines_read_every_channel_once(tiny):
+    from starling.plans import queries_01_20 as some
+    month = tiny.date_dim.filter("d_year = 2000 and d_moy = 11")
+    text = plan(some.line_sales(tiny, 1998, month=month, week=month.filter("d_dom < 8")))
+    for p in ("ss", "cs", "ws"):
+        assert len(re.findall(rf"ReadSchema: struct<[^>]*{p}_item_sk", text)) == 1
+    assert text.count("FileScan") <= 3 + 1 + 3 * 3  # channels, items, and the days of three spans for each channel
+
+
 def test_staged_once_per_session_and_source(spark):
     one, two = Star.of(spark, f"{DATA}/sf0.001"), Star.of(spark, f"{DATA}/sf0.001")
     assert one is two and one.store is two.store
