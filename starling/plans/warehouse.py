@@ -152,6 +152,10 @@ class Star:
                     fs.delete(source, True)
         return path
 
+    def stored_bytes(self, table: str) -> int:
+        """Bytes of a table's files, which are written first if nobody has read the table yet."""
+        return stored_bytes(self.spark, self.once(table, lambda path: self._write(table, path)))
+
     def remove(self) -> None:
         """Deletes the star's folder; the next use stages again."""
         with _lock:

@@ -55,10 +55,11 @@ def save_hashed(df: DataFrame, table: str, key: str, buckets: int, path: str | N
 
 
 def open_hashed(spark: SparkSession, table: str, schema: StructType, key: str, buckets: int, path: str, *more: str) -> DataFrame:
-    """A bucketed table over files that ``save_hashed`` wrote."""
+    """A bucketed table over files that ``save_hashed`` wrote, listed anew: they may have been written again."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     spark.sql(f"create table if not exists {table} ({columns}) using parquet "
               f"clustered by ({', '.join((key, *more))}) sorted by ({', '.join((key, *more))}) into {buckets} buckets location '{path}'")
+    spark.catalog.refreshTable(table)
     return spark.table(table)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import Window, functions as F
 from starling.operators import checks, replicated
 from starling.operators.ordered import in_bands, totals_at_least
 from starling.operators.ranking import global_ranks, running_sums, top_ranks
-from starling.plans import base
+from starling.plans import base, catalog  # noqa: F401
+from starling.plans.warehouse import Star
 from starling.sources import delimited, layout
-from tests.conftest import rows
+from tests.conftest import DATA, duck, rows, same_rows
 
 
 def plan(df):
@@ -142,6 +143,24 @@ def test_buckets_join_without_a_shuffle_and_split_a_hot_key(spark, tmp_path):
     assert rows(joined) == want and salts[0] < 700
 
 
+def test_bucket_join_is_the_first_query_of_a_folder(spark, tmp_path):
+    source, query = f"{DATA}/sf0.001", base.REGISTRY["join_buckets"]
+    star = Star.of(spark, source, str(tmp_path))
+    assert not star.staged("store_sales") and not star.staged("item")
+    mine, want = same_rows(query(star), duck(source), query.oracle(base.oracle_bodies()["join_buckets"]))
+    assert mine and mine == want
+    assert rows(query(star, hot_rows=5)) == rows(query(star))
+
+
+@pytest.mark.parametrize("name", ["join_buckets", "layout_hashed"])
+def test_bucketed_tables_are_read_from_their_own_folder(spark, tmp_path, name):
+    query, (one, other) = base.REGISTRY[name], [Star.of(spark, f"{DATA}/sf0.001", str(tmp_path / x)) for x in ("one", "other")]
+    want = rows(query(one))
+    assert all(str(tmp_path / "other") in f for f in query(other).inputFiles())
+    one.remove()
+    assert rows(query(other)) == want and rows(query(one)) == want
+
+
 def test_bucket_numbers_stay_within_the_limit():
     assert layout.bucket_count(100 << 40) == layout.MOST_BUCKETS <= 100_000
     assert layout.bucket_count(0) == 8 and layout.bucket_count(1 << 30) == 16
