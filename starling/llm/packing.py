@@ -8,8 +8,8 @@ its count is one pattern.  Packs that stay short are then emptied, the shortest
 tails are cut to fill the room in the others, so that hardly a sequence is padded.
 
 The plan names, for every length, which ranks of its tails go where.  Documents meet it by rank:
-numbered within blocks of the input, the blocks' counts summed, so no length, however common, is
-numbered in one task.
+numbered within their partition where their ids are made, the partitions' counts summed, so no length,
+however common, is numbered in one task, and the ids stay where they were written while the counts are few.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from starling.llm import tokenizers_public
-from starling.llm.common import shipped, staged, text_of, unsigned_bucket
+from starling.llm.common import shipped, staged, text_of
 
 FILE = "word_bpe_49k.json"
 END_ID = 1
 LENGTH = 2048
 MIN_FILL = 4
 CACHE_WORDS = 800_000
-BLOCK_ROWS = 2048
+CHUNK_ROWS = 500
+FEW_STARTS = 5_000_000  # first ranks of partitions, 12 bytes each, that every task may hold
 
 
 # ---- the plan -------------------------------------------------------------------------------
@@ -237,48 +238,64 @@ def _packed(ids: list[int]) -> bytes:
 _WORDS: dict[str, Words] = {}
 
 
-def tokens(docs: DataFrame, file_name: str = FILE, end_id: int = END_ID) -> DataFrame:
-    """``row_id``, ``doc_id``, ``n`` and ``ids`` (16-bit, packed in a binary) of every whole text."""
+class Numbers:
+    """Numbers the documents of one partition in order: ranks of tails by their length, whole sequences."""
+
+    def __init__(self, size: int):
+        self.size, self.ranks, self.whole = size, [0] * size, 0
+
+    def number(self, n: int) -> tuple[int, int, int]:
+        """Length of the tail, its rank among tails of that length, and the whole sequences before it."""
+        whole, tail = divmod(n, self.size)
+        found = tail, self.ranks[tail], self.whole
+        self.ranks[tail] += 1
+        self.whole += whole
+        return found
+
+
+def tokens(docs: DataFrame, size: int = LENGTH, file_name: str = FILE, end_id: int = END_ID) -> DataFrame:
+    """``doc_id``, ``n`` and ``ids`` (16-bit, packed in a binary) of every whole text, numbered within its partition.
+
+    ``part`` is the partition, ``tail`` what is over after whole sequences, ``rank`` and
+    ``whole_before`` count the tails of that length and the whole sequences before it there.
+    """
     file = tokenizers_public.path(file_name)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORDS.setdefault(file, Words(file))
+        numbers = Numbers(size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
                 ids = words.ids(part.column("text").to_pylist(), end_id)
+                counts = [len(b) // 2 for b in ids]
+                tail, rank, before = zip(*map(numbers.number, counts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_id"), part.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["row_id", "doc_id", "n", "ids"])
+                    [part.column("part"), part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(tail, pa.int32()),
+                     pa.array(rank, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["part", "doc_id", "n", "tail", "rank", "whole_before", "ids"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_of().alias("text"))
-    return shipped(rows).mapInArrow(encoded, f"row_id long, doc_id {id_type}, n long, ids binary")
+    rows = docs.select(F.spark_partition_id().alias("part"), "doc_id", text_of().alias("text"))
+    return shipped(rows).mapInArrow(encoded, f"part int, doc_id {id_type}, n long, tail int, rank long, whole_before long, ids binary")
 
 
 # ---- packing --------------------------------------------------------------------------------
 
 
-def ranked(rows: DataFrame, size: int) -> DataFrame:
-    """``row_id``, the rank of its tail among tails of that length, and the number of whole sequences before it."""
-    count = rows.count()
-    blocks = max(16, count // BLOCK_ROWS)
-    narrow = rows.select("row_id", (F.col("n") % size).cast("int").alias("tail"), F.expr(f"n div {size}").alias("whole"),
-                         unsigned_bucket(F.col("row_id"), blocks).alias("block"))
-    groups = staged(narrow.groupBy("block", "tail").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")), "blocks")
-    # Sums over blocks: by length for the ranks, over all for the whole sequences.
-    tails = groups.select("block", "tail", F.expr("sum(n) over (partition by tail order by block) - n").alias("rank_start"))
-    group = F.floor(F.col("block") / 1024)
-    per_block = groups.groupBy("block").agg(F.sum("whole").alias("whole")).withColumn("group", group)
-    wide = per_block.groupBy("group").agg(F.sum("whole").alias("whole"))
+def starts(groups: DataFrame) -> DataFrame:
+    """Where the numbers of a partition begin: by ``part`` and ``tail`` the first rank, and the whole sequences before the part.
+
+    ``groups`` has, by ``part`` and ``tail``, the documents as ``n`` and their sequences as ``whole``.
+    """
+    # Sums over partitions: by length for the ranks, over all for the whole sequences.
+    tails = groups.select("part", "tail", F.expr("sum(n) over (partition by tail order by part) - n").alias("rank_start"))
+    per_part = groups.groupBy("part").agg(F.sum("whole").alias("whole")).withColumn("group", F.floor(F.col("part") / 1024))
+    wide = per_part.groupBy("group").agg(F.sum("whole").alias("whole"))
     wide = wide.select("group", F.expr("sum(whole) over (order by group) - whole").alias("group_start"))
-    per_block = per_block.withColumn("start", F.expr("sum(whole) over (partition by group order by block) - whole"))
-    starts = per_block.join(wide, "group").select("block", (F.col("start") + F.col("group_start")).alias("whole_start"))
-    inner = narrow.select("row_id", "block", "tail",
-                          F.expr("row_number() over (partition by block, tail order by row_id) - 1").alias("rank"),
-                          F.expr("sum(whole) over (partition by block order by row_id) - whole").alias("whole_before"))
-    return inner.join(tails, ["block", "tail"]).join(starts, "block").select(
-        "row_id", (F.col("rank") + F.col("rank_start")).alias("rank"), (F.col("whole_before") + F.col("whole_start")).alias("whole_before"))
+    per_part = per_part.withColumn("start", F.expr("sum(whole) over (partition by group order by part) - whole"))
+    wholes = per_part.join(wide, "group").select("part", (F.col("start") + F.col("group_start")).alias("whole_start"))
+    return tails.join(wholes, "part")
 
 
 def pack(docs: DataFrame, size: int = LENGTH, file_name: str = FILE, end_id: int = END_ID) -> DataFrame:
@@ -290,9 +307,10 @@ def pack(docs: DataFrame, size: int = LENGTH, file_name: str = FILE, end_id: int
     row by row; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = staged(tokens(docs, file_name, end_id), "ids", "zstd")
-    histogram = {r["tail"]: r["n"] for r in rows.groupBy((F.col("n") % size).alias("tail")).agg(F.count("*").alias("n")).collect()}
-    entries, sequences = plan(histogram, size)
+    rows = staged(tokens(docs, size, file_name, end_id), "ids", "zstd")
+    groups = rows.groupBy("part", "tail").agg(F.count("*").alias("n"), F.sum(F.expr(f"n div {size}")).alias("whole"))
+    counted = groups.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()
+    entries, sequences = plan({r["tail"]: r["n"] for r in counted}, size)
     # Bounded by the sequence length: a few thousand entries, whatever the number of documents.
     entries.sort(key=lambda e: (e[0], e[1]))
     key = np.array([e[0] << 44 | e[1] for e in entries] or [0], np.int64)
@@ -300,7 +318,7 @@ def pack(docs: DataFrame, size: int = LENGTH, file_name: str = FILE, end_id: int
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, found = shared.value
-        for batch in batches:
+        for batch in (batch[at:at + CHUNK_ROWS] for batch in batches for at in range(0, len(batch), CHUNK_ROWS)):
             out = []
             for doc_id, n, ids, rank, before in zip(batch["doc_id"], batch["n"], batch["ids"], batch["rank"], batch["whole_before"]):
                 values = np.frombuffer(ids, "<u2").astype("<u4")
@@ -315,8 +333,17 @@ def pack(docs: DataFrame, size: int = LENGTH, file_name: str = FILE, end_id: int
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    placed = rows.join(ranked(rows, size), "row_id")
-    return shipped(placed.select("doc_id", "n", "ids", "rank", "whole_before")).mapInPandas(
+    # At most the sequence length times the partitions; where that is much, the ids are shuffled to it.
+    first = starts(groups)
+    if sum(r["parts"] for r in counted) <= FEW_STARTS:
+        by_tail = F.map_from_entries(F.collect_list(F.struct("tail", "rank_start"))).alias("rank_starts")
+        first = first.groupBy("part").agg(by_tail, F.max("whole_start").alias("whole_start"))
+        placed = rows.join(F.broadcast(first), "part").withColumn("rank_start", F.element_at("rank_starts", F.col("tail")))
+    else:
+        placed = rows.join(first, ["part", "tail"])
+    placed = placed.select("doc_id", "n", "ids", (F.col("rank") + F.col("rank_start")).alias("rank"),
+                           (F.col("whole_before") + F.col("whole_start")).alias("whole_before"))
+    return shipped(placed).mapInPandas(
         pieces, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

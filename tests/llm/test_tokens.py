@@ -118,6 +118,40 @@ def test_packing_on_edges(spark, edges, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+@pytest.mark.parametrize("few", [packing.FEW_STARTS, 0])
+def test_packing_of_many_partitions(spark, tmp_path, monkeypatch, few):
+    """Documents are numbered over partitions, and files written by as many tasks as read them, however many a shuffle has."""
+    monkeypatch.setattr(packing, "FEW_STARTS", few)
+    monkeypatch.setattr(packing, "staged", lambda df, label, *codec: _kept(df, f"{tmp_path}/{label}"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs = spark.range(0, 600, 1, 5).selectExpr("id as doc_id", "repeat('of the ', cast(id % 40 as int) * 37) as text")
+        made = packing.pack(docs, 64)
+        assert made.rdd.getNumPartitions() <= (5 if few else 24)
+        rows = made.collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(list(tmp_path.rglob("part-*.parquet"))) == 5
+    of, inside = defaultdict(list), defaultdict(list)
+    for r in rows:
+        of[r["doc_id"]].append((r["start"], r["length"]))
+        inside[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["doc_tokens"] == r["doc_id"] % 40 * 74 + 1 and r["ids_crc32"] == zlib.crc32(r["ids"])
+    for places, n in [(of[i], i % 40 * 74 + 1) for i in range(600)] + [(p, sum(k for _, k in p)) for p in inside.values()]:
+        places.sort()
+        assert [a for a, _ in places] == [sum(k for _, k in places[:i]) for i in range(len(places))] and sum(k for _, k in places) == n
+    padding = sorted(64 - sum(k for _, k in p) for p in inside.values())
+    assert set(inside) == set(range(len(inside))) and all(k < packing.MIN_FILL for k in padding[:-1])
+
+
+def _kept(df, path):
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def test_word_ranks_as_the_library():
     """The merges rebuild every token from its own bytes, so ranks give the library's ids for words of letters."""
     import json
