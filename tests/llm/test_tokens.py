@@ -118,6 +118,19 @@ def test_packing_on_edges(spark, edges, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+SPACES = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+LOOSE = st.lists(st.sampled_from(PARTS + SPACES + ["Report", "ROADS.", "Straße", "x9y,", "don't"]), max_size=60).map("".join)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(LOOSE, min_size=1, max_size=6))
+def test_packed_ids_as_the_library(texts):
+    file = public.path(packing.FILE)
+    words, library = packing._WORDS.setdefault(file, packing.Words(file)), public.library(file)
+    want = [packing._packed(library.encode(t, add_special_tokens=False).ids + [1]) for t in texts]
+    assert words.ids(texts, 1) == want and words.ids(texts, 1) == want
+
+
 @pytest.mark.parametrize("few", [packing.FEW_STARTS, 0])
 def test_packing_of_many_partitions(spark, tmp_path, monkeypatch, few):
     """Documents are numbered over partitions, and files written by as many tasks as read them, however many a shuffle has."""
