@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from starling.operators.ranking import surrogate_keys
 from starling.operators.relational import pick, role, star, union_all
 from starling.plans.base import query
-from starling.plans.increments import Increments, Refused
+from starling.plans.increments import COPIES, Increments, Refused
+from starling.plans.warehouse import lazily, shuffles_dropped
 
 c = F.col
 TODAY = "2002-06-30"  # date of the maintenance run in the registered jobs
@@ -202,7 +203,7 @@ INCREMENTS = {"store_sales": store_sales_increment, "catalog_sales": catalog_sal
 
 def append(increment: DataFrame, path: str) -> None:
     """Add an increment to a stored fact."""
-    increment.write.mode("append").parquet(path)
+    increment.write.mode("append").option("compression", COPIES).parquet(path)
 
 
 # ---- dimension updates -----------------------------------------------------------------------
@@ -529,17 +530,19 @@ FACT_KEYS = {"store_sales": ["ss_item_sk", "ss_ticket_number"], "catalog_sales":
 def refresh_append(t):
     """Each fact copied once, its increment appended to the stored copy, and what is stored then counted.
 
+    Facts and refresh tables that are not stored yet are derived as they are read, so each fact is on disk once.
     ``repeated_keys``: rows beyond the first of their key; lines of one order whose parts share an
     item give some inside an increment, none reaches over from an order that was there before.
     """
-    parts = []
+    t, parts = lazily(t), []
     for fact, build in INCREMENTS.items():
         def store(path, fact=fact, build=build):
             kept = t[fact].select(*[c(f.name).cast(f.dataType) for f in t[fact].schema])
             rows = build(t)  # a column that the source does not carry is null
             added = rows.select(*[(c(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in t[fact].schema])
-            kept.withColumn("_added", F.lit(False)).write.parquet(path)
-            append(added.withColumn("_added", F.lit(True)), path)
+            with shuffles_dropped(t.spark):
+                kept.withColumn("_added", F.lit(False)).write.option("compression", COPIES).parquet(path)
+                append(added.withColumn("_added", F.lit(True)), path)
         stored = t.spark.read.parquet(t.once(f"appended/{fact}", store))
         keyed = stored.groupBy(*FACT_KEYS[fact]).agg(F.count(F.lit(1)).alias("n"), F.sum(c("_added").cast("int")).alias("added"))
         parts.append(keyed.agg(F.sum(c("n") - c("added")).alias("rows_before"), F.sum("added").alias("rows_added"),

@@ -66,6 +66,16 @@ class Spark:
     def unnest(self, n):
         return f"explode(sequence(0, {n - 1}))"
 
+    def kept(self, name, sql):
+        return f"{{{name}}}"  # stored under its name
+
+    def unfold(self, keys, largest, n, near):
+        """Rows of equal keys meet before they unfold, then all of the keys in ``near``: what unfolds is not shuffled."""
+        names = ", ".join(keys)
+        cols = ", ".join(f"{e} as {k}" for k, e in keys.items())
+        return (f"(select {names}, q, {self.unnest(n)} as wk\n      from (select /*+ repartition({', '.join(near)}) */ {names}, max(q) as q\n"
+                f"            from (select {cols}, {largest} as q from lines) group by {names}))")
+
     def pick(self, values, idx):
         return f"element_at(array({_literals(values)}), cast(({idx}) % {len(values)} as int) + 1)"
 
@@ -88,6 +98,13 @@ class Duck:
     def unnest(self, n):
         return f"unnest(range({n}))"
 
+    def kept(self, name, sql):
+        return f"({sql})"
+
+    def unfold(self, keys, largest, n, near):
+        cols = ", ".join(f"{e} as {k}" for k, e in keys.items())
+        return f"(select {cols}, {largest} as q,\n                   {self.unnest(n)} as wk from lines)"
+
     def pick(self, values, idx):
         return f"([{_literals(values)}])[cast(({idx}) % {len(values)} as int) + 1]"
 
@@ -110,16 +127,10 @@ def _nullable(k, expr):
     return f"case when (ok + pk) % 23 = {k} then null else {expr} end"
 
 
-def _lines(d):
+def _order_lines(d):
     """One line per order and part.  Grouping by both keys comes before the join, so an order
     holding a third of the lines is spread by part, and the join that follows may be split."""
-    return f"""
-select *, list * qty as x_list, sale * qty as x_sale, cost * qty as x_cost,
-       (list - sale) * qty as x_disc,
-       case when ok % 7 = 0 then sale * qty // 10 else 0 end as coupon,
-       list * qty * 5 // 100 as ship, (qty + 1) // 2 as rqty
-from (select *, list * (100 - disc) // 100 as sale, list * (40 + pk % 70) // 100 as cost
-      from (select ok, pk, sk, o_custkey as ck, {d.days('o_orderdate')} as od, sd,
+    return f"""select ok, pk, sk, o_custkey as ck, {d.days('o_orderdate')} as od, sd,
                    o_orderpriority as pri, flag, qty, disc, pk * 37 % 19000 + 99 as list,
                    (select count(*) from src_supplier) as outlets,
                    (select max(o_orderkey) from src_orders) as last_order
@@ -128,7 +139,18 @@ from (select *, list * (100 - disc) // 100 as sale, list * (40 + pk % 70) // 100
                          cast(sum(l_quantity) as bigint) * 2 - l_partkey % 2 as qty,
                          cast(round(max(l_discount) * 100) as bigint) as disc
                   from src_lineitem group by l_orderkey, l_partkey)
-            join src_orders on ok = o_orderkey))
+            join src_orders on ok = o_orderkey"""
+
+
+def _lines(d):
+    """Lines with their amounts, which are worked out wherever they are read."""
+    return f"""
+select *, list * qty as x_list, sale * qty as x_sale, cost * qty as x_cost,
+       (list - sale) * qty as x_disc,
+       case when ok % 7 = 0 then sale * qty // 10 else 0 end as coupon,
+       list * qty * 5 // 100 as ship, (qty + 1) // 2 as rqty
+from (select *, list * (100 - disc) // 100 as sale, list * (40 + pk % 70) // 100 as cost
+      from {d.kept('order_lines', _order_lines(d))})
 """
 
 
@@ -270,8 +292,7 @@ select inv_date_sk, inv_item_sk, inv_warehouse_sk,
 from (select {EPOCH_SK} + (week + wk) * 7 as inv_date_sk, item as inv_item_sk,
              wh as inv_warehouse_sk,
              max(item * 131 + (week + wk) * 1713 + wh * 397 + q * 11) as x
-      from (select od // 7 as week, pk + 1 as item, sk % 5 + 1 as wh, qty as q,
-                   {d.unnest(8)} as wk from lines)
+      from {d.unfold({'week': 'od // 7', 'item': 'pk + 1', 'wh': 'sk % 5 + 1'}, 'qty', 8, ('item', 'wh'))}
       group by {EPOCH_SK} + (week + wk) * 7, item, wh)
 """
 
@@ -656,6 +677,7 @@ TABLES = {
     "web_site": _web_site, "web_page": _web_page, "promotion": _promotion,
     "catalog_page": _catalog_page, "reason": _reason, "ship_mode": _ship_mode, **REFRESH,
 }
+KEPT = {"order_lines": _order_lines}  # stored for tables that are derived from it
 FROM_LINES = {"store_sales", "catalog_sales", "web_sales", "store_returns", "catalog_returns",
               "web_returns", "inventory", *REFRESH}
 FACT_DATE = {"store_sales": "ss_sold_date_sk", "catalog_sales": "cs_sold_date_sk",
@@ -665,9 +687,9 @@ FACT_DATE = {"store_sales": "ss_sold_date_sk", "catalog_sales": "cs_sold_date_sk
 
 
 def spark_sql(table: str) -> str:
-    """Spark SQL of one star table; sources appear as ``{src_<name>}`` placeholders."""
+    """Spark SQL of one star table, or of what is kept for some; sources appear as ``{src_<name>}`` placeholders."""
     d = Spark()
-    sql = d.finish(TABLES[table](d))
+    sql = d.finish((TABLES | KEPT)[table](d))
     return re.sub(r"\bfrom lines\b", "from {lines}", sql)
 
 

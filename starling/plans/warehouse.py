@@ -5,10 +5,15 @@ folder that the cluster shares, so queries scan typed columnar files with prunin
 instead of repeating the derivation, and a lost executor re-reads files.  The folder's name holds
 the source and its version and no application: a later application finds the tables and stages
 nothing.  A table counts as staged once its writer has left a success marker.
+
+Order lines are stored once, narrow, without what is worked out from them.  Jobs that read every
+fact once, to check or to copy it, take the facts ``lazily``: one that nobody has stored is
+derived from the lines as it is read, and not stored for that.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import pathlib
@@ -44,6 +49,28 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries run inside drop their shuffle files as they end, not when the driver collects garbage.
+
+    For writes that run once: a frame that is run again shuffles again.
+    """
+    before = spark.conf.get(DROPS_SHUFFLES, None)
+    spark.conf.set(DROPS_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROPS_SHUFFLES) if before is None else spark.conf.set(DROPS_SHUFFLES, before)
+
+
+def lazily(tables):
+    """A star's facts as ``Star.lazily`` gives them; any other set of tables as it is."""
+    return tables.lazily() if isinstance(tables, Star) else tables
+
+
 def source_version(spark: SparkSession, sf_dir: str) -> str:
     """Digest of the names, sizes and times of the source files, taken once per application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -73,11 +100,12 @@ class Star:
     file statistics alone; a rebalance splits a hot day over several files.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, folder: str, by_day: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str, by_day: bool = False, stores: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.folder = folder
         self.by_day = by_day
+        self.stores = stores
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
@@ -99,7 +127,11 @@ class Star:
 
     def in_session(self, spark: SparkSession) -> "Star":
         """The same star, its tables read by another session of the application."""
-        return Star(spark, self.sf_dir, self.folder, self.by_day)
+        return Star(spark, self.sf_dir, self.folder, self.by_day, self.stores)
+
+    def lazily(self) -> "Star":
+        """The same star for jobs that read every fact once: one that is not stored is derived as it is read."""
+        return Star(self.spark, self.sf_dir, self.folder, self.by_day, False)
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -108,22 +140,24 @@ class Star:
         """The table as a lazy plan over the order tables."""
         sql = star.spark_sql(table)
         inputs = {f"src_{s}": self.source(s) for s in star.SOURCES if f"{{src_{s}}}" in sql}
-        if "{lines}" in sql:
-            inputs["lines"] = self._table("lines")
+        inputs |= {x: self._table(x) for x in ("lines", *star.KEPT) if f"{{{x}}}" in sql}
         return self.spark.sql(sql, **inputs)
 
     def _table(self, table: str) -> DataFrame:
         with _lock:
             if table not in self._tables:
-                self._tables[table] = self.spark.read.parquet(self.once(table, lambda path: self._write(table, path)))
+                derived = table == "lines" or not self.stores and table in star.FROM_LINES and not self.staged(table)
+                self._tables[table] = self.derive(table) if derived else self.spark.read.parquet(
+                    self.once(table, lambda path: self._write(table, path)))
             return self._tables[table]
 
     def _write(self, table: str, path: str) -> None:
         df, day = self.derive(table), star.FACT_DATE.get(table)
-        if self.by_day and day:
-            df.hint("rebalance", day).write.partitionBy(day).parquet(path)
-        else:
-            df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            if self.by_day and day:
+                df.hint("rebalance", day).write.partitionBy(day).parquet(path)
+            else:
+                df.write.parquet(path)
 
     def staged(self, name: str) -> bool:
         """Whether a table or by-product is complete."""
