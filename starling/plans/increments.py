@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from starling.plans.warehouse import _file_system
+from starling.plans.warehouse import _file_system, shuffles_dropped
 
 
 COPIES = "zstd"  # codec of stored copies, about a fifth smaller than with snappy
@@ -57,24 +57,28 @@ class Increments:
         """Takes an increment over several tables and gives its name.
 
         ``unfit(table, stored, new)`` selects new rows that must not be taken; any such row, in any
-        table with stored rows, refuses the increment.  After a refusal or a failure its files are deleted.
+        table with stored rows, refuses the increment.  After a refusal or a failure its files are deleted;
+        once a table has refused it, those of each further table as soon as its unfit rows are counted.
         """
         name = f"{len(self.taken()):08d}-{uuid.uuid4().hex}"
         own = f"{self.root}/{name}"
+        path, fs = _file_system(self.spark, own)
+        counts = {}
         try:
-            for table, rows in tables.items():
-                rows.write.parquet(f"{own}/{table}")
-            if unfit:
-                stored = {table: self.read(table) for table in tables}
-                counts = {table: unfit(table, rows, self.spark.read.parquet(f"{own}/{table}")).count()
-                          for table, rows in stored.items() if rows is not None}
-                if any(counts.values()):
-                    raise Refused(counts)
+            with shuffles_dropped(self.spark):
+                for table, rows in tables.items():
+                    rows.write.option("compression", COPIES).parquet(f"{own}/{table}")
+                    stored = self.read(table) if unfit else None
+                    if stored is not None:
+                        counts[table] = unfit(table, stored, self.spark.read.parquet(f"{own}/{table}")).count()
+                    if any(counts.values()):
+                        fs.delete(path, True)
+            if any(counts.values()):
+                raise Refused(counts)
             line = self.spark.createDataFrame([(" ".join([name, *tables]),)], "value string")
             line.coalesce(1).write.mode("append").text(f"{self.root}/taken")
         except BaseException:
             if name not in self.taken():
-                path, fs = _file_system(self.spark, own)
                 fs.delete(path, True)
             raise
         return name

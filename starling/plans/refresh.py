@@ -557,6 +557,8 @@ def refresh_append_refused(t):
     What is stored then is the facts and one set of increments.  ``rows_refused``: rows of the
     second set whose key (no part null) was stored, the reason to refuse it whole.
     """
+    t = lazily(t)
+
     def known(fact, stored, new):
         return new.join(stored.select(*FACT_KEYS[fact]).distinct(), FACT_KEYS[fact], "left_semi")
 

@@ -54,7 +54,7 @@ def check(spark, source, stored, folder, name):
     assert all(stored.staged(x) for x in definitions.FROM_LINES)
 
 
-@pytest.mark.parametrize("name", ["refresh_append"])
+@pytest.mark.parametrize("name", ["refresh_append", "refresh_append_refused"])
 def test_jobs_over_every_fact_store_none(spark, source, stored, tmp_path, name):
     check(spark, source, stored, str(tmp_path), name)
 
@@ -86,3 +86,22 @@ def test_shuffle_files_go_with_their_query(spark, tmp_path):
         spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "a"))
     assert tracker.shuffleStatuses().size() <= before and spark.conf.get(key, None) == set_
     assert spark.read.parquet(str(tmp_path / "a")).count() == 7
+
+
+def test_a_refused_increment_keeps_one_table_at_a_time(spark, tmp_path):
+    """Of tables after the one that refuses only the counts are wanted: their files go before the next is written."""
+    kept = Increments(spark, str(tmp_path))
+    two = spark.createDataFrame([(1,), (None,)], "k int")
+    kept.add({x: two for x in "abcd"})
+    seen = []
+
+    def known(table, stored, new):
+        own = next(p for p in tmp_path.iterdir() if p.is_dir() and p.name not in (*kept.taken(), "taken"))
+        seen.append(sorted(p.name for p in own.iterdir()))
+        return new.join(stored, "k", "left_semi").filter(F.lit(table != "a"))
+
+    with pytest.raises(Refused) as refused:
+        kept.add({x: two for x in "abcd"}, known)
+    assert refused.value.counts == {"a": 0, "b": 1, "c": 1, "d": 1}
+    assert seen == [["a"], ["a", "b"], ["c"], ["d"]]
+    assert len(kept.taken()) == 1 and rows(kept.read("d")) == rows(two) and len(list(tmp_path.iterdir())) == 2
