@@ -1,7 +1,8 @@
 """Joins by order instead of equality: sums over all larger keys, and values in bands.
 
-Neither forms pairs.  Sums over larger keys come from one pass over keys in order, range by range;
-bands meet values through cells, as an equality join with an exact test after it.
+Neither compares all with all.  Sums over larger keys come from one pass over keys in order, range by
+range, and so do the numbers of rows in bands; where the rows themselves are wanted, bands meet
+values through cells, as an equality join with an exact test after it.
 """
 
 from __future__ import annotations
@@ -40,13 +41,43 @@ def totals_at_least(weights: DataFrame, key: str, value: str, asks: DataFrame, a
     return asks.join(totals, F.col(ask) == F.col("_k")).drop("_k")
 
 
-def in_bands(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, width: float) -> DataFrame:
+def counted_in_bands(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """``bands`` with ``name``, how many rows of ``df`` each holds, as joining and counting would give; without rows a band is left out.
+
+    A band holds the values up to its upper end less those below its lower end.  Values and ends are
+    put in order once, dealt in ranges of equal size; a range sums its own values, and what lies before it is
+    known from one count a range.  Work grows with rows and bands, not with the pairs of both.
+    """
+    points = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_k"), F.lit(1).cast("long").alias("_n"))
+    for end in (low, high):
+        points = points.union(bands.where(F.col(end).isNotNull()).select(F.col(end), F.lit(0).cast("long")))
+    points = points.groupBy("_k").agg(F.sum("_n").alias("_n"))
+    # Ranges are stored: whoever reads them again must not cut them anew.
+    points = points.repartitionByRange("_k").withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = points.groupBy("_range").agg(F.sum("_n").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    upto = points.withColumn("_in", F.sum("_n").over(inside)).join(F.broadcast(ranges), "_range").select(
+        F.col("_k"), (F.col("_before") + F.col("_in")).alias("_upto"), (F.col("_before") + F.col("_in") - F.col("_n")).alias("_below"))
+    every = points.agg(F.sum("_n")).first()[0] or 0
+    found = bands.join(upto.select(F.col("_k").alias("_lk"), "_below"), F.col(low) == F.col("_lk"), "left")
+    found = found.join(upto.select(F.col("_k").alias("_hk"), "_upto"), F.col(high) == F.col("_hk"), "left")
+    held = F.coalesce("_upto", F.lit(every)) - F.coalesce("_below", F.lit(0))
+    return found.withColumn("_held", held).where("_held > 0").select(*[F.col(f"`{c}`") for c in bands.columns], F.col("_held").alias(name))
+
+
+def in_bands(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, width: float, count: str | None = None) -> DataFrame:
     """Rows joined with the bands that hold their value, both ends included; a null end is open.
 
+    With ``count`` the bands that hold rows, each once, and how many under that name (``counted_in_bands``): no
+    pairs are formed, and ``width`` plays no part.
+
     A band lies in at most two cells of its own level, whose cells are ``width`` times a power of
     two wide; a row looks into one cell of each level that occurs.  Open ends stop at the
     extreme values.  Overlapping bands each match; null values match none.
     """
+    if count:
+        return counted_in_bands(df, value, bands, low, high, count)
     v = F.col(value).cast("double")
     ends = df.agg(F.min(v), F.max(v)).first()
     if ends[0] is None:

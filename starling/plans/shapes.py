@@ -150,7 +150,7 @@ def join_bands_of_parts(t):
     """Orders whose price is a hundred times a part's, give or take its size: a band for each part, many overlapping."""
     middle = cents("p_retailprice") * 100
     bands = t.source("part").select("p_partkey", (middle - c("p_size") * 10).alias("lo"), (middle + c("p_size") * 10).alias("hi"))
-    return in_bands(t.source("orders").select(cents("o_totalprice").alias("price")), "price", bands, "lo", "hi", 100).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("orders"))
+    return in_bands(t.source("orders").select(cents("o_totalprice").alias("price")), "price", bands, "lo", "hi", 100, "n").groupBy("p_partkey").agg(F.sum("n").alias("orders"))
 
 
 @query("join_left", "c_custkey:i orders:i")
