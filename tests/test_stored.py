@@ -54,7 +54,7 @@ def check(spark, source, stored, folder, name):
     assert all(stored.staged(x) for x in definitions.FROM_LINES)
 
 
-@pytest.mark.parametrize("name", ["refresh_append", "refresh_append_refused"])
+@pytest.mark.parametrize("name", ["refresh_append", "refresh_append_refused", "check_row_counts", "check_primary_keys", "check_return_keys"])
 def test_jobs_over_every_fact_store_none(spark, source, stored, tmp_path, name):
     check(spark, source, stored, str(tmp_path), name)
 
