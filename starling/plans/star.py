@@ -69,12 +69,18 @@ class Spark:
     def kept(self, name, sql):
         return f"{{{name}}}"  # stored under its name
 
-    def unfold(self, keys, largest, n, near):
-        """Rows of equal keys meet before they unfold, then all of the keys in ``near``: what unfolds is not shuffled."""
-        names = ", ".join(keys)
-        cols = ", ".join(f"{e} as {k}" for k, e in keys.items())
-        return (f"(select {names}, q, {self.unnest(n)} as wk\n      from (select /*+ repartition({', '.join(near)}) */ {names}, max(q) as q\n"
-                f"            from (select {cols}, {largest} as q from lines) group by {names}))")
+    def stock(self):
+        """The last order up to a week gives that week's row, with the most of the eight weeks up to it: what unfolds
+        is neither shuffled nor grouped.  Orders of one week count once; a lost week is one row."""
+        near = "over (partition by item, wh order by week"
+        most = ", ".join(f"max(q) {near} range between {7 - k} preceding and current row)" for k in range(8))
+        return f"""(select {EPOCH_SK} + (week + wk) * 7 as inv_date_sk, item as inv_item_sk, wh as inv_warehouse_sk,
+             item * 131 + (week + wk) * 1713 + wh * 397 + most[wk] * 11 as x
+      from (select *, explode(case when week is null then array(0)
+                              else filter(sequence(0, 7), k -> next is null or next > week + k) end) as wk
+            from (select week, item, wh, lead(week) {near}) as next, array({most}) as most
+                  from (select od // 7 as week, pk + 1 as item, sk % 5 + 1 as wh, max(qty) as q
+                        from lines group by od // 7, pk + 1, sk % 5 + 1))))"""
 
     def pick(self, values, idx):
         return f"element_at(array({_literals(values)}), cast(({idx}) % {len(values)} as int) + 1)"
@@ -101,9 +107,13 @@ class Duck:
     def kept(self, name, sql):
         return f"({sql})"
 
-    def unfold(self, keys, largest, n, near):
-        cols = ", ".join(f"{e} as {k}" for k, e in keys.items())
-        return f"(select {cols}, {largest} as q,\n                   {self.unnest(n)} as wk from lines)"
+    def stock(self):
+        return f"""(select {EPOCH_SK} + (week + wk) * 7 as inv_date_sk, item as inv_item_sk,
+             wh as inv_warehouse_sk,
+             max(item * 131 + (week + wk) * 1713 + wh * 397 + q * 11) as x
+      from (select od // 7 as week, pk + 1 as item, sk % 5 + 1 as wh, qty as q,
+                   {self.unnest(8)} as wk from lines)
+      group by {EPOCH_SK} + (week + wk) * 7, item, wh)"""
 
     def pick(self, values, idx):
         return f"([{_literals(values)}])[cast(({idx}) % {len(values)} as int) + 1]"
@@ -289,11 +299,7 @@ def _inventory(d):
 select inv_date_sk, inv_item_sk, inv_warehouse_sk,
        case when x % 97 = 0 then null when x % 4 = 0 then x % 1000 else x % 150 end
          as inv_quantity_on_hand
-from (select {EPOCH_SK} + (week + wk) * 7 as inv_date_sk, item as inv_item_sk,
-             wh as inv_warehouse_sk,
-             max(item * 131 + (week + wk) * 1713 + wh * 397 + q * 11) as x
-      from {d.unfold({'week': 'od // 7', 'item': 'pk + 1', 'wh': 'sk % 5 + 1'}, 'qty', 8, ('item', 'wh'))}
-      group by {EPOCH_SK} + (week + wk) * 7, item, wh)
+from {d.stock()}
 """
 
 
